@@ -33,8 +33,10 @@ from tabwarden.llm.tables import written
 COORDINATES = 64
 #: Of 64 coordinates, each equal with probability 0.8, fewer than 36 are equal once in a million pairs.
 MATCHES = 36
-#: The packed signature has 2 bits a coordinate; equal sets agree in 64, unrelated ones in about 16.
+#: The packed signature has 4 bits a coordinate; equal sets agree in 64, unrelated ones in about 4.
 PACKED_MATCHES = 38
+PACKS = 4
+PACK = tuple(f"s{i}" for i in range(PACKS))
 #: Entries of the table of collision counts that orders the coordinates.
 SKETCH = 1 << 20
 
@@ -52,9 +54,9 @@ def _slots(signature: np.ndarray) -> np.ndarray:
 
 
 def _packed(signature: np.ndarray) -> np.ndarray:
-    """The low bits of the mixed minima: 32 coordinates in each of two 64-bit words."""
-    bits = (bytetext.mix(signature) & np.uint64(3)).reshape(2, 32)
-    return np.bitwise_or.reduce(bits << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
+    """Four bits of each minimum: 16 coordinates in each of PACKS words, for rows of signatures."""
+    bits = (bytetext.mix(signature) & np.uint64(15)).reshape(-1, PACKS, 16)
+    return np.bitwise_or.reduce(bits << (4 * np.arange(16, dtype=np.uint64)), axis=2).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch, shingle_words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,14 +106,14 @@ def _sketch(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(key, rep, s0, s1, weight): each class under its prefix; weight: its collisions over all coordinates."""
+    """(key, rep, n, s0 to s3, weight): each class under its prefix; weight: its collisions over all coordinates."""
     shared = spark.sparkContext.broadcast(sketch)
     prefix = COORDINATES - MATCHES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            reps = batch.column("rep").to_numpy(zero_copy_only=False)
+            reps, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n"))
             flat = batch.column("signature").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, COORDINATES)
             for at in range(0, len(reps), 2048):
                 sign, rep = flat[at : at + 2048], reps[at : at + 2048]
@@ -120,25 +122,26 @@ def _postings(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> Da
                 # one total order for all classes: by count, then by the entry's own hash
                 order = np.lexsort((entries, common), axis=1)[:, :prefix]
                 keys = np.take_along_axis(entries, order, axis=1)
-                packed = np.array([_packed(s) for s in sign]).reshape(-1, 2)
+                packed = _packed(sign)
                 weight = np.log2(common).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(x, prefix)) for x in (rep, packed[:, 0], packed[:, 1], weight.astype(np.float32)))],
-                    names=["key", "rep", "s0", "s1", "weight"],
+                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(x, prefix)) for x in (rep, sizes[at : at + 2048].astype(np.int32), *packed.T, weight.astype(np.float32)))],
+                    names=["key", "rep", "n", *PACK, "weight"],
                 )
 
-    return classes.select("rep", "signature").mapInArrow(run, "key long, rep long, s0 long, s1 long, weight float")
+    return classes.select("rep", "n", "signature").mapInArrow(run, f"key long, rep long, n int, {', '.join(f'{c} long' for c in PACK)}, weight float")
 
 
-def _collisions(a0, a1, b0, b1):
-    """Coordinates in which two packed signatures agree."""
-    low = F.lit(0x5555555555555555)
-
-    def unequal(a, b):
-        x = a.bitwiseXOR(b)
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
-
-    return F.lit(64) - unequal(a0, b0) - unequal(a1, b1)
+def _alike(a: str, b: str, percent: int):
+    """Packed signatures agree in PACKED_MATCHES coordinates, and sizes leave room for the similarity; columns with prefixes a and b."""
+    low = F.lit(0x1111111111111111)
+    unequal = F.lit(0)
+    for c in PACK:
+        x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
+    sizes = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
+    return sizes & (F.lit(COORDINATES) - unequal >= PACKED_MATCHES)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,30 +206,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(signatures(named, shingle_words), "signatures")
     # A class's representative is its smallest id; equal ids with unequal texts are separate classes of one id, and so one node.
-    classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), F.col("m.signature").alias("signature"))
+    classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m"))
+    classes = classes.select("set_id", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.signature").alias("signature"))
     classes = written(classes, "classes")
     postings = _postings(spark, classes, _sketch(classes)).persist(StorageLevel.DISK_ONLY)
-    hubs = postings.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("low"), "s0", "s1")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    hubs = hubs.select("key", F.negative("h.low").alias("hub"), F.col("h.s0").alias("h0"), F.col("h.s1").alias("h1"))
-    posted = written(postings.join(hubs, "key"), "postings")
+    hubs = postings.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("low"), "n", *PACK)).alias("h"), F.count("*").alias("members")).where("members > 1")
+    hubs = hubs.select("key", F.negative("h.low").alias("hub"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("n", *PACK)))
+    posted = written(postings.drop("weight").join(hubs, "key"), "postings")
     postings.unpersist()
-    collide = _collisions(F.col("s0"), F.col("s1"), F.col("h0"), F.col("h1")) >= PACKED_MATCHES
-    to_hub = written(posted.where(F.col("rep") != F.col("hub")).where(collide).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    to_hub = posted.where((F.col("rep") != F.col("hub")) & _alike("", "h_", percent))
+    to_hub = written(to_hub.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = to_hub.select(F.col("a").alias("rep")).unionByName(to_hub.select(F.col("b").alias("rep"))).distinct()
     sets = written(_shingle_sets(named, wanted, shingle_words), "sets")
     links = written(_confirm(to_hub, sets, percent), "links")
     parts = written(connected_components(links), "components")
     # Of each posting, what the hub's component doesn't hold meets all other members; pairs within a component are skipped.
     rooted = posted.join(parts.select(F.col("node").alias("rep"), F.col("root").alias("own")), "rep", "left").join(parts.select(F.col("node").alias("hub"), F.col("root").alias("hubs_own")), "hub", "left")
-    rooted = rooted.select("key", "rep", "s0", "s1", F.coalesce("own", "rep").alias("root"), F.coalesce("hubs_own", "hub").alias("hub_root"), "hub")
+    rooted = rooted.select("key", "rep", "n", *PACK, F.coalesce("own", "rep").alias("root"), F.coalesce("hubs_own", "hub").alias("hub_root"), "hub")
     rooted = written(rooted, "rooted")
     rest = rooted.where("root <> hub_root")
     others = rooted.join(rest.select("key").distinct(), "key", "left_semi").where("rep <> hub")
-    x = rest.select("key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "s0", "s1", "root", "hub_root")))
-    y = others.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "s0", "s1", "root", "hub_root")))
+    x, y = (t.select("key", *(F.col(c).alias(p + c) for c in ("rep", "n", *PACK, "root", "hub_root"))) for t, p in ((rest, "x_"), (others, "y_")))
     once = (F.col("x_rep") < F.col("y_rep")) | (F.col("y_root") == F.col("y_hub_root"))
-    near = _collisions(F.col("x_s0"), F.col("x_s1"), F.col("y_s0"), F.col("y_s1")) >= PACKED_MATCHES
-    pairs = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & near).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    pairs = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & _alike("x_", "y_", percent))
+    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     more_wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(sets.select("rep"), "rep", "left_anti")
     more = _shingle_sets(named, more_wanted, shingle_words)
