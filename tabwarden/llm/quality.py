@@ -188,7 +188,7 @@ def _fit(sample: pd.DataFrame, posterior: dict[int, float], rounds: int = 300) -
     return w
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """(id_col, n_words, votes, label_posterior, score, kept) for every row.  score: the linear scorer's probability of good."""
     text = F.col(text_col).cast("string").alias("text")
     rows = patterns(docs.select(text)).collect()  # at most 3 ** labellers rows
