@@ -4,18 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabwarden.llm import near_dup
-from tabwarden.llm.tables import table
+from tabwarden.llm import bm25, decontaminate, language_id, license_scan, mixing, near_dup, ppm, quality, secrets, token_output
+from tabwarden.llm.tables import held_out, table
+
+VOCABULARY = "byte_bpe_50k.json"
+END_ID = 2
+
+
+def op1_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, ~held_out("doc_id", 4))
+    return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), F.col("lang_nearest").alias("lang_pred"), "score", "rejected")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7))
+    return scored.withColumn("held_out", held_out("doc_id", 7))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_exact_top_k_search,
+        op2_language_id,
+        op3_license_scan,
+        op4_benchmark_decontamination,
+        op5_lm_scoring,
+        op6_source_mixing,
+        op7_quality_classifier,
+        op8_secret_scan,
+        op9_minhash_near_dedup,
+        op10_token_output,
+    )
 }
 
+#: The others learn, hash or link; they are held against brute-force versions in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
