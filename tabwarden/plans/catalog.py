@@ -1,10 +1,10 @@
-"""The registered queries of the reference's operators and their SQL."""
+"""The registered queries of the cleaning, schema, privacy and text operators, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tabwarden.plans import cleaning, schema
+from tabwarden.plans.register import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = (cleaning.R, schema.R)
+QUERIES: dict[str, Query] = {k: f for r in _ALL for k, f in r.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for r in _ALL for k, s in r.sql.items()}
