@@ -26,8 +26,9 @@ from tabwarden.llm.tables import written
 
 BLOCK = 64
 WEIGHTS = (5, 2, 1)
-#: Rows of a part, about, in two-level ranks and sums.
+#: Slots and documents of a part, about, in two-level ranks and sums.
 PART = 20_000
+DOC_PART = 2_000
 #: 2**31 / phi, made odd: multiples modulo 2**31 are the golden-ratio points in integers.
 _GOLDEN, _UNIT = 1327217885, 1 << 31
 _CELLS = 4096
@@ -57,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 def _streams(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Documents with words, with `at`: where each begins in its source's shuffled stream."""
     # a part has a fixed share of the hashes; their number follows the number of rows
-    parts = max(16, sizes.count() // PART)
+    parts = max(64, sizes.count() // DOC_PART)
     placed = sizes.where("size > 0").withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
     placed = placed.withColumn("part", F.pmod("draw", F.lit(parts)))
     sums = placed.groupBy("source", "part").agg(F.sum("size").alias("words"))
