@@ -57,6 +57,10 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(0.6 * token_jaccard(a, b) + 0.4 * shared / F.greatest(F.length(a), F.length(b)))
 
 
+def _cut(text: Column, n: int):
+    return lambda i: F.substring(text, i, F.lit(n))
+
+
 def embedding(names: DataFrame, name: str) -> DataFrame:
     """(name, bucket, w): hashed character n-grams (3 to 5) of the padded name, scaled to length 1."""
     padded = F.concat(F.lit(" "), F.col(name), F.lit(" "))
@@ -64,7 +68,7 @@ def embedding(names: DataFrame, name: str) -> DataFrame:
     for n in (3, 4, 5):
         # names shorter than n have none
         at = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        part = F.transform(at, lambda i, n=n: F.substring(padded, i, F.lit(n)))
+        part = F.transform(at, _cut(padded, n))
         grams = part if grams is None else F.concat(grams, part)
     each = names.select(name).distinct().select(name, F.explode(grams).alias("g"))
     bucket = F.conv(F.substring(F.md5("g"), 1, 2), 16, 10).cast("int")

@@ -21,7 +21,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.format_string("%.2f", "value")
     payload = F.map_concat(
         F.create_map(F.lit("User ID"), F.col("user_id").cast("string"), F.lit("event_type"), F.when(F.col("event_id") % 10 != 3, F.col("event_type"))),
-        F.when(kind == 1, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).when(kind == 2, F.create_map(F.lit("event_value"), value)).when(kind == 4, F.create_map(F.lit("value"), F.floor("value").cast("string"))).otherwise(F.create_map(F.lit("value"), value)),
+        F.when(kind == 1, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).when(kind == 2, F.create_map(F.lit("Value USD"), value)).when(kind == 4, F.create_map(F.lit("value"), F.floor("value").cast("string"))).otherwise(F.create_map(F.lit("value"), value)),
         F.when(kind == 3, F.create_map(F.lit("props"), F.col("props"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
     )
     return t.select(F.lit("events").alias("dataset"), F.format_string("d%02d", "day").alias("batch_id"), F.col("event_id").alias("row_no"), payload.alias("payload"))
@@ -29,7 +29,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CELLS = """t AS (SELECT *, day(ts) % 5 AS k, format('d{:02d}', day(ts)) AS batch_id FROM events), raw AS (
  SELECT batch_id, 'user_id' AS "column", CAST(user_id AS VARCHAR) AS value FROM t UNION ALL SELECT batch_id, 'event_type', CASE WHEN event_id % 10 <> 3 THEN event_type END FROM t
- UNION ALL SELECT batch_id, CASE WHEN k = 2 THEN 'event_value' ELSE 'value' END, CASE WHEN k = 4 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', value) END FROM t WHERE k <> 1
+ UNION ALL SELECT batch_id, CASE WHEN k = 2 THEN 'value_usd' ELSE 'value' END, CASE WHEN k = 4 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', value) END FROM t WHERE k <> 1
  UNION ALL SELECT batch_id, 'props', props FROM t WHERE k = 3),
 rows_ AS (SELECT batch_id, count(*) AS n_rows FROM t GROUP BY 1),
 num AS (SELECT *, CASE WHEN NOT regexp_matches(value, '[A-Za-z:]') THEN TRY_CAST(value AS DOUBLE) END AS x FROM raw),
@@ -73,7 +73,7 @@ def drift_changes(spark, sf_dir):
     return _changes(spark, sf_dir)[0]
 
 
-_REN = """ren AS (SELECT r.batch_id, r."column" AS old_name, a."column" AS new_name FROM changes r JOIN changes a ON r.batch_id = a.batch_id AND r.kind = 'REMOVE' AND a.kind = 'ADD' WHERE r."column" = 'value' AND a."column" = 'event_value'),
+_REN = """ren AS (SELECT r.batch_id, r."column" AS old_name, a."column" AS new_name FROM changes r JOIN changes a ON r.batch_id = a.batch_id AND r.kind = 'REMOVE' AND a.kind = 'ADD' WHERE r."column" = 'value' AND a."column" = 'value_usd'),
 final AS (SELECT batch_id, kind, "column" FROM changes c WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.batch_id = c.batch_id AND ((c.kind = 'REMOVE' AND c."column" = old_name) OR (c.kind = 'ADD' AND c."column" = new_name)))
  UNION ALL SELECT batch_id, 'RENAME', old_name FROM ren),
 sums2 AS (SELECT batch_id, count(*) FILTER (kind = 'ADD') AS n_add, count(*) FILTER (kind = 'REMOVE') AS n_remove, count(*) FILTER (kind = 'TYPE_CHANGE') AS n_type_change, count(*) FILTER (kind = 'NULLABLE_CHANGE') AS n_nullable_change,
@@ -110,10 +110,10 @@ def risk_mode_a(spark, sf_dir):
 
 
 _B = """scored AS (SELECT batch_id, kind, "column", least(1.0, (CASE kind WHEN 'REMOVE' THEN 1.0 WHEN 'TYPE_CHANGE' THEN 0.9 WHEN 'RENAME' THEN 0.7 WHEN 'NULLABLE_CHANGE' THEN 0.5 ELSE 0.4 END) * (0.3 + 0.5 * (CASE WHEN "column" = 'value' THEN 5 ELSE 3 END) / 5.0) * (CASE WHEN "column" = 'value' THEN 1.1 ELSE 1.0 END)) AS r FROM final),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY r DESC, kind, "column") AS at FROM scored)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY r DESC, kind, "column") AS pos FROM scored)"""
 
 
-@R.query(f"""WITH {_CHANGES}, {_REN}, {_B}, u AS (SELECT batch_id, round(CAST(1 - product(1 - r) AS DOUBLE), 6) AS risk, string_agg(kind || ':' || "column", ',' ORDER BY at) FILTER (at <= 10) AS drivers FROM ranked GROUP BY 1)
+@R.query(f"""WITH {_CHANGES}, {_REN}, {_B}, u AS (SELECT batch_id, round(CAST(1 - product(1 - r) AS DOUBLE), 6) AS risk, string_agg(kind || ':' || "column", ',' ORDER BY pos) FILTER (pos <= 10) AS drivers FROM ranked GROUP BY 1)
 SELECT 'events' AS dataset, batch_id, risk, CASE WHEN risk >= 0.80 THEN 'high' WHEN risk >= 0.40 THEN 'medium' ELSE 'low' END AS level, CASE WHEN risk >= 0.40 THEN 'staging' ELSE 'production' END AS suggested_route, drivers FROM u""")
 def risk_mode_b(spark, sf_dir):
     fields = spark.createDataFrame([("value", 5, 1.1, 1.0)], "column string, field_criticality int, semantic_weight double, sensitivity_factor double")
@@ -207,7 +207,7 @@ def unique_names(spark, sf_dir):
 
 
 @R.query(
-    """SELECT c_custkey, round(c_acctbal, 2) AS parsed, CASE WHEN c_custkey % 2 = 0 THEN -round(c_acctbal, 2) END AS negative, c_custkey % 3 = 0 AS flag, CAST(NULL AS DOUBLE) AS name_is_none FROM customer"""
+    """SELECT c_custkey, round(c_acctbal, 2) AS parsed, CASE WHEN c_custkey % 2 = 0 AND c_acctbal >= 0 THEN -round(c_acctbal, 2) END AS negative, c_custkey % 3 = 0 AS flag, CAST(NULL AS DOUBLE) AS name_is_none FROM customer"""
 )
 def parse_values(spark, sf_dir):
     t = table(spark, sf_dir, "customer")
