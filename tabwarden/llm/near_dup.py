@@ -4,10 +4,15 @@ A text's shingle set is signed by COORDINATES minima.  Texts of equal sets form
 smallest id represents.  Each class is posted under the (coordinate, value) pairs of its prefix: of
 COORDINATES entries, in one global order from rare to common, the first COORDINATES - MATCHES + 1.
 Two signatures that agree in MATCHES coordinates share a posting there, whatever the order is (prefix
-merging).  Within a posting, members are first compared with its hub, the member whose entries collide
-most overall; members that the hub's component holds are then skipped, and only the rest meets all
-(skip merging), so a large group of near copies costs one comparison a member.  Pairs whose packed
-signatures collide often enough are confirmed on the full sets.
+merging).  Members of a posting are compared with its hub, the member whose entries collide most
+overall; members whose packed signatures collide with the hub's often enough are in its family, and only
+what is outside meets the other members (skip merging), so a large group of near copies costs one
+comparison a member.  Linked texts are always of one family.
+
+Full sets decide within families.  First each member is confirmed with its hub.  If a family is not one
+component then, its members outside the largest component are compared with all others in blocks of
+bounded size: a task counts the shingles that two blocks share through a sorted list of one, and returns
+only links that connect what was apart, never the pairs it compared.
 
 Defined cases.  A null or empty text, or one without words, has an empty set, links with nothing and is
 its own component.  A text with fewer words than a shingle has its whole sequence as one shingle.
@@ -22,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ MATCHES = 36
 PACKED_MATCHES = 38
 PACKS = 4
 PACK = tuple(f"s{i}" for i in range(PACKS))
+#: Shingles in a block of a family, on average; a task holds two blocks.
+BLOCK = 1 << 18
 #: Entries of the table of collision counts that orders the coordinates.
 SKETCH = 1 << 20
 
@@ -105,8 +111,12 @@ def _sketch(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(key, rep, n, s0 to s3, weight): each class under its prefix; weight: its collisions over all coordinates."""
+def _coded(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(prio, rep, n, s0 to s3, keys) of each class: keys are those of its prefix.
+
+    prio stands for the class in postings.  It leads with the class's collisions over all coordinates, so a
+    posting's largest prio is its hub, and ends in a hash of rep; classes of equal prio are compared alike.
+    """
     shared = spark.sparkContext.broadcast(sketch)
     prefix = COORDINATES - MATCHES + 1
 
@@ -121,15 +131,16 @@ def _postings(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> Da
                 common = counts[_slots(sign)]
                 # one total order for all classes: by count, then by the entry's own hash
                 order = np.lexsort((entries, common), axis=1)[:, :prefix]
-                keys = np.take_along_axis(entries, order, axis=1)
-                packed = _packed(sign)
-                weight = np.log2(common).sum(axis=1)
+                keys = np.take_along_axis(entries, order, axis=1).ravel().view(np.int64)
+                weight = (np.log2(common).sum(axis=1) * 4).astype(np.uint64)
+                prio = ((weight << np.uint64(50)) | (bytetext.mix(rep.astype(np.int64).view(np.uint64)) >> np.uint64(14))).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rep) + 1, dtype=np.int32) * prefix), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(x, prefix)) for x in (rep, sizes[at : at + 2048].astype(np.int32), *packed.T, weight.astype(np.float32)))],
-                    names=["key", "rep", "n", *PACK, "weight"],
+                    [pa.array(prio), pa.array(rep), pa.array(sizes[at : at + 2048]), *(pa.array(x) for x in _packed(sign).T), lists],
+                    names=["prio", "rep", "n", *PACK, "keys"],
                 )
 
-    return classes.select("rep", "n", "signature").mapInArrow(run, f"key long, rep long, n int, {', '.join(f'{c} long' for c in PACK)}, weight float")
+    return classes.select("rep", "n", "signature").mapInArrow(run, f"prio long, rep long, n long, {', '.join(f'{c} long' for c in PACK)}, keys array<long>")
 
 
 def _alike(a: str, b: str, percent: int):
@@ -189,10 +200,109 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> Dat
             if some:
                 yield out()
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return texts.mapInArrow(run, "rep long, shingles array<long>")
 
 
+def _to_hubs(posted: DataFrame, codes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): hubs of postings (prio, hub) and the members whose packed signatures are like theirs."""
+    hubs = codes.select(*(F.col(c).alias(f"h_{c}") for c in codes.columns)).withColumnRenamed("h_prio", "hub")
+    pairs = posted.where("prio <> hub").select("prio", "hub").distinct().join(codes, "prio").join(hubs, "hub")
+    return pairs.where((F.col("rep") != F.col("h_rep")) & _alike("", "h_", percent)).select(F.col("h_rep").alias("a"), F.col("rep").alias("b"))
+
+
+def _rooted(posted: DataFrame, codes: DataFrame, families: DataFrame) -> DataFrame:
+    """Adds root and hub_root, the families of a posting's member and of its hub."""
+    roots = codes.select("prio", F.col("rep").alias("node")).join(families, "node", "left").select("prio", F.coalesce("root", "node").alias("root"))
+    return posted.join(roots, "prio").join(roots.select(F.col("prio").alias("hub"), F.col("root").alias("hub_root")), "hub")
+
+
+def _families(coded: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of hubs with members like them, and (node, root) of families: all pairs of like signatures are within one."""
+    codes = coded.drop("keys")
+    every = coded.select(F.explode("keys").alias("key"), "prio")
+    hubs = every.groupBy("key").agg(F.max("prio").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    posted = written(every.join(hubs, "key"), "postings")
+    to_hub = written(_to_hubs(posted, codes, percent), "pairs")
+    families = written(connected_components(to_hub), "families")
+    rest = written(_rooted(posted, codes, families).where("root <> hub_root").select("key", "prio"), "rest")
+    second = rest.groupBy("key").agg(F.max("prio").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    seconds = written(_to_hubs(rest.join(second, "key"), codes, percent), "pairs")
+    families = written(connected_components(_stars(families).unionByName(seconds)), "families")
+    # what is in no hub's family still meets all members of its postings, but for those of its own family
+    rooted = written(_rooted(posted.join(rest.select("key").distinct(), "key", "left_semi"), codes, families), "rooted")
+    apart = rooted.where("root <> hub_root")
+    members = rooted.join(apart.select("key").distinct(), "key", "left_semi").where("prio <> hub")
+    x, y = (t.join(codes, "prio").select("key", *(F.col(c).alias(p + c) for c in ("rep", "n", *PACK, "root", "hub_root"))) for t, p in ((apart, "x_"), (members, "y_")))
+    once = (F.col("x_rep") < F.col("y_rep")) | (F.col("y_root") == F.col("y_hub_root"))
+    pairs = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & _alike("x_", "y_", percent))
+    pairs = written(pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
+    return to_hub, written(connected_components(_stars(families).unionByName(pairs)), "families")
+
+
+def _stars(parts: DataFrame) -> DataFrame:
+    return parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _linking(left: list[np.ndarray], right: list[np.ndarray], label: np.ndarray, same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between sets of `left` and `right` (`same`: within left) that join labels; label: of left, then of right."""
+    sizes = np.array([len(s) for s in right])
+    values = np.concatenate(right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(right)), sizes)[order]
+    label = label.copy()
+    of_right = label if same else label[len(left) :]
+    for i, s in enumerate(left):
+        if (of_right == label[i]).all():
+            continue
+        low, high = np.searchsorted(values, s), np.searchsorted(values, s, side="right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        linked = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (of_right != label[i]))
+        if len(linked):
+            met, first = np.unique(of_right[linked], return_index=True)
+            yield from ((i, int(linked[j])) for j in first)
+            label[np.isin(label, met)] = label[i]
+
+
+def _within_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join components `own` of members (node, family, own, n) of one family, found in blocks."""
+
+    def run(key, table):
+        table = table.combine_chunks()
+        nodes = table["node"].to_numpy()
+        label = np.unique(table["own"].to_numpy(), return_inverse=True)[1]
+        side = table["is_left"].to_numpy(zero_copy_only=False)
+        lists = table["shingles"].combine_chunks()
+        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        found: tuple[list, list] = ([], [])
+        x, y = np.flatnonzero(side), np.flatnonzero(~side)
+        same = key[1].as_py() == key[2].as_py()
+        if same:
+            y = x
+        if len(x) and len(y):
+            left, right = ([flat[ends[k] : ends[k + 1]] for k in rows] for rows in (x, y))
+            for i, j in _linking(left, right, label[x] if same else label[np.concatenate([x, y])], same, percent):
+                found[0].append(nodes[x[i]])
+                found[1].append(nodes[y[j]])
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    by_own = members.groupBy("family", "own").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    by_family = by_own.groupBy("family").agg(F.max(F.struct("count", "n", "own")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("owns")).where("owns > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = by_family.select("family", F.col("main.own").alias("main"), blocks(F.col("main.n")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n")).alias("rest_blocks"))
+    dealt = members.join(split, "family").withColumn("in_main", F.col("own") == F.col("main"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
+    # tasks (i, j): blocks i <= j of the rest, or block i of the rest and block -1-j of the main component
+    to_main = F.expr("transform(sequence(0, main_blocks - 1), k -> struct(block AS i, -1 - k AS j, true AS is_left))")
+    to_rest = F.expr("transform(sequence(0, rest_blocks - 1), k -> struct(least(block, k) AS i, greatest(block, k) AS j, block <= k AS is_left))")
+    of_main = F.expr("transform(sequence(0, rest_blocks - 1), k -> struct(k AS i, -1 - block AS j, false AS is_left))")
+    tasks = dealt.select("family", "node", "own", F.explode(F.when(F.col("in_main"), of_main).otherwise(F.concat(to_main, to_rest))).alias("t"))
+    rows = tasks.select("family", "node", "own", "t.*").join(sets.withColumnRenamed("rep", "node"), "node")
+    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -209,33 +319,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m"))
     classes = classes.select("set_id", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.signature").alias("signature"))
     classes = written(classes, "classes")
-    postings = _postings(spark, classes, _sketch(classes)).persist(StorageLevel.DISK_ONLY)
-    hubs = postings.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("low"), "n", *PACK)).alias("h"), F.count("*").alias("members")).where("members > 1")
-    hubs = hubs.select("key", F.negative("h.low").alias("hub"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("n", *PACK)))
-    posted = written(postings.drop("weight").join(hubs, "key"), "postings")
-    postings.unpersist()
-    to_hub = posted.where((F.col("rep") != F.col("hub")) & _alike("", "h_", percent))
-    to_hub = written(to_hub.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = to_hub.select(F.col("a").alias("rep")).unionByName(to_hub.select(F.col("b").alias("rep"))).distinct()
+    coded = written(_coded(spark, classes, _sketch(classes)), "coded")
+    to_hub, families = _families(coded, percent)
+    wanted = families.select(F.col("node").alias("rep"))
     sets = written(_shingle_sets(named, wanted, shingle_words), "sets")
-    links = written(_confirm(to_hub, sets, percent), "links")
+    links = written(_confirm(to_hub.distinct(), sets, percent), "links")
     parts = written(connected_components(links), "components")
-    # Of each posting, what the hub's component doesn't hold meets all other members; pairs within a component are skipped.
-    rooted = posted.join(parts.select(F.col("node").alias("rep"), F.col("root").alias("own")), "rep", "left").join(parts.select(F.col("node").alias("hub"), F.col("root").alias("hubs_own")), "hub", "left")
-    rooted = rooted.select("key", "rep", "n", *PACK, F.coalesce("own", "rep").alias("root"), F.coalesce("hubs_own", "hub").alias("hub_root"), "hub")
-    rooted = written(rooted, "rooted")
-    rest = rooted.where("root <> hub_root")
-    others = rooted.join(rest.select("key").distinct(), "key", "left_semi").where("rep <> hub")
-    x, y = (t.select("key", *(F.col(c).alias(p + c) for c in ("rep", "n", *PACK, "root", "hub_root"))) for t, p in ((rest, "x_"), (others, "y_")))
-    once = (F.col("x_rep") < F.col("y_rep")) | (F.col("y_root") == F.col("y_hub_root"))
-    pairs = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & _alike("x_", "y_", percent))
-    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    more_wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(sets.select("rep"), "rep", "left_anti")
-    more = _shingle_sets(named, more_wanted, shingle_words)
-    more_links = written(_confirm(pairs, sets.unionByName(written(more, "sets")), percent), "links")
-    stars = parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = connected_components(stars.unionByName(more_links))
+    sizes = coded.groupBy("rep").agg(F.max("n").alias("n"))
+    members = families.select("node", F.col("root").alias("family")).join(parts.withColumnRenamed("root", "own"), "node", "left").join(sizes.withColumnRenamed("rep", "node"), "node")
+    members = written(members.select("node", "family", F.coalesce("own", "node").alias("own"), "n"), "members")
+    more_links = written(_within_families(members, sets, percent), "links")
+    final = connected_components(_stars(parts).unionByName(more_links))
     by_set = classes.select("set_id", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component = F.coalesce("component", "doc_id")
