@@ -56,7 +56,8 @@ def test_word_hashes(rows):
             assert len(own) == len(expected) and len(set(own.tolist())) == len(set(expected))
 
 
-def test_near_duplicates(docs, rows):
+def linked_sets(rows):
+    """Sets of 2-word shingles and components, by comparing all pairs."""
     sets = {}
     for i, t, _ in rows:
         w = words(t)
@@ -76,8 +77,25 @@ def test_near_duplicates(docs, rows):
             if n and 100 * n >= 80 * (len(x) + len(y) - n):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
+    return sets, {i: find(i) for i in ids}
+
+
+def test_near_duplicates(docs, rows):
+    sets, root = linked_sets(rows)
     for r in near_dup.near_duplicates(docs, shingle_words=2).collect():
-        assert (r["component_id"], r["n_shingles"], r["kept"]) == (find(r["doc_id"]), len(sets[r["doc_id"]]), find(r["doc_id"]) == r["doc_id"])
+        assert (r["component_id"], r["n_shingles"], r["kept"]) == (root[r["doc_id"]], len(sets[r["doc_id"]]), root[r["doc_id"]] == r["doc_id"])
+
+
+def test_family_in_many_blocks(spark, monkeypatch):
+    """Copies of one text that drift apart: alike to 0.6-0.9, few linked, in blocks of some members each."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    made = [(i, " ".join(w if rng.random() > 0.06 else f"x{rng.integers(40)}" for w in base), "") for i in range(150)]
+    sets, root = linked_sets(made)
+    assert 20 < len(set(root.values())) < 149
+    monkeypatch.setattr(near_dup, "BLOCK", 1500)
+    d = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(d, shingle_words=2).collect()} == root
 
 
 def test_contamination(spark, docs, rows):
