@@ -69,17 +69,22 @@ def noise(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> Data
     return joined.groupBy(id_col).agg(F.sum("k").alias("n_words"), F.sum(F.when(F.col("ok").isNull(), F.col("k")).otherwise(0)).alias("n_unknown")).withColumn("ratio", F.round(F.col("n_unknown") / F.col("n_words"), 6))
 
 
-def _deletions(c: Column) -> Column:
+def _deletions(c: Column, most: int = 1) -> Column:
+    """The word itself and what is left of it without up to `most` of its letters."""
+    if not most:
+        return F.array(c)
     one = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    return F.array_distinct(F.concat(F.array(c), one))
+    return F.array_distinct(F.concat(F.array(c), F.flatten(F.transform(one, lambda x: _deletions(x, most - 1)))))
 
 
-def corrections(unknown: DataFrame, known: DataFrame) -> DataFrame:
-    """unknown (word) -> (word, best): the most frequent dictionary word at an edit distance of 1, through shared deletions."""
-    left = unknown.select("word", F.explode(_deletions(F.col("word"))).alias("key"))
-    right = known.select(F.col("word").alias("best"), "n", F.explode(_deletions(F.col("word"))).alias("key"))
-    pairs = left.join(right, "key").where(F.levenshtein("word", "best") == 1).select("word", "best", "n").distinct()
-    return pairs.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "best")).alias("m")).select("word", F.col("m.best").alias("best"))
+def corrections(unknown: DataFrame, known: DataFrame, most: int = 1) -> DataFrame:
+    """unknown (word) -> (word, best): of the dictionary words at the least edit distance, up to `most`, the most frequent, through shared deletions."""
+    longest = known.agg(F.max(F.length("word")).alias("longest"))
+    near = unknown.crossJoin(F.broadcast(longest)).where(F.length("word") <= F.col("longest") + most)  # a longer word is near none; longest is one row
+    left = near.select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
+    right = known.select(F.col("word").alias("best"), "n", F.explode(_deletions(F.col("word"), most)).alias("key"))
+    pairs = left.join(right, "key").withColumn("d", F.levenshtein("word", "best")).where(F.col("d").between(1, most)).select("word", "best", "n", "d").distinct()
+    return pairs.groupBy("word").agg(F.min(F.struct("d", (-F.col("n")).alias("n"), "best")).alias("m")).select("word", F.col("m.best").alias("best"))
 
 
 def language_profile(docs: DataFrame, text_col: str, lang_col: str, n: int = 3) -> DataFrame:

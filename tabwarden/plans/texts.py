@@ -192,6 +192,14 @@ def spell_correct(spark, sf_dir):
     return text.corrections(rare, known)
 
 
+@R.query()
+def spell_correct_all(spark, sf_dir):
+    """Every English word that the dictionary lacks, by up to two edits; tests/test_whole.py holds it against brute force."""
+    docs, known = _english(spark, sf_dir)
+    unknown = text.words(docs, "doc_id", "text").select("word").distinct().join(known, "word", "left_anti")
+    return text.corrections(unknown, known, 2)
+
+
 @R.query(
     r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents WHERE lang IS NOT NULL), k AS (SELECT lang, '_' || w || '_' AS w, count(*) AS k FROM w GROUP BY ALL),
 g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: w[i:i+2])) AS gram FROM k) SELECT lang, gram, CAST(sum(k) AS BIGINT) AS n FROM g GROUP BY ALL"""
