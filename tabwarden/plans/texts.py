@@ -64,6 +64,18 @@ def pii_nic(spark, sf_dir):
     return t.select("c_custkey", F.size(pii.detect(F.col("t"), tuple(d for d in pii.DETECTORS if d.entity == "NIC"))).alias("n_nic"))
 
 
+@R.query(
+    """WITH c AS (SELECT c_custkey, printf('%02d', c_custkey % 60 + 40) || printf('%03d', c_custkey * 7 % 900) || printf('%04d', c_custkey % 10000) || 'V' AS nic FROM customer)
+SELECT c_custkey, CASE WHEN CAST(nic[3:5] AS INT) BETWEEN 1 AND 366 OR CAST(nic[3:5] AS INT) BETWEEN 501 AND 866 THEN 1 ELSE 0 END AS n_nic FROM c"""
+)
+def pii_nic_all(spark, sf_dir):
+    """As pii_nic, with a row for every customer."""
+    key = F.col("c_custkey")
+    nic = F.concat(F.format_string("%02d", key % 60 + 40), F.format_string("%03d", key * 7 % 900), F.format_string("%04d", key % 10000), F.lit("V"))
+    t = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("holder "), nic, F.lit(".")).alias("t"))
+    return t.select("c_custkey", F.size(pii.detect(F.col("t"), tuple(d for d in pii.DETECTORS if d.entity == "NIC"))).alias("n_nic"))
+
+
 @R.query(
     """SELECT s_suppkey, 'seen 02:1a:' || printf('%02x', s_suppkey % 256) || ':0b:0c:0d' AS text, 'LAA' AS mac_class, 11 + 6 - 12 AS start FROM supplier"""
 )

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tabwarden.plans import catalog
@@ -32,3 +33,12 @@ def test_spelling_of_all_words(spark):
     for w in some:
         near = [(d, -n, k) for k, n in known.items() if abs(len(k) - len(w)) <= 2 and (d := distance(w, k)) <= 2]
         assert got.get(w) == (min(near)[2] if near else None)
+
+
+def test_number_of_every_customer(spark, tmp_path):
+    whole = f"{tmp_path}/customer.parquet"
+    spark.range(9990, 10020).select(F.col("id").alias("c_custkey")).unionByName(spark.range(123456, 123460).select(F.col("id").alias("c_custkey"))).coalesce(1).write.parquet(whole)
+    got = {r["c_custkey"]: r["n_nic"] for r in catalog.QUERIES["pii_nic_all"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{whole}/*.parquet'")
+    assert len(got) == 34 and got == dict(duck.sql(catalog.ORACLE_SQL["pii_nic_all"]).fetchall())
