@@ -1,9 +1,9 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 Spark counts all byte 4-grams of the training texts; they are the deepest nodes of a context trie of
-order 3, whose shallower nodes are sums over them.  Nodes seen too rarely are pruned, so that each order
-keeps at most MAX_NODES and the trie has a fixed size bound; a pruned node's suffixes, seen at least as
-often, stay.  A byte is predicted in the longest context that the trie holds: a symbol seen n times among
+order 3, whose shallower nodes are sums over them.  No node is pruned.  Tasks carry the 4-grams of the
+middles (the two bytes before the last) most used, up to MAX_NODES, and all nodes of orders 0 and 1;
+grams of other middles are resolved by a join with the table of all 4-grams.  A byte is predicted in the longest context that the trie holds: a symbol seen n times among
 T, d of them distinct, has n / (T + d), the escape to the next shorter context d / (T + d) (estimate C),
 and symbols of the context escaped from are excluded there.  Below order 0 all bytes left are alike.
 Since the trie is static, what exclusion leaves in a suffix is computed once for each context.
@@ -30,13 +30,16 @@ from tabwarden.llm import bytetext
 from tabwarden.llm.tables import written
 
 ORDER = 3
-#: Nodes of an order that the trie keeps at most: the most frequent.
+#: 4-grams of the broadcast trie at most: those of the middles most used for their size.
 MAX_NODES = 1 << 20
 #: Slots of the table of frequent tokens, one token each.
 HOT_SLOTS = 1 << 18
 END = np.uint64(0x7F4A7C15E4D5A1B3)
 _TALLY = 1 << 21
 _GRAM, _TOKEN = 0, 1
+_MIDDLES = 1 << 16
+#: 4-grams of a part that resolves what the broadcast trie lacks, about.
+_PART = 1 << 19
 
 
 class _Tally:
@@ -199,19 +202,65 @@ class Trie:
         return out
 
 
-def build_trie(grams: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """grams (key, n) of ORDER + 1 bytes -> the pruned trie."""
-    tables = []
-    least = 1
-    for o in range(ORDER + 1):
-        nodes = grams.groupBy(F.expr(f"key & {(1 << 8 * (o + 1)) - 1}").alias("key")).agg(F.sum("n").alias("n")) if o < ORDER else grams.select("key", "n")
-        nodes = written(nodes, "nodes")
-        while nodes.where(F.col("n") >= least).count() > max_nodes:
-            least = least * 3 // 2 + 1
-        tables.append(nodes)
-    # one threshold for all orders keeps every kept node's suffixes
-    kept = [t.where(F.col("n") >= least).toArrow() for t in tables]
-    return Trie([(t["key"].to_numpy().astype(np.uint32), t["n"].to_numpy().astype(np.int64)) for t in kept])
+def _middle(key: str = "key") -> Column:
+    """The two bytes before the last of a gram: all nodes of orders 2 and 3 that its prediction needs share them."""
+    return F.expr(f"shiftrightunsigned({key}, 8) & {_MIDDLES - 1}")
+
+
+def _short(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of order 1: at most 1 << 16."""
+    t = grams.groupBy(F.expr("key & 65535").alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    return t["key"].to_numpy().astype(np.uint32), t["n"].to_numpy().astype(np.int64)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    k, at = np.unique(keys & np.uint32(mask), return_inverse=True)
+    return k, np.bincount(at, weights=n, minlength=len(k)).astype(np.int64)
+
+
+def _trie(keys: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> Trie:
+    """Trie of all nodes of orders 0 and 1, and of those of orders 2 and 3 that the given 4-grams make."""
+    keys = keys.astype(np.uint32)
+    return Trie([_summed(*short, 0xFF), short, _summed(keys, n, 0xFFFFFF), (keys, n)])
+
+
+def build_trie(grams: DataFrame, max_nodes: int = MAX_NODES) -> tuple[Trie, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """grams (key, n) of ORDER + 1 bytes -> a trie of the 4-grams most used, which middles it lacks, the nodes of order 1."""
+    by_middle = grams.groupBy(_middle().alias("middle")).agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).toArrow()  # at most 1 << 16 rows
+    middle, nodes, n = (by_middle[c].to_numpy() for c in ("middle", "nodes", "n"))
+    order = np.lexsort((middle, -n / np.maximum(nodes, 1)))
+    fits = np.cumsum(nodes[order]) <= max_nodes
+    lacks = np.zeros(_MIDDLES, dtype=bool)
+    lacks[middle[order[~fits]]] = True
+    chosen = grams.sparkSession.createDataFrame(pa.table({"middle": pa.array(middle[order[fits]], pa.int64())}))
+    hot = grams.withColumn("middle", _middle()).join(F.broadcast(chosen), "middle", "left_semi").select("key", "n").toArrow()
+    short = _short(grams)
+    return _trie(hot["key"].to_numpy(), hot["n"].to_numpy().astype(np.int64), short), lacks, short
+
+
+def _resolved(asked: DataFrame, grams: DataFrame, short: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, p): log10 probability of each asked gram (gram), from all 4-grams with its middle.
+
+    A part holds whole middles, of at most 1 << 16 4-grams each; the number of parts follows the number of grams.
+    """
+    parts = max(1, (grams.count() + asked.count()) // _PART)
+    shared = asked.sparkSession.sparkContext.broadcast(short)
+
+    def run(known: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.table({"gram": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
+        trie = _trie(known["key"].to_numpy(), known["n"].to_numpy().astype(np.int64), shared.value)
+        return pa.table({"gram": wanted["gram"], "p": pa.array(trie.log10_probabilities(wanted["gram"].to_numpy().astype(np.uint32)))})
+
+    part = lambda c: F.pmod(F.xxhash64(_middle(c)), F.lit(parts)).alias("part")
+    left, right = grams.select("key", "n", part("key")), asked.select("gram", part("gram"))
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(lambda a, b: run(a, b), "gram long, p double")
+
+
+def _lists(of: np.ndarray, n: int, **fields: pa.Array) -> pa.ListArray:
+    """Lists of structs for n rows, from values in the order of their rows `of`."""
+    ends = np.searchsorted(of, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
 
 def _hot(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -230,19 +279,25 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     known = written(counts(docs.where(F.coalesce(train, F.lit(False))).select(text)), "counts")
     tokens = known.where(F.col("kind") == _TOKEN).select("key", "n")
     whole = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    trie = build_trie(known.where(F.col("kind") == _GRAM).select("key", "n"), max_nodes)
+    grams = known.where(F.col("kind") == _GRAM).select("key", "n")
+    trie, lacks, short = build_trie(grams, max_nodes)
     per_token = math.log10(whole["N"] + whole["V"] + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((trie, *_hot(tokens)))
+    shared = docs.sparkSession.sparkContext.broadcast((trie, lacks, *_hot(tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot_keys, hot_n = shared.value
+        trie, lacks, hot_keys, hot_n = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, last, raw, offsets in bytetext.chunks(batch.column("text")):
                 n = last - first
                 texts = np.arange(n)
                 of_byte = np.repeat(texts, np.diff(offsets))
-                total = np.bincount(of_byte, weights=trie.log10_probabilities(_grams(raw, offsets)), minlength=n).astype(float)
+                grams = _grams(raw, offsets)
+                cold = lacks[(grams >> np.uint32(8)) & np.uint32(_MIDDLES - 1)]
+                p = trie.log10_probabilities(grams[~cold])
+                total = np.bincount(of_byte[~cold], weights=p, minlength=n).astype(float)
+                pairs, seen = np.unique((of_byte[cold].astype(np.uint64) << np.uint64(32)) | grams[cold], return_counts=True)
+                missed = _lists(pairs >> np.uint64(32), n, gram=pa.array((pairs & np.uint64(0xFFFFFFFF)).view(np.int64)), times=pa.array(seen.astype(np.int32)))
                 w = bytetext.words(raw, offsets)
                 slot = (w.hashes & np.uint64(HOT_SLOTS - 1)).astype(np.int64)
                 hot = (hot_keys[slot] == w.hashes) & (hot_n[slot] > 0)
@@ -254,20 +309,27 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 key, of = w.hashes[order], of_word[order]
                 begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))) if len(order) else order
                 times = np.diff(np.append(begins, len(order)))
-                ends = np.searchsorted(of[begins], np.arange(n + 1))
-                rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(key[begins].view(np.int64)), pa.array(times.astype(np.int32))], names=["key", "times"]))
+                rare = _lists(of[begins], n, key=pa.array(key[begins].view(np.int64)), times=pa.array(times.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(first, n), pa.array(np.diff(w.first) + 1), pa.array(hot_known), pa.array(base), pa.array(total), rare],
-                    names=["row", "doc_id", "n_tokens", "hot_known", "hot_base", "score", "rare"],
+                    [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(first, n), pa.array(np.diff(w.first) + 1), pa.array(hot_known), pa.array(base), pa.array(total), rare, missed],
+                    names=["row", "doc_id", "n_tokens", "hot_known", "hot_base", "score", "rare", "missed"],
                 )
                 row += n
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    scored = written(named.mapInArrow(run, "row long, doc_id long, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<key:long,times:int>>"), "scored")
+    scored = written(named.mapInArrow(run, "row long, doc_id long, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<key:long,times:int>>, missed array<struct<gram:long,times:int>>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.times").join(tokens, "key")
     sums = rare.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base"))
     end = tokens.where(F.col("key") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    out = scored.drop("rare").join(sums, "row", "left")
+    out = scored.drop("rare", "missed").join(sums, "row", "left")
+    if lacks.any():
+        missed = scored.select("row", F.explode("missed").alias("m")).select("row", "m.gram", "m.times")
+        asked = written(missed.select("gram").distinct(), "asked")
+        middles = docs.sparkSession.createDataFrame(pa.table({"middle": pa.array(np.flatnonzero(lacks), pa.int64())}))  # at most 1 << 16 rows
+        lacking = written(grams.withColumn("middle", _middle()).join(F.broadcast(middles), "middle", "left_semi").select("key", "n"), "lacking")
+        found = written(_resolved(asked, lacking, short), "resolved")
+        late = missed.join(found, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("p")).alias("late"))
+        out = out.join(late, "row", "left").withColumn("score", F.col("score") + F.coalesce("late", F.lit(0.0)))
     return out.select(
         F.col("doc_id").alias(id_col),
         "n_tokens",

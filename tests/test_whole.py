@@ -4,8 +4,11 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tabwarden.llm import ppm
+from tabwarden.llm.tables import held_out
 from tabwarden.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +45,11 @@ def test_number_of_every_customer(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{whole}/*.parquet'")
     assert len(got) == 34 and got == dict(duck.sql(catalog.ORACLE_SQL["pii_nic_all"]).fetchall())
+
+
+def test_scores_whatever_the_hot_trie_holds(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + 2, "né 漢字 Ω"), (10**6 + 3, None), (10**6 + 4, "漢字 Ωmega")], "doc_id long, text string"))
+    scores = lambda most: {r["doc_id"]: r["score"] for r in ppm.score(docs, ~held_out("doc_id", 7), max_nodes=most).collect()}
+    whole = scores(1 << 32)
+    for most in (0, 3000):
+        assert scores(most) == pytest.approx(whole, rel=1e-9)
