@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words.
 
 Each template is a short text of a known licence with the phrases that any copy of it must have.  The
-corpus gives every template word its inverse document frequency.  For a text, its highest-IDF template
-words are looked up in the templates' postings (word -> template, position); occurrences that agree on
-the template's place in the text (text position - template position) vote for it, and a placed template
-is reported if its mandatory phrases stand in the text near that place, word for word.
+corpus gives every template word its inverse document frequency.  In a text, each template's mandatory
+phrases are looked up by their rarest words; every start that puts the first phrase within NEAR words of
+the template is a place, and a template is reported there if enough of its words stand at their places
+and its mandatory phrases stand near, word for word.  Each template is looked for on its own.
 
 Base phrases are found the same way: the rarest word of a phrase is looked up and the others are
 intersected at their relative positions.
@@ -16,7 +16,6 @@ and a score of 0.  Repeated rows get equal results.  Only the id and the text ar
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,9 @@ from pyspark.sql import functions as F
 
 from tabwarden.llm import bytetext
 
+#: Words around a placed template in which its mandatory phrases may stand.
+NEAR = 4
+
 # Base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -53,7 +55,7 @@ TEMPLATES = (
 
 
 class _Index:
-    """The words of templates and phrases, their ids and postings."""
+    """The words of templates and phrases, and their ids."""
 
     def __init__(self, templates, phrases):
         texts = [t for _, t, _ in templates] + [p for _, _, need in templates for p in need] + list(phrases)
@@ -67,10 +69,6 @@ class _Index:
         code = lambda t: [self.ids[w] for w in t.split()]
         self.templates = [(label, np.array(code(t)), [np.array(code(p)) for p in need]) for label, t, need in templates]
         self.phrases = [(label, np.array(code(p))) for p, label in phrases.items()]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, t, _) in enumerate(self.templates):
-            for q, w in enumerate(t.tolist()):
-                self.postings[w].append((k, q))
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """The index's word ids of a sequence of words; -1 for the rest."""
@@ -112,39 +110,36 @@ def word_idf(docs: DataFrame, index: _Index) -> np.ndarray:
     return np.array([math.log((1 + counts.get(-1, 0)) / (1 + counts.get(i, 0))) for i in range(len(index.words))])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=BASE_PHRASES, anchors: int = 8, coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=BASE_PHRASES, coverage: float = 0.6) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) for every row.
 
-    anchors: how many of a text's rarest template words vote.  coverage: the share of a template's words
+    coverage: the share of a template's words
     that must stand at their places.  matches: array of (label, start word, coverage).  score: the
     highest coverage, 1 for a base phrase.
     """
     index = _Index(templates, phrases)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     idf = word_idf(named.select("text"), index)
-    by_rarity = np.argsort(np.argsort(-idf, kind="stable"), kind="stable")
     gates = sorted({int(need[0][int(np.argmax(idf[need[0]]))]) for _, _, need in index.templates})
 
     def matched(coded: np.ndarray) -> list[tuple[str, int, float]]:
-        present = np.unique(coded[coded >= 0])
-        rare = present[np.argsort(by_rarity[present])][:anchors]
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for w in rare.tolist():
-            at = np.flatnonzero(coded == w).tolist()
-            for k, q in index.postings[w]:
-                for p in at:
-                    votes[k, p - q] += 1
         found: dict[tuple[str, int], float] = {}
-        for (k, start), n in votes.items():
-            label, t, need = index.templates[k]
-            if n < 2:
+        for label, t, need in index.templates:
+            places = [index.places(coded, p, idf) for p in need]
+            if not all(len(x) for x in places):
                 continue
-            at = start + np.arange(len(t))
-            inside = (at >= 0) & (at < len(coded))
-            share = float((coded[at[inside]] == t[inside]).sum()) / len(t)
-            near = coded[max(0, start - 4) : start + len(t) + 4]
-            if share >= coverage and all(len(index.places(near, p, idf)) for p in need):
-                found[label, start] = max(share, found.get((label, start), 0.0))
+            # a placed template has its first phrase within NEAR words of it, so these are all starts it can have
+            off = np.arange(-NEAR, len(t) + NEAR - len(need[0]) + 1)
+            starts = np.unique(places[0][:, None] - off)
+            same = np.zeros(len(starts), dtype=np.int64)
+            for q, w in enumerate(t.tolist()):
+                at = starts + q
+                same += (coded[np.clip(at, 0, len(coded) - 1)] == w) & (at >= 0) & (at < len(coded))
+            share = same / len(t)
+            for start, part in zip(starts[share >= coverage].tolist(), share[share >= coverage].tolist(), strict=True):
+                low, high = max(0, start - NEAR), start + len(t) + NEAR
+                if all(((x >= low) & (x + len(p) <= high)).any() for x, p in zip(places, need, strict=True)):
+                    found[label, start] = max(part, found.get((label, start), 0.0))
         return [(label, start, share) for (label, start), share in sorted(found.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

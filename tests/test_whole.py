@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tabwarden.llm import ppm
+from tabwarden.llm import license_scan, ppm
 from tabwarden.llm.tables import held_out
 from tabwarden.plans import catalog
 
@@ -53,3 +53,23 @@ def test_scores_whatever_the_hot_trie_holds(spark):
     whole = scores(1 << 32)
     for most in (0, 3000):
         assert scores(most) == pytest.approx(whole, rel=1e-9)
+
+
+def test_every_license_of_a_text(spark, tmp_path):
+    templates = license_scan.TEMPLATES
+    texts = [" so it is said ".join(t for _, t, _ in templates), f"{templates[3][1]} . . . {templates[11][1]}", f"{templates[3][1]} and then {templates[15][1]}", "cc by nc alone"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(d).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall("[a-z0-9]+", t)
+        expected = set()
+        for label, template, need in templates:
+            x = template.split()
+            for start in range(-len(x), len(words)):
+                share = sum(0 <= start + q < len(words) and words[start + q] == w for q, w in enumerate(x)) / len(x)
+                near = words[max(0, start - 4) : max(0, start + len(x) + 4)]
+                if share >= 0.6 and all(f" {p} " in f" {' '.join(near)} " for p in need):
+                    expected.add((label, start))
+        assert {(m["label"], m["start_word"]) for m in got[i]["matches"]} == expected
+    assert {x[0] for x in templates} <= set(got[0]["labels"].split(","))
+    assert {"mit", "cc-by-nc"} <= set(got[1]["labels"].split(",")) and {"mit", "unlicense"} <= set(got[2]["labels"].split(","))
