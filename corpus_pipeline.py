@@ -14,34 +14,49 @@ from tabwarden.llm.tables import table, written
 # be null or repeat.
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with `_row`: each row's number in the order of ids, null last, and then of the other columns.
+
+    It depends on the rows only, not on their files; among equal rows any order is the same.
+    """
+    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), *(F.col(c) for c in docs.columns if c != "doc_id")]
+    placed = docs.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, f"{name}-placed").withColumn("_part", F.shiftright("_at", 33))
+    sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())  # a row a partition
+    offsets = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    before = docs.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    numbered = placed.join(F.broadcast(before), "_part").withColumn("_row", F.expr(f"(_at & {(1 << 33) - 1}) + _before"))
+    return numbered.drop("_at", "_part", "_before")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in kept (_row)."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier rejects go."""
-    kept = quality.classify(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return _only(docs, kept)
+    rows = _numbered(docs, "quality")
+    return _only(rows, quality.classify(rows, id_col="_row").where("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id stays; of rows of one id, one."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return _only(docs, kept).dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates, the document of the smallest id stays, a null one only if there is no other."""
+    rows = _numbered(docs, "near-dedup")
+    return _only(rows, near_dup.near_duplicates(rows, id_col="_row").where("kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    clean = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(F.col("doc_id").alias("_kept"))
-    return _only(docs, clean)
+    rows = _numbered(docs, "decontamination")
+    return _only(rows, decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row").where("NOT contaminated"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated as often as the mix takes its words, to the nearest whole; words it doesn't take leave it out."""
-    mixed = mixing.mix(docs)
-    times = mixed.select(F.col("doc_id").alias("_kept"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_kept"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = _numbered(docs, "mixing")
+    times = mixing.mix(rows, id_col="_row").select("_row", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_times")).where("_times > 0")
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +72,7 @@ STAGES = [
     ("token output", token_stage),
 ]
 
-#: The stages learn, hash and link, which SQL can't express; tests/llm holds the run against brute force.
+#: The stages learn, hash and link, which SQL can't express; tests/test_whole.py holds stages against brute force.
 ORACLE_SQL = None
 
 
