@@ -3,8 +3,9 @@
 Test items are partitioned by their number of shingles into classes of L = 8, 16, 32, ... (an item's
 class is the least L that holds it).  A document's shingles, in text order, are cut for every class into
 windows of 1.25 L that begin each L / 4; an item that stands in a document lies in one of them, and
-takes so large a share of it that one of COORDINATES minima is equal with probability 1 - 4e-6 at least,
-however long the document is.  Window minima pass a bitmap of fixed size made of all items' minima; what
+takes so large a share of it that one of COORDINATES minima is equal with probability 1 - 1.3e-5 at least
+(an item just over half its class, of which 0.8 stand there), however long the document is.  Items of up
+to four shingles stand in a document only with all of them and are looked up by one of these, exactly.  Window minima pass a bitmap of fixed size made of all items' minima; what
 is left is joined with the items' minima, and each candidate pair is verified: an item is in a document
 if the document's shingle set holds `containment` of the item's.
 
@@ -31,6 +32,8 @@ from tabwarden.llm.tables import written
 COORDINATES = 32
 SHINGLE_WORDS = 5
 LEAST_CLASS = 8
+#: Items of so many shingles or fewer are class 1.
+FEW = 4
 #: Entries of the bitmaps that tasks carry, whatever the number of items.
 BITS = 1 << 22
 
@@ -70,7 +73,7 @@ def item_signatures(items: DataFrame) -> DataFrame:
                         continue
                     rows.append(first + i)
                     widths.append(n_words if n_words < SHINGLE_WORDS else 0)
-                    classes.append(0 if n_words < SHINGLE_WORDS else max(LEAST_CLASS, 1 << (len(distinct) - 1).bit_length()))
+                    classes.append(0 if n_words < SHINGLE_WORDS else 1 if len(distinct) <= FEW else max(LEAST_CLASS, 1 << (len(distinct) - 1).bit_length()))
                     sets.append(distinct.view(np.int64))
                     minima.append(np.min((distinct[:, None] ^ _X) * _A, axis=0).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -105,12 +108,12 @@ def _window_minima(x: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     return np.minimum(four[:-1], b[4:]), step
 
 
-def document_hits(docs: DataFrame, sizes: list[int], widths: list[int], minima: np.ndarray, shingles: np.ndarray) -> DataFrame:
+def document_hits(docs: DataFrame, sizes: list[int], widths: list[int], minima: np.ndarray, shingles: np.ndarray, few: np.ndarray | None) -> DataFrame:
     """(doc_id, text) -> (doc_id, keys array<string> of the window minima that an item may have, shingles that items may have)."""
-    shared = docs.sparkSession.sparkContext.broadcast((minima, shingles))
+    shared = docs.sparkSession.sparkContext.broadcast((minima, shingles, few))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_minima, item_shingles = shared.value
+        item_minima, item_shingles, item_few = shared.value
         for batch in batches:
             keys: list[list[str]] = [[] for _ in range(batch.num_rows)]
             kept: list[np.ndarray | None] = [None] * batch.num_rows
@@ -130,6 +133,9 @@ def document_hits(docs: DataFrame, sizes: list[int], widths: list[int], minima:
                                 if begin[text] < begin[text + 1]:
                                     hit.setdefault(text, set()).add(f"{size}:{k}:{low[j].view(np.int64)}")
                                 text += 1
+                for j in np.flatnonzero(item_few[_slot(hashes)]) if item_few is not None else ():
+                    text = int(np.searchsorted(begin, j, side="right")) - 1
+                    hit.setdefault(text, set()).add(f"1:0:{hashes[j].view(np.int64)}")
                 for width in widths:
                     runs = _short_runs(w, width)
                     for j in np.flatnonzero(item_shingles[_slot(runs)]):
@@ -149,24 +155,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(id_col, contaminated, n_items, items array<long> ascending, containment) for every row of `docs`."""
     items = written(item_signatures(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))).distinct(), "items")
     kinds = items.select("size_class", "width").distinct().toArrow().to_pylist()  # a class for each power of two
-    long_items = items.where("width = 0")
+    if containment < 0.8:
+        raise ValueError("windows and minima are made for a containment of 0.8 or more")
+    long_items = items.where("size_class > 1")
     minima = _bitmap(long_items.select(F.explode("minima").alias("v")))
     shingles = _bitmap(items.select(F.explode("shingles").alias("v")))
     text = F.col(text_col).cast("string")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_key"))
-    sizes, widths = sorted({k["size_class"] for k in kinds} - {0}), sorted({k["width"] for k in kinds} - {0})
-    hits = written(document_hits(named, sizes, widths, minima, shingles), "hits")
+    sizes, widths = sorted({k["size_class"] for k in kinds} - {0, 1}), sorted({k["width"] for k in kinds} - {0})
+    few = _bitmap(items.where("size_class = 1").select(F.col("shingles")[0].alias("v"))) if any(k["size_class"] == 1 for k in kinds) else None
+    hits = written(document_hits(named, sizes, widths, minima, shingles, few), "hits")
     found = hits.where("size(keys) > 0").dropDuplicates(["text_key"])
     known = items.withColumn("item", F.xxhash64("item_id", "shingles"))
     short = F.array(F.concat_ws(":", F.lit("0"), F.col("width"), F.col("shingles")[0]))
     long = F.transform("minima", lambda v, k: F.concat_ws(":", F.col("size_class"), k, v))
-    entries = known.select("item", F.explode(F.when(F.col("width") > 0, short).otherwise(long)).alias("key"))
+    one = F.array(F.concat_ws(":", F.lit("1"), F.lit("0"), F.col("shingles")[0]))
+    entries = known.select("item", F.explode(F.when(F.col("width") > 0, short).when(F.col("size_class") == 1, one).otherwise(long)).alias("key"))
     pairs = found.select("text_key", F.explode("keys").alias("key")).join(entries, "key").select("text_key", "item").distinct()
     both = pairs.join(found.select("text_key", F.col("shingles").alias("doc_shingles")), "text_key").join(known.select("item", "item_id", "shingles", "width"), "item")
     share = F.when(F.col("width") > 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("shingles", "doc_shingles")) / F.size("shingles"))
     verified = both.withColumn("share", share).where(F.col("share") >= containment)
     by_text = verified.groupBy("text_key").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("share").alias("containment"))
-    out = hits.select("doc_id", "text_key").join(by_text, "text_key", "left")
+    # documents without a hit, most of them, need no join
+    out = hits.where("size(keys) > 0").select("doc_id", "text_key").join(by_text, "text_key", "left").unionByName(hits.where("size(keys) = 0").select("doc_id", "text_key"), allowMissingColumns=True)
     return out.select(
         F.col("doc_id").alias(id_col),
         F.col("n_items").isNotNull().alias("contaminated"),

@@ -8,7 +8,8 @@ threshold, a low quantile of the sample's own.
 
 Defined cases.  A text that is null or without letters has no language (`und`, score 0).  Rows without a
 label don't train.  Without any labelled row every text is `und`.  Equal cosines go to the language that
-sorts first.  Repeated rows count as often as they stand there and get equal results.
+sorts first.  Repeated rows count as often as they stand there, but once in the sample, and get equal
+results.  Over LANGUAGES labels raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from tabwarden.llm import bytetext
 
 DIMENSIONS = 4096
-#: Labelled texts of a language that its centroids are fitted on, about; chosen by the hash of the id.
+#: Distinct labelled texts of a language that its centroids are fitted on, about; chosen by the hash of the text.
 SAMPLE = 400
+#: More labels than this aren't languages.
+LANGUAGES = 4096
 CENTROIDS = 4
 UNKNOWN = "und"
 _CHUNK = 1 << 18
@@ -96,17 +99,18 @@ def _spherical_k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = 0.005) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """labelled (doc_id, text, lang) -> (language of each centroid, centroids, idf, rejection threshold of each)."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    """labelled (text, lang) -> (language of each centroid, centroids, idf, rejection threshold of each)."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()  # one row a language
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
     idf = inverse_document_frequencies(labelled.select("text"))
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, (sample << 20) // n + 1))).otherwise(share)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1 << 40, (sample << 40) // r["n"] + 1)) for r in counts], "lang string, share long")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.col("share"))
+    drawn = drawn.select("lang", "text").distinct()
     shared = labelled.sparkSession.sparkContext.broadcast(idf)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["doc_id", "text"])
+        rows = pdf.sort_values("text")
         v = np.concatenate([x for _, _, x in _vectors(pa.array(rows["text"], pa.string()), shared.value)])
         centres = _spherical_k_means(v, centroids)
         threshold = float(np.quantile((v @ centres.T).max(axis=1), quantile))
@@ -124,7 +128,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     """
     text = F.lower(F.col(text_col).cast("string"))
     labelled = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    langs, centres, idf, thresholds = fit(labelled.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang")), **options)
+    langs, centres, idf, thresholds = fit(labelled.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang")), **options)
     shared = docs.sparkSession.sparkContext.broadcast((langs, centres, idf, thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

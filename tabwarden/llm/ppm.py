@@ -3,15 +3,16 @@
 Spark counts all byte 4-grams of the training texts; they are the deepest nodes of a context trie of
 order 3, whose shallower nodes are sums over them.  No node is pruned.  Tasks carry the 4-grams of the
 middles (the two bytes before the last) most used, up to MAX_NODES, and all nodes of orders 0 and 1;
-grams of other middles are resolved by a join with the table of all 4-grams.  A byte is predicted in the longest context that the trie holds: a symbol seen n times among
-T, d of them distinct, has n / (T + d), the escape to the next shorter context d / (T + d) (estimate C),
+grams of other middles are resolved by a join with the table of all 4-grams.  A text is coded with its
+end, as the byte 255, which UTF-8 doesn't have, so scores are probabilities of whole texts.  A byte is
+predicted in the longest context that the trie holds: a symbol seen n times among T, d of them distinct, has n / (T + d), the escape to the next shorter context d / (T + d) (estimate C),
 and symbols of the context escaped from are excluded there.  Below order 0 all bytes left are alike.
 Since the trie is static, what exclusion leaves in a suffix is computed once for each context.
 
 The plainer unigram score of words is `unigram`: exact counts of all training tokens; frequent tokens
 are looked up in a table of fixed size, all others by a join.
 
-Defined cases.  A null text is empty: its score is 0, its only token is the end.  A null id is never held
+Defined cases.  A null text is empty: it has its end only, as symbol and as token.  A null id is never held
 out.  With no training rows every byte has 1/256.  Repeated rows count and score each on their own.
 """
 
@@ -71,6 +72,11 @@ class _Tally:
         return keys, np.bincount(at, weights=np.concatenate(self.counts), minlength=len(keys)).astype(np.int64)
 
 
+def _ended(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with the byte 255 after each."""
+    return np.insert(raw, offsets[1:], 255), offsets + np.arange(len(offsets))
+
+
 def _grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The ORDER + 1 bytes that end at each position, as one number; zeros stand before a text."""
     out = raw.astype(np.uint32)
@@ -97,7 +103,7 @@ def counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows += batch.num_rows
             for _, _, raw, offsets in bytetext.chunks(batch.column("text")):
-                for kind, tally, keys in ((_GRAM, grams, _grams(raw, offsets)), (_TOKEN, tokens, bytetext.words(raw, offsets).hashes)):
+                for kind, tally, keys in ((_GRAM, grams, _grams(*_ended(raw, offsets))), (_TOKEN, tokens, bytetext.words(raw, offsets).hashes)):
                     if (found := tally.add(keys)) is not None:
                         yield batch_of(kind, found)
         yield batch_of(_GRAM, grams.merged())
@@ -291,8 +297,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             for first, last, raw, offsets in bytetext.chunks(batch.column("text")):
                 n = last - first
                 texts = np.arange(n)
-                of_byte = np.repeat(texts, np.diff(offsets))
-                grams = _grams(raw, offsets)
+                ended, ends = _ended(raw, offsets)
+                of_byte = np.repeat(texts, np.diff(ends))
+                grams = _grams(ended, ends)
                 cold = lacks[(grams >> np.uint32(8)) & np.uint32(_MIDDLES - 1)]
                 p = trie.log10_probabilities(grams[~cold])
                 total = np.bincount(of_byte[~cold], weights=p, minlength=n).astype(float)

@@ -196,12 +196,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     posterior, _ = label_model(found) if found else ({}, None)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     total = max(1, sum(found.values()))
-    share = min(1 << 30, (sample << 30) // total + 1)
-    drawn = named.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
+    share = min(1 << 40, (sample << 40) // total + 1)
+    drawn = named.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share).distinct()
     weights = None
     if found:
-        # one group of about `sample` texts
-        fitted = drawn.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: pd.DataFrame({"w": [_fit(pdf.sort_values(["doc_id", "text"]), posterior).tolist()]}), "w array<double>").collect()
+        # one group of about `sample` distinct texts
+        fitted = drawn.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: pd.DataFrame({"w": [_fit(pdf.sort_values("text"), posterior).tolist()]}), "w array<double>").collect()
         weights = np.array(fitted[0]["w"]) if fitted else None
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
 

@@ -36,7 +36,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ppm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7))
-    return scored.withColumn("held_out", held_out("doc_id", 7))
+    return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), *scored.columns[1:])
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

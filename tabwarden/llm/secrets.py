@@ -9,8 +9,9 @@ Positions come from marking the matches of a pattern, splitting at the marks and
 The marks are U+0001, which no pattern matches and which is blanked in the text before.
 
 Defined cases.  A null text is empty; texts without findings have counts of 0, the digest of the empty
-string and no spans.  Equal texts are scanned once and give each of their rows the same result, null ids
-included.  Only the id and the text are read.
+string and no spans.  Each row is scanned; what equal texts have is linked once and given to each of their
+rows, null ids included.  A host name is a whole run of its characters, so it ends at the last label.
+Time grows in proportion to a text's length.  Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ PATTERNS = {
     "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}+", lambda m: F.length(m) >= 24, "secret"),
     "identifier": (r"(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}|(?i:client|account|user|access_?key)_?(?i:id|name)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}", lambda m: F.length(m) >= 8, "identifier"),
     "blob": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}", lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"), "secret"),
-    "endpoint": (r"https?://[^\x00-\x20\"'<>]+|(?<![a-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|internal)(?![a-z0-9-])(?::[0-9]+)?", lambda m: F.length(m) >= 6, "endpoint"),
+    "endpoint": (r"https?://[^\x00-\x20\"'<>]+|(?<![a-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)*+(?<=\.(?:com|net|org|io|internal))(?::[0-9]+)?", lambda m: F.length(m) >= 6, "endpoint"),
 }
 WEAK_KINDS = ("identifier", "blob", "endpoint")
 
