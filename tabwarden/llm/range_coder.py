@@ -1,14 +1,18 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks of BLOCK that are coded on their own: a block's model starts empty and its coded
-bytes carry a checksum of its ids.  For each id, the model offers the id that last followed the two ids
-before it (order 2), the one that last followed the id before it (order 1), each with a confidence, and
-the file's id frequencies (order 0).  How often predictions of a confidence came true so far in the block
-gives their share of the range; what they leave is split by the order-0 frequencies.  One range-coder step
-codes the id.  All blocks of a file advance together, one id of each at a time, as numpy vectors.
-
-File: header (magic, numbers of documents, ids and blocks), document table, order-0 table, block table
-(bytes and checksum of each), coded blocks.
+Ids are cut into blocks of BLOCK that are coded on their own: a block's model starts empty, its coded
+bytes carry a checksum of its ids, and it can be decoded alone.  Three predictions are mixed for each id.
+Order 2 and order 1 put their weight on the id that last followed the two ids, or the one id, before it;
+a weight is how often predictions of that confidence came true so far in the block.  Order 0 spreads the
+remaining weight over all ids by their counts so far in the block, on top of a fixed prior that falls
+with the id.  Where predictions agree their weights add up, and one range-coder step codes the id with
+its mixed share.  All blocks of a file advance together, one id of each at a time, as numpy vectors.
+
+Counts of order 0 are kept in trees of four levels with running sums in each node, so that an id's place
+among all ids is read from four nodes.
+
+File: header (magic, numbers of documents, ids and blocks), document table, block table (bytes and
+checksum of each), coded blocks.
 """
 
 from __future__ import annotations
@@ -21,67 +25,145 @@ import numpy as np
 BLOCK = 4096
 #: Ids are under this; the value itself stands for none.
 NONE = 65535
-MAGIC = b"TWID1\0"
+MAGIC = b"TWID2\0"
 _TOTAL = 24  # bits of the range's shares
 _ONE, _TWO = 11, 12  # bits of the tables of order 1 and 2
 _BOTTOM = np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
+#: What an occurrence in the block adds to an id's prior share.
+_STEP = 80
+#: The highest weight of a prediction; what two leave is over the sum of order 0, so that every id has a share.
+_SURE = 53000
+
+
+def _prior() -> np.ndarray:
+    """Where each id's prior share begins, with the end after the last: 1 each, and as much again by 1 / (id + 256)."""
+    falling = 1_000_000_000 // (np.arange(1 << 16, dtype=np.int64) + 256)
+    return np.append(0, np.cumsum(1 + (falling << 16) // falling.sum()))
+
+
+_PRIOR = _prior()
+_LEVELS = (12, 8, 4, 0)  # bits below a node's children
+#: For each level, the prior's running sums over the children of each node.
+_PRIOR_SUMS = [(_PRIOR[(np.arange(1, (1 << 16 - bits) + 1) << bits)].reshape(-1, 16) - _PRIOR[np.arange(0, 1 << 16, 16 << bits)][:, None]).astype(np.int32) for bits in _LEVELS]
+#: One for each child from a given one on, four children to a word.
+_FROM = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.uint16).view(np.uint64)
+
+
+class _Counts:
+    """Order 0: how often each id occurred in each lane's block so far."""
+
+    def __init__(self, lanes: int):
+        # a node's 16 running sums of 16 bits in 4 words; no sum is over BLOCK
+        self.words = [np.zeros((lanes << 12 - bits, 4), dtype=np.uint64) for bits in _LEVELS]
+        self.flat = [w.view(np.uint16).ravel() for w in self.words]
+        self.first = [np.arange(lanes, dtype=np.int64) << 12 - bits for bits in _LEVELS]
+
+    def narrow(self, lanes: int) -> None:
+        self.first = [f[:lanes] for f in self.first]
+
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences of smaller ids, of the ids themselves)."""
+        below = np.zeros(len(ids), dtype=np.int64)
+        for flat, first, bits in zip(self.flat, self.first, _LEVELS, strict=True):
+            child = ids >> bits
+            at = (first << 4) + child
+            before = flat.take(at - 1, mode="wrap") * ((child & 15) > 0)
+            below += before
+        return below, flat.take(at).astype(np.int64) - before
+
+    def add(self, ids: np.ndarray) -> None:
+        for words, first, bits in zip(self.words, self.first, _LEVELS, strict=True):
+            at = first + (ids >> bits + 4)
+            words[at] = words.take(at, axis=0) + _FROM.take(ids >> bits & 15, axis=0)
+
+    def search(self, x: np.ndarray) -> np.ndarray:
+        """The id in whose share, prior and occurrences, each x lies."""
+        node = np.zeros(len(x), dtype=np.int64)
+        rest = x.astype(np.int32)
+        lanes = np.arange(len(x)) << 4
+        for words, first, prior in zip(self.words, self.first, _PRIOR_SUMS, strict=True):
+            ends = words.take(first + node, axis=0).view(np.uint16).astype(np.int32)
+            ends *= _STEP
+            ends += prior.take(node, axis=0)
+            child = np.count_nonzero(ends[:, :15] <= rest[:, None], axis=1)
+            rest = rest - np.where(child > 0, ends.ravel().take(lanes + child - 1, mode="wrap"), 0)
+            node = (node << 4) + child
+        return node
 
 
 class _Model:
+    """What each lane's block predicts next."""
+
     def __init__(self, lanes: int):
+        self.counts = _Counts(lanes)
+        self.seen = 0
         self.base1 = np.arange(lanes, dtype=np.int64) << _ONE
         self.base2 = np.arange(lanes, dtype=np.int64) << _TWO
         self.base = np.arange(lanes, dtype=np.int64) << 4
         self.id1, self.id2 = np.full(lanes << _ONE, NONE, dtype=np.uint16), np.full(lanes << _TWO, NONE, dtype=np.uint16)
         self.sure1, self.sure2 = np.zeros(lanes << _ONE, dtype=np.uint8), np.zeros(lanes << _TWO, dtype=np.uint8)
-        start = (8192 + 3200 * np.arange(16)).astype(np.int32)
+        start = (8192 + 2900 * np.arange(16)).astype(np.int32)
         self.right1, self.right2 = np.tile(start, lanes), np.tile(start, lanes)
         self.last1 = np.zeros(lanes, dtype=np.int64)
         self.last2 = np.zeros(lanes, dtype=np.int64)
 
     def narrow(self, lanes: int) -> None:
         """Go on with the first lanes only; the others have ended."""
+        self.counts.narrow(lanes)
         for name in ("base1", "base2", "base", "last1", "last2"):
             setattr(self, name, getattr(self, name)[:lanes])
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 id, its share, order-1 id, its share), shares of 1 << _TOTAL."""
+    def predict(self) -> None:
+        """two and one, the ids that orders 2 and 1 predict; share2, share1 and left, the weights, of 1 << _TOTAL."""
         self.at1 = self.base1 + ((self.last1 * 40503 >> 3) & ((1 << _ONE) - 1))
         self.at2 = self.base2 + ((self.last1 * 40503 ^ self.last2 * 60493) >> 2 & ((1 << _TWO) - 1))
-        two, one = self.id2[self.at2].astype(np.int64), self.id1[self.at1].astype(np.int64)
+        self.two, self.one = self.id2[self.at2].astype(np.int64), self.id1[self.at1].astype(np.int64)
         self.p2, self.p1 = self.base + self.sure2[self.at2], self.base + self.sure1[self.at1]
-        share2 = (self.right2[self.p2].astype(np.int64) << 8) * (two != NONE)
-        share1 = ((((1 << _TOTAL) - share2) * self.right1[self.p1]) >> 16) * ((one != NONE) & (one != two))
-        self.two, self.one = two, one
-        return two, share2, one, share1
+        self.share2 = (self.right2[self.p2].astype(np.int64) << _TOTAL - 16) * (self.two != NONE)
+        rest = (1 << _TOTAL) - self.share2
+        self.share1 = (rest * self.right1[self.p1] >> 16) * (self.one != NONE)
+        self.left = rest - self.share1
+        self.sum0 = int(_PRIOR[-1]) + _STEP * self.seen
+
+    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the ids' shares by order 0 alone, of `left`."""
+        below, own = self.counts.place(ids)
+        begin = _PRIOR[ids] + _STEP * below
+        return begin * self.left // self.sum0, (_PRIOR[ids + 1] + _STEP * (below + own)) * self.left // self.sum0
+
+    def mixed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the ids' mixed shares."""
+        begin, end = self.order0(ids)
+        first = begin + self.share2 * (self.two < ids) + self.share1 * (self.one < ids)
+        return first, end - begin + self.share2 * (self.two == ids) + self.share1 * (self.one == ids)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose mixed shares the values lie."""
+        agree, swap = self.two == self.one, self.two > self.one
+        a, b = np.where(swap, self.one, self.two), np.where(agree, NONE, np.where(swap, self.two, self.one))
+        of_a = np.where(swap, self.share1, self.share2) + np.where(agree, self.share1, 0)
+        of_b = np.where(agree, 0, np.where(swap, self.share2, self.share1))
+        (a0, a1), (b0, b1) = self.order0(a), self.order0(b)
+        a1, b0, b1 = a1 + of_a, b0 + of_a, b1 + of_a + of_b
+        plain = value - of_a * (value >= a1) - of_b * (value >= b1)
+        x = np.minimum(((plain + 1) * self.sum0 - 1) // self.left, self.sum0 - 1)
+        out = self.counts.search(np.maximum(x, 0))
+        return np.where((value >= a0) & (value < a1), a, np.where((value >= b0) & (value < b1), b, out))
 
     def update(self, ids: np.ndarray) -> None:
         for guess, sure, right, table, at, p in ((self.two, self.sure2, self.right2, self.id2, self.at2, self.p2), (self.one, self.sure1, self.right1, self.id1, self.at1, self.p1)):
             hit = guess == ids
             have = right[p]
-            right[p] = np.minimum(np.maximum(have + (((hit * 65535) - have) >> 5), 64), 60000)
+            right[p] = np.minimum(np.maximum(have + (((hit * 65535) - have) >> 5), 64), _SURE)
             now = sure[at]
             table[at] = np.where(hit | (now > 0), guess, ids)
             sure[at] = np.where(hit, np.minimum(now + 1, 15), now >> 1)
+        self.counts.add(ids)
+        self.seen += 1
         self.last2, self.last1 = self.last1, ids
 
 
-def _order0(ids: np.ndarray) -> np.ndarray:
-    """Frequencies of the ids that occur, out of 65536, none under 1."""
-    counts = np.bincount(ids, minlength=1).astype(np.int64)
-    some = np.flatnonzero(counts)
-    out = np.zeros(len(counts), dtype=np.int64)
-    out[some] = 1 + counts[some] * (65536 - len(some)) // max(1, counts.sum())
-    out[some[np.argmax(counts[some])]] += 65536 - out.sum()
-    return out
-
-
-def _spans(freq: np.ndarray) -> np.ndarray:
-    """Where each id's share begins, with the end after the last."""
-    return np.concatenate([[0], np.cumsum(freq)])
-
-
 def _lengths(n: int) -> list[tuple[int, int]]:
     """(first step, lanes that take part) of the runs in which the number of lanes stays."""
     lanes, rest = -(-n // BLOCK), n % BLOCK
@@ -90,14 +172,13 @@ def _lengths(n: int) -> list[tuple[int, int]]:
     return [(0, lanes), (rest, lanes - 1)]
 
 
-def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[bytes]:
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
     padded = np.zeros(lanes * BLOCK, dtype=np.int64)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    spans = _spans(freq)
     model = _Model(lanes)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     out = np.zeros((lanes, 2 * BLOCK + 64), dtype=np.uint16)
@@ -109,15 +190,8 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[bytes]:
         lo, sp, pos = low[:active].copy(), span[:active].copy(), at[:active].copy()
         for step in range(begin, end if active else begin):
             now = columns[step, :active]
-            two, share2, one, share1 = model.predict()
-            both = share2 + share1
-            left = (1 << _TOTAL) - both
-            first = both + ((spans[now] * left) >> 16)
-            size = both + ((spans[now + 1] * left) >> 16) - first
-            by2 = (two == now) & (share2 > 0)
-            by1 = ~by2 & (one == now) & (share1 > 0)
-            first = np.where(by2, 0, np.where(by1, share2, first))
-            size = np.where(by2, share2, np.where(by1, share1, size))
+            model.predict()
+            first, size = model.mixed(now)
             sp >>= np.uint64(_TOTAL)
             lo += first.astype(np.uint64) * sp
             sp *= size.astype(np.uint64)
@@ -141,46 +215,37 @@ def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[bytes]:
     return [out[i, : at[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
-def decode_blocks(blocks: list[bytes], n: int, freq: np.ndarray) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
+    """The n ids of some blocks; all are of BLOCK ids but for the last."""
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, dtype=np.int64)
     words = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), dtype=np.uint64)
     for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
-    spans = _spans(freq)
-    slot = np.repeat(np.arange(len(freq)), freq)
+        words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2", count=len(b) // 2)
     model = _Model(lanes)
     low, span, at = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.full(lanes, 4)
     code = np.zeros(lanes, dtype=np.uint64)
     for k in range(4):
         code = (code << _U16) | words[:, k]
     columns = np.zeros((BLOCK, lanes), dtype=np.int64)
+    last = words.shape[1] - 1
     runs = _lengths(n)
     for k, (begin, active) in enumerate(runs):
         end = runs[k + 1][0] if k + 1 < len(runs) else BLOCK
         model.narrow(active)
         low, span, at, code = low[:active], span[:active], at[:active], code[:active]
         for step in range(begin, end if active else begin):
-            two, share2, one, share1 = model.predict()
-            both = share2 + share1
-            left = (1 << _TOTAL) - both
+            model.predict()
             span >>= np.uint64(_TOTAL)
-            value = np.minimum(((code - low) // span).astype(np.int64), (1 << _TOTAL) - 1)
-            by2 = value < share2
-            by1 = ~by2 & (value < both)
-            rest = np.maximum(value - both, 0)
-            now = slot[np.minimum((((rest + 1) << 16) - 1) // left, 65535)]
-            first = both + ((spans[now] * left) >> 16)
-            size = both + ((spans[now + 1] * left) >> 16) - first
-            now = np.where(by2, two, np.where(by1, one, now))
-            first = np.where(by2, 0, np.where(by1, share2, first))
-            size = np.where(by2, share2, np.where(by1, share1, size))
+            value = np.minimum((code - low) // np.maximum(span, np.uint64(1)), np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
+            now = np.minimum(model.find(value), NONE - 1)
+            first, size = model.mixed(now)
             low += first.astype(np.uint64) * span
             span *= size.astype(np.uint64)
             while True:
                 same = ((low ^ (low + span)) >> _U48) == 0
-                move = np.flatnonzero(same | (span < _BOTTOM))
+                move = np.flatnonzero((same | (span < _BOTTOM)) & (at < last))  # damaged bytes may run past the end
                 if not len(move):
                     break
                 a, b = low[move], span[move]
@@ -212,29 +277,42 @@ def encode_file(doc_ids: np.ndarray, null: np.ndarray, sizes: np.ndarray, ids: n
     """doc_ids and null flags and numbers of ids of the documents; all their ids in a row."""
     if len(ids) and int(ids.max()) >= NONE:
         raise ValueError("ids must be under 65535")
-    freq = _order0(ids) if len(ids) else np.zeros(1, dtype=np.int64)
-    blocks = encode_blocks(ids, freq)
+    blocks = encode_blocks(ids)
     sums = [checksum(ids[k * BLOCK : (k + 1) * BLOCK]) for k in range(len(blocks))]
     head = MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), len(blocks))
-    tables = [_packed(doc_ids, "<i8"), _packed(null, "u1"), _packed(sizes, "<u8"), _packed(freq, "<u4"), _packed([len(b) for b in blocks], "<u4"), _packed(sums, "<u4")]
+    tables = [_packed(doc_ids, "<i8"), _packed(null, "u1"), _packed(sizes, "<u8"), _packed([len(b) for b in blocks], "<u4"), _packed(sums, "<u4")]
     return b"".join([head, *tables, *blocks])
 
 
-def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What `encode_file` was given; raises ValueError where a block's checksum doesn't hold."""
+def _read(data: bytes) -> tuple[list[np.ndarray], int, list[bytes]]:
+    """(document ids, null flags, sizes, checksums), number of ids, coded blocks."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token-id file")
     _, n, _ = struct.unpack_from("<QQQ", data, len(MAGIC))
     at = len(MAGIC) + 24
     found = []
-    for kind in ("<i8", "u1", "<u8", "<u4", "<u4", "<u4"):
+    for kind in ("<i8", "u1", "<u8", "<u4", "<u4"):
         x, at = _unpacked(data, at, kind)
         found.append(x)
-    doc_ids, null, sizes, freq, lengths, sums = found
+    lengths = found.pop(3)
     ends = at + np.cumsum(np.append(0, lengths.astype(np.int64)))
-    blocks = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    ids = decode_blocks(blocks, n, freq.astype(np.int64))
+    return found, n, [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _checked(ids: np.ndarray, sums: np.ndarray, first: int = 0) -> np.ndarray:
     for k, s in enumerate(sums.tolist()):
         if checksum(ids[k * BLOCK : (k + 1) * BLOCK]) != s:
-            raise ValueError(f"block {k} is damaged")
-    return doc_ids, null.astype(bool), sizes.astype(np.int64), ids
+            raise ValueError(f"block {first + k} is damaged")
+    return ids
+
+
+def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `encode_file` was given; raises ValueError where a block's checksum doesn't hold."""
+    (doc_ids, null, sizes, sums), n, blocks = _read(data)
+    return doc_ids, null.astype(bool), sizes.astype(np.int64), _checked(decode_blocks(blocks, n), sums)
+
+
+def decode_block(data: bytes, block: int) -> np.ndarray:
+    """The ids of one block, without the others."""
+    (_, _, _, sums), n, blocks = _read(data)
+    return _checked(decode_blocks([blocks[block]], min(BLOCK, n - block * BLOCK)), sums[block : block + 1], block)

@@ -5,9 +5,10 @@ of about FILE_IDS ids (`range_coder` has the format), written as rows of a table
 folder, so that the output commits with Spark's own protocol and survives lost executors.  Reading
 decodes the files, checks every block's checksum and adds the files' sizes up to global positions.
 
-A tokenizer is applied word by word: its own pattern cuts a text, and a word met before is looked up.
-Texts with characters for which the cut might differ, or with the name of a special token, are given to
-the tokenizer whole.
+A byte-level tokenizer is applied word by word: texts are cut where its own pattern cuts them, found from
+the classes of their characters with numpy, and a word met before, known by a 64-bit hash, is looked up.
+Texts with characters for which the cut might differ or with the name of a special token, and all texts
+where the tokenizer isn't of that kind, are given to it whole.
 
 Defined cases.  A null text is empty: its document has the end id only.  Null ids come first.  Equal ids
 are ordered by text.  An empty table gives an empty table of files.
@@ -15,7 +16,10 @@ are ordered by text.  An empty table gives an empty table of files.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +28,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwarden.llm import range_coder
+from tabwarden.llm import bytetext, range_coder
 from tabwarden.llm.tables import written
 
 FILE_IDS = 4 << 20
-#: Words whose ids a task keeps.
-CACHE = 300_000
+#: Words whose ids a worker keeps, about; 40 bytes each.
+CACHE = 1_000_000
 
 # Fixed value: the pattern by which the byte-level vocabulary cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # outside these characters, libraries may differ on what a letter or a blank is
 _PLAIN = regex.compile(r"[\x00-\x1B\x20-\x7E¡-ɏ]*")
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+_CLASS = np.array([_BLANK if regex.match(r"\s", c) else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _OTHER for c in map(chr, range(0x250))], dtype=np.uint8)
+_CODE = bytetext.mix(np.arange(1, 0x251, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the words of PATTERN begin in the characters of some plain texts; first: where each text begins."""
+    n = len(codes)
+    kind = _CLASS[codes]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[first] = edge[n] = True  # an empty text begins where the next does
+    run = edge[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    blank = kind == _BLANK
+    start = run.copy()
+    # the last blank before a word is cut off from those before it, and a space goes with the word
+    inner = run & ~blank & ~edge[:n]
+    after = np.flatnonzero(inner)
+    after = after[blank[after - 1]]
+    start[after - 1] = True
+    start[after[codes[after - 1] == 32]] = False
+    # an apostrophe alone between a word and a known ending goes with the ending
+    mark = np.flatnonzero((codes == 39) & start & run)
+    padded = np.append(codes, [0, 0, 0])
+    stop = np.append(edge, [True, True, True])
+    letter = np.append(kind == _LETTER, [False, False, False])
+    mark = mark[letter[mark + 1] & ~stop[mark + 1]]
+    one, two = padded[mark + 1], padded[mark + 2]
+    short = np.isin(one, [115, 116, 109, 100])  # s t m d
+    long = ~stop[mark + 2] & (((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)))  # re ve ll
+    width = np.where(short, 1, np.where(long, 2, 0))
+    mark, width = mark[width > 0], width[width > 0]
+    start[mark + 1] = False
+    rest = mark + 1 + width
+    rest = rest[letter[rest] & ~stop[rest]]
+    start[rest] = True
+    return np.flatnonzero(start)
 
 
 class WordTokenizer:
@@ -47,47 +89,79 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > range_coder.NONE:
+            raise ValueError(f"files hold ids under {range_coder.NONE}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(PATTERN).findall
+        about = json.loads(self.tokenizer.to_str())
+        cut = about.get("pre_tokenizer") or {}
+        self.by_words = about["model"]["type"] == "BPE" and not about.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
         self._empty()
 
     def _empty(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
-        self.start, self.size, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        self.known = np.zeros(0, dtype=np.uint64)  # sorted hashes
+        self.row = np.zeros(0, dtype=np.int64)
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint16)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, len(self.start) + np.arange(len(words)))
         self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint16, count=int(size.sum())))
-        n = len(self.index)
-        self.index.update((w, n + k) for k, w in enumerate(words))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint16, count=int(size.sum())))
+
+    def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each known hash, whether it is known)."""
+        if not len(self.known):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return self.row[at], self.known[at] == hashes
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        if not len(codes):
+            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        lengths = np.array([len(t) for t in texts])
+        first = np.cumsum(lengths) - lengths
+        begin = word_starts(codes, first)
+        end = np.append(begin[1:], len(codes))
+        power = bytetext._power("base", _ODD, len(codes))
+        total = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(_CODE[codes] * power, out=total[1:])
+        hashes = bytetext.mix((total[end] - total[begin]) * bytetext._power("inverse", _INVERSE, len(codes))[begin] + (end - begin).astype(np.uint64))
+        kinds, sample, at = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self._empty()
+        row, have = self._lookup(kinds)
+        new = np.flatnonzero(~have)
+        if len(new):
+            self._learn(kinds[new], [joined[begin[k] : end[k]] for k in sample[new].tolist()])
+            row, _ = self._lookup(kinds)
+        row = row[at]
+        size = self.size[row]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[row] - (ends - size), size) + np.arange(ends[-1])].astype(np.int64)
+        of_words = np.append(0, ends)[np.searchsorted(begin, np.append(first, len(codes)))]
+        return ids, np.diff(of_words)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        words = [self.cut(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if len(self.index) > CACHE:
-            self._empty()
-        have = self.index
-        new = {w for own in words for w in own if w not in have}
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter((have[w] for own in words for w in own), dtype=np.int64)
-        size = self.size[at] if len(at) else at
-        from_ = np.repeat((self.start[at] if len(at) else at) - (np.cumsum(size) - size), size)
-        ids = self.flat[from_ + np.arange(len(from_))].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        counts = np.diff(ends[np.cumsum([0, *map(len, words)])])
+        plain = [self.by_words and _PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        ids, counts = self._plain([t for t, p in zip(texts, plain, strict=True) if p])
         if all(plain):
             return ids, counts
-        parts, at = [], np.cumsum([0, *counts.tolist()])
-        for k, t in enumerate(texts):
-            parts.append(ids[at[k] : at[k + 1]] if plain[k] else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int64))
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+        own = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else ())
+        parts = [next(own) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int64) for t, p in zip(texts, plain, strict=True)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+
+@cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker."""
+    return WordTokenizer(path)
 
 
 def write_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +170,9 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "do
     ordered = named.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(vocabulary)
+        tokenizer = _tokenizer(vocabulary)
+        if not 0 <= end_id < range_coder.NONE:
+            raise ValueError(f"files hold ids under {range_coder.NONE}")
         part, file = TaskContext.get().partitionId(), 0
         docs_in: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
