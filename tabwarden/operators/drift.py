@@ -1,21 +1,17 @@
-"""Schema drift of many batches against canonical schemas, rename matching, risk and routing.
+"""Schema drift of many batches against canonical schemas.
 
 canonical: (dataset, column, type, nullable); facts: as `profile.column_facts` gives them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.operators.profile import BATCH
 
-#: Severities of change kinds, weights of the match score, accepted scores.
-SEVERITY = {"REMOVE": 1.0, "TYPE_CHANGE": 0.9, "RENAME": 0.7, "NULLABLE_CHANGE": 0.5, "ADD": 0.4}
+#: Kinds of changes, in the order of reports.
 ORDER = ("ADD", "REMOVE", "TYPE_CHANGE", "NULLABLE_CHANGE", "RENAME")
-MATCH_THRESHOLD = 0.58
-MATCH_EMBEDDING = 0.55
-BUCKETS = 256
 
 
 def changes(canonical: DataFrame, facts: DataFrame) -> DataFrame:
@@ -37,84 +33,6 @@ def changes(canonical: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select(*BATCH, "column", F.explode(found).alias("x")).select(*BATCH, "x.kind", "column", "x.old", "x.new")
 
 
-def name_tokens(c: Column) -> Column:
-    apart = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.array_distinct(F.filter(F.split(F.lower(apart), "[^a-z0-9]+"), lambda x: x != ""))
-
-
-def token_jaccard(a: Column, b: Column) -> Column:
-    x, y = name_tokens(a), name_tokens(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
-
-
-def name_similarity(a: Column, b: Column) -> Column:
-    """0.6 token Jaccard + 0.4 shared characters over the longer name."""
-    letters = F.lit("abcdefghijklmnopqrstuvwxyz0123456789_")
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch))
-    each = F.transform(F.split(letters, ""), lambda ch: F.least(count(a, ch), count(b, ch)))
-    shared = F.aggregate(each, F.lit(0), lambda acc, x: acc + x)
-    return F.when(a == b, F.lit(1.0)).otherwise(0.6 * token_jaccard(a, b) + 0.4 * shared / F.greatest(F.length(a), F.length(b)))
-
-
-def _cut(text: Column, n: int):
-    return lambda i: F.substring(text, i, F.lit(n))
-
-
-def embedding(names: DataFrame, name: str) -> DataFrame:
-    """(name, bucket, w): hashed character n-grams (3 to 5) of the padded name, scaled to length 1."""
-    padded = F.concat(F.lit(" "), F.col(name), F.lit(" "))
-    grams = None
-    for n in (3, 4, 5):
-        # names shorter than n have none
-        at = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        part = F.transform(at, _cut(padded, n))
-        grams = part if grams is None else F.concat(grams, part)
-    each = names.select(name).distinct().select(name, F.explode(grams).alias("g"))
-    bucket = F.conv(F.substring(F.md5("g"), 1, 2), 16, 10).cast("int")
-    counts = each.groupBy(name, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("hits"))
-    length = F.sqrt(F.sum(F.col("hits") * F.col("hits")).over(Window.partitionBy(name)))
-    return counts.select(name, "bucket", (F.col("hits") / length).alias("w"))
-
-
-def candidates(found: DataFrame, top: int = 12) -> DataFrame:
-    """(dataset, batch_id, old, new, similarities, score): for each removed column its most similar added ones."""
-    removed = found.where("kind = 'REMOVE'").select(*BATCH, F.col("column").alias("old_name"), F.col("old").alias("old_type"))
-    added = found.where("kind = 'ADD'").select(*BATCH, F.col("column").alias("new_name"), F.col("new").alias("new_type"))
-    pairs = removed.join(added, list(BATCH))  # within a batch: columns by columns
-    e = embedding(pairs.select(F.col("old_name").alias("n")).unionByName(pairs.select(F.col("new_name").alias("n"))), "n")
-    names = pairs.select("old_name", "new_name").distinct()
-    dots = names.join(e.select(F.col("n").alias("old_name"), "bucket", F.col("w").alias("a")), "old_name").join(e.select(F.col("n").alias("new_name"), "bucket", F.col("w").alias("b")), ["new_name", "bucket"])
-    cosine = dots.groupBy("old_name", "new_name").agg(F.sum(F.col("a") * F.col("b")).alias("emb"))
-    joined = pairs.join(cosine, ["old_name", "new_name"], "left").withColumn("emb_sim", F.round(F.coalesce("emb", F.lit(0.0)), 6))
-    numeric = ("int", "float")
-    compatible = (F.col("old_type") == F.col("new_type")) | (F.col("old_type").isin(*numeric) & F.col("new_type").isin(*numeric))
-    scored = joined.withColumn("name_sim", F.round(name_similarity(F.col("old_name"), F.col("new_name")), 6)).withColumn("token_sim", F.round(token_jaccard(F.col("old_name"), F.col("new_name")), 6))
-    # without profiles of both sides the profile terms take their neutral values
-    score = 0.28 * F.col("name_sim") + 0.18 * F.col("token_sim") + 0.22 * F.col("emb_sim") + 0.10 + 0.05 + 0.05 + 0.05
-    scored = scored.withColumn("compatible", compatible).withColumn("score", F.round(F.when(compatible, F.least(score, F.lit(1.0))).otherwise(0.0), 6))
-    at = F.row_number().over(Window.partitionBy(*BATCH, "old_name").orderBy(F.desc("emb_sim"), "new_name"))
-    return scored.withColumn("rank", at).where(F.col("rank") <= top).select(*BATCH, "old_name", "new_name", "name_sim", "token_sim", "emb_sim", "compatible", "score", "rank")
-
-
-def assign(scored: DataFrame, threshold: float = MATCH_THRESHOLD, embedding_threshold: float = MATCH_EMBEDDING) -> DataFrame:
-    """(dataset, batch_id, old_name, new_name, confidence): greedy one-to-one, by score, similarity and names."""
-    good = scored.where("compatible").where((F.col("score") >= threshold) | (F.col("emb_sim") >= embedding_threshold))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("a"), (-F.col("emb_sim")).alias("b"), "old_name", "new_name")))
-    shape = "struct<olds:array<string>,news:array<string>,pairs:array<struct<old_name:string,new_name:string,confidence:double>>>"
-    empty = F.struct(F.array().cast("array<string>").alias("olds"), F.array().cast("array<string>").alias("news"), F.array().cast("array<struct<old_name:string,new_name:string,confidence:double>>").alias("pairs")).cast(shape)
-
-    def step(acc: Column, x: Column) -> Column:
-        free = ~F.array_contains(acc["olds"], x["old_name"]) & ~F.array_contains(acc["news"], x["new_name"])
-        confidence = F.when(-x["a"] >= threshold, -x["a"]).otherwise(-x["b"])
-        pair = F.struct(x["old_name"].alias("old_name"), x["new_name"].alias("new_name"), confidence.alias("confidence"))
-        grown = F.struct(F.array_append(acc["olds"], x["old_name"]).alias("olds"), F.array_append(acc["news"], x["new_name"]).alias("news"), F.array_append(acc["pairs"], pair).alias("pairs"))
-        return F.when(free, grown).otherwise(acc).cast(shape)
-
-    folded = good.groupBy(*BATCH).agg(order.alias("ordered")).select(*BATCH, F.aggregate("ordered", empty, step)["pairs"].alias("pairs"))
-    return folded.select(*BATCH, F.explode("pairs").alias("p")).select(*BATCH, "p.*")
-
-
 def with_renames(found: DataFrame, renames: DataFrame) -> DataFrame:
     """Changes with accepted renames taken out of additions and removals."""
     out = found.join(renames.select(*BATCH, F.col("old_name").alias("column"), F.lit("REMOVE").alias("kind")), [*BATCH, "column", "kind"], "left_anti")
@@ -132,36 +50,3 @@ def report(batches: DataFrame, found: DataFrame) -> DataFrame:
     counts = [F.coalesce(F.col(f"n_{k.lower()}"), F.lit(0)).alias(f"n_{k.lower()}") for k in ORDER]
     types = F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"n_{k.lower()}"), F.lit(0)) > 0, F.lit(k)) for k in ORDER))), ",")
     return out.select(*BATCH, types.alias("drift_types"), *counts, F.coalesce("columns", F.lit("")).alias("columns"), F.when(types == "", "no drift").otherwise(F.concat(F.lit("drift: "), types)).alias("summary"))
-
-
-def risk_mode_a(reported: DataFrame, criticality: Column, sensitivity: Column, key_hit: Column, uncertainty: Column) -> DataFrame:
-    """risk, level and route of each batch, from its report and three settings."""
-    worst = F.greatest(*(F.when(F.col(f"n_{k.lower()}") > 0, F.lit(SEVERITY[k])).otherwise(F.lit(0.0)) for k in ORDER))
-    n = sum((F.col(f"n_{k.lower()}") for k in ORDER), F.lit(0))
-    total = F.when(n > 0, F.least(F.lit(1.0), worst + 0.08 * F.log(1 + n))).otherwise(F.lit(0.0))
-    c = F.when(criticality == "High", 0.9).when(criticality == "Medium", 0.6).otherwise(0.3)
-    s = F.when(sensitivity == "Regulated", 0.8).when(sensitivity == "PII", 0.5).when(sensitivity == "Internal", 0.2).otherwise(0.0)
-    base = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.55 * total + 0.20 * c + 0.20 * s + 0.05 * key_hit.cast("double")))
-    risk = F.least(F.lit(1.0), base + 0.10 * uncertainty)
-    removed, retyped, renamed, nulls = (F.col(f"n_{k}") > 0 for k in ("remove", "type_change", "rename", "nullable_change"))
-    floor = F.when(removed, 0.85).when(retyped, 0.75).when(renamed, 0.70).when(nulls, 0.60).when(F.col("n_add") > 0, 0.50).otherwise(0.0)
-    risk = F.round(F.when(n == 0, F.lit(0.0)).when(sensitivity == "Regulated", F.greatest(risk, floor)).otherwise(risk), 6)
-    level = F.when(risk >= 0.70, "high").when(risk >= 0.35, "medium").otherwise("low")
-    return reported.select("*", risk.alias("risk"), level.alias("level"), F.when(risk >= 0.35, "staging").otherwise("production").alias("suggested_route"))
-
-
-def risk_mode_b(found: DataFrame, fields: DataFrame) -> DataFrame:
-    """fields (column, field_criticality, semantic_weight, sensitivity_factor): one row a batch with the union of the changes' risks and the ten worst."""
-    severity = F.lit(0.0)
-    for k, v in SEVERITY.items():
-        severity = F.when(F.col("kind") == k, F.lit(v)).otherwise(severity)
-    joined = found.join(F.broadcast(fields), "column", "left")  # a configuration table
-    importance = 0.5 * F.lit(3) / 5 + 0.5 * F.coalesce("field_criticality", F.lit(3)) / 5
-    r = F.least(F.lit(1.0), severity * importance * F.coalesce("semantic_weight", F.lit(1.0)) * F.coalesce("sensitivity_factor", F.lit(1.0)))
-    scored = joined.withColumn("r", r)
-    at = F.row_number().over(Window.partitionBy(*BATCH).orderBy(F.desc("r"), "kind", "column"))
-    scored = scored.withColumn("at", at)
-    top = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("at") <= 10, F.struct("at", "kind", "column")))), lambda x: F.concat_ws(":", x["kind"], x["column"])), ",")
-    out = scored.groupBy(*BATCH).agg((1 - F.product(1 - F.col("r"))).alias("raw"), top.alias("drivers"))
-    risk = F.round("raw", 6)
-    return out.select(*BATCH, risk.alias("risk"), F.when(risk >= 0.80, "high").when(risk >= 0.40, "medium").otherwise("low").alias("level"), F.when(risk >= 0.40, "staging").otherwise("production").alias("suggested_route"), "drivers")

@@ -6,7 +6,7 @@ A batch is rows (dataset, batch_id, row_no, payload map<string,string>); profile
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwarden.functions import normalise as N
@@ -47,11 +47,38 @@ def column_facts(batches: DataFrame) -> DataFrame:
     return joined.select(*BATCH, "column", F.lit(True).alias("present"), F.round(1 - share("n"), 6).alias("null_rate"), kind.alias("type"), (F.col("n") < F.col("n_rows")).alias("nullable"), of("mean"), of("std"), of("min"), of("max"))
 
 
-def frequent_values(batches: DataFrame, most: int = 8) -> DataFrame:
+def first_values(batches: DataFrame, most: int = 20) -> DataFrame:
+    """(dataset, batch_id, column, examples array): the first values that aren't null, in the order of rows."""
+    at = F.row_number().over(Window.partitionBy(*BATCH, "column").orderBy("row_no"))
+    firsts = cells(batches).where("value IS NOT NULL").withColumn("at", at).where(F.col("at") <= most)
+    return firsts.groupBy(*BATCH, "column").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("examples"))
+
+
+def usable_examples(*lists: Column, most: int = 20) -> Column:
+    """Of several array<string>, the first that holds anything, without nulls and empty values."""
+    some = F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.array().cast("array<string>"))
+    return F.slice(F.filter(some, lambda x: x.isNotNull() & (x != "")), 1, most)
+
+
+def baseline(canonical: DataFrame, facts: DataFrame, examples: DataFrame) -> DataFrame:
+    """Each canonical column (dataset, column, type) with the facts and examples of its data set's baseline batch.
+
+    A column that the batch lacks is not present and has a null rate of 1.
+    """
+    own = facts.select("dataset", "column", F.lit(True).alias("present"), "null_rate", "mean", "std", "min", "max")
+    j = canonical.select("dataset", "column", "type").join(own, ["dataset", "column"], "left").join(examples.select("dataset", "column", "examples"), ["dataset", "column"], "left")
+    return j.select("dataset", "column", "type", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("null_rate", F.lit(1.0)).alias("null_rate"), "mean", "std", "min", "max", usable_examples(F.col("examples")).alias("examples"))
+
+
+def frequent_values(batches: DataFrame, most: int = 8, as_array: bool = False) -> DataFrame:
     """(dataset, batch_id, column, examples): the most frequent trimmed values, ties to the smaller."""
     counts = cells(batches).where("value IS NOT NULL").groupBy(*BATCH, "column", F.trim("value").alias("value")).agg(F.count("*").alias("n"))
     at = F.row_number().over(Window.partitionBy(*BATCH, "column").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("at", at).where(F.col("at") <= most).groupBy(*BATCH, "column").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "|").alias("examples"))
+    return counts.withColumn("at", at).where(F.col("at") <= most).groupBy(*BATCH, "column").agg(_joined(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), as_array).alias("examples"))
+
+
+def _joined(values: Column, as_array: bool) -> Column:
+    return values if as_array else F.array_join(values, "|")
 
 
 def aligned(canonical: DataFrame, facts: DataFrame) -> DataFrame:

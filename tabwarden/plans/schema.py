@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwarden.functions import normalise as N
-from tabwarden.operators import drift, events, profile, registry
+from tabwarden.functions.stored import stored
+from tabwarden.operators import drift, events, matching, profile, registry
 from tabwarden.plans.register import Registry, table
 
 R = Registry()
@@ -64,8 +65,9 @@ changes AS (SELECT 'events' AS dataset, batch_id, 'ADD' AS kind, "column", CAST(
 
 
 def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    facts = profile.column_facts(batches(spark, sf_dir))
-    return drift.changes(canonical(spark), facts), facts
+    """Changes and facts, each a small written table: one scan of the rows."""
+    facts = stored(profile.column_facts(batches(spark, sf_dir)), "facts")
+    return stored(drift.changes(canonical(spark), facts), "changes"), facts
 
 
 @R.query(f"WITH {_CHANGES} SELECT * FROM changes")
@@ -84,7 +86,10 @@ rep AS (SELECT 'events' AS dataset, batch_id, concat_ws(',', CASE WHEN n_add > 0
 
 def _report(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     found, facts = _changes(spark, sf_dir)
-    renames = drift.assign(drift.candidates(found))
+    first = F.col("batch_id") == "d05"  # a day with all columns is the baseline
+    rows = batches(spark, sf_dir)
+    known = profile.baseline(canonical(spark), facts.where(first), profile.frequent_values(rows.where(first), as_array=True))
+    renames = stored(matching.assign(matching.candidates(found, known, facts, profile.first_values(rows))), "renames")
     final = drift.with_renames(found, renames)
     return drift.report(facts, final), final, renames
 
@@ -99,27 +104,6 @@ def match_assign(spark, sf_dir):
     return _report(spark, sf_dir)[2].drop("confidence")
 
 
-_RISK = """n AS (SELECT *, n_add + n_remove + n_type_change + n_nullable_change + n_rename AS n, CASE WHEN n_remove > 0 THEN 1.0 WHEN n_type_change > 0 THEN 0.9 WHEN n_rename > 0 THEN 0.7 WHEN n_nullable_change > 0 THEN 0.5 WHEN n_add > 0 THEN 0.4 ELSE 0.0 END AS worst FROM rep),
-r AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, least(1.0, greatest(0.0, 0.55 * least(1.0, worst + 0.08 * ln(1 + n)) + 0.20 * 0.6 + 0.20 * 0.5 + 0.05)) + 0.10 * 0.2) END AS raw FROM n)"""
-
-
-@R.query(f"""WITH {_CHANGES}, {_REN}, {_RISK} SELECT dataset, batch_id, drift_types, round(CAST(raw AS DOUBLE), 6) AS risk, CASE WHEN raw >= 0.70 THEN 'high' WHEN raw >= 0.35 THEN 'medium' ELSE 'low' END AS level, CASE WHEN raw >= 0.35 THEN 'staging' ELSE 'production' END AS suggested_route FROM r""")
-def risk_mode_a(spark, sf_dir):
-    out = drift.risk_mode_a(_report(spark, sf_dir)[0], F.lit("Medium"), F.lit("PII"), F.lit(True), F.lit(0.2))
-    return out.select("dataset", "batch_id", "drift_types", "risk", "level", "suggested_route")
-
-
-_B = """scored AS (SELECT batch_id, kind, "column", least(1.0, (CASE kind WHEN 'REMOVE' THEN 1.0 WHEN 'TYPE_CHANGE' THEN 0.9 WHEN 'RENAME' THEN 0.7 WHEN 'NULLABLE_CHANGE' THEN 0.5 ELSE 0.4 END) * (0.3 + 0.5 * (CASE WHEN "column" = 'value' THEN 5 ELSE 3 END) / 5.0) * (CASE WHEN "column" = 'value' THEN 1.1 ELSE 1.0 END)) AS r FROM final),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY r DESC, kind, "column") AS pos FROM scored)"""
-
-
-@R.query(f"""WITH {_CHANGES}, {_REN}, {_B}, u AS (SELECT batch_id, round(CAST(1 - product(1 - r) AS DOUBLE), 6) AS risk, string_agg(kind || ':' || "column", ',' ORDER BY pos) FILTER (pos <= 10) AS drivers FROM ranked GROUP BY 1)
-SELECT 'events' AS dataset, batch_id, risk, CASE WHEN risk >= 0.80 THEN 'high' WHEN risk >= 0.40 THEN 'medium' ELSE 'low' END AS level, CASE WHEN risk >= 0.40 THEN 'staging' ELSE 'production' END AS suggested_route, drivers FROM u""")
-def risk_mode_b(spark, sf_dir):
-    fields = spark.createDataFrame([("value", 5, 1.1, 1.0)], "column string, field_criticality int, semantic_weight double, sensitivity_factor double")
-    return drift.risk_mode_b(_report(spark, sf_dir)[1], fields)
-
-
 @R.query(f"""WITH {_CHANGES}, {_REN} SELECT dataset, batch_id, drift_types, CASE WHEN drift_types <> '' THEN 'staging' ELSE 'production' END AS route, CASE WHEN drift_types <> '' THEN 'PENDING' ELSE 'APPROVED' END AS status FROM rep""")
 def route_batches(spark, sf_dir):
     return registry.route(_report(spark, sf_dir)[0], F.lit("production")).select("dataset", "batch_id", "drift_types", "route", "status")
