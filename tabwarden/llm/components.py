@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.tables import written
+from tabwarden.llm.tables import written_with
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,28 +13,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every step sends a node's neighbours to the smallest of them, so that trees get flat in a number of
     steps that grows with the logarithm of their depth.  A step's table is written to the shared folder;
-    the loop ends when a step leaves the edges as they were.
+    the loop ends when a step finds nothing to move.
     """
 
     def small(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
-    def stars(e: DataFrame, larger_only: bool) -> DataFrame:
-        both = e.select("a", "b") if not larger_only else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        joined = both.join(least, "a")
-        if larger_only:
-            return small(joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")))
-        own = least.select("a", F.col("low").alias("b"))
-        return small(joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(own))
-
-    now = written(small(edges), "edges")
-    seen = None
+    def to_least(e: DataFrame) -> DataFrame:
+        """(a, b, low): each edge with the smallest neighbour of a, itself included."""
+        return e.join(e.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "a")
+
+    def step(e: DataFrame) -> DataFrame:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = to_least(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"), (F.col("low") < F.col("a")).alias("moved"))
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        joined = large.join(low, "a").withColumn("moved", F.col("moved") | (F.col("b") != F.col("low")))
+        # an edge to the smallest neighbour stays, the others lead from neighbour to neighbour
+        out = joined.select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"), "moved")
+        return out.groupBy("a", "b").agg(F.max("moved").alias("moved"))
+
+    now, _ = written_with(small(edges), "edges")
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("s")).first()
-        if state == seen or not state["n"]:
+        now, seen = written_with(step(now), "edges", F.coalesce(F.max("moved"), F.lit(False)).alias("moved"))
+        now = now.select("a", "b")
+        if not seen["moved"]:
             break
-        seen = state
-        now = written(stars(stars(now, True), False), "edges")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -1,13 +1,18 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-A text's shingle set is signed by COORDINATES minima.  Texts of equal sets form a class, which its
-smallest id represents.  Each class is posted under the (coordinate, value) pairs of its prefix: of
-COORDINATES entries, in one global order from rare to common, the first COORDINATES - MATCHES + 1.
-Two signatures that agree in MATCHES coordinates share a posting there, whatever the order is (prefix
-merging).  Members of a posting are compared with its hub, the member whose entries collide most
-overall; members whose packed signatures collide with the hub's often enough are in its family, and only
-what is outside meets the other members (skip merging), so a large group of near copies costs one
-comparison a member.  Linked texts are always of one family.
+A text's shingle set is signed by COORDINATES minima.  Texts of equal sets form a class.  Each class is
+posted under the (coordinate, value) pairs of its prefix: of COORDINATES entries, in one global order from
+rare to common, the first COORDINATES - MATCHES + 1.  Two signatures that agree in MATCHES coordinates
+share a posting there, whatever the order is (prefix merging).  Postings are apart by powers of 4 of the
+sets' sizes; a set that a link could take over the next power is posted on both sides.
+
+Inside a posting, members are not paired with each other but measured against its hub, the member whose
+entries collide most overall, by the number of coordinates in which packed signatures differ.  That
+number is a metric, so it sorts members into rings about the hub: the members of its inner ring are its
+family, and two members whose rings aren't neighbours can't be linked.  Members outside the inner ring
+are measured against a second hub, chosen among them.  Only members whose rings leave room for a link are
+compared with each other (skip merging), so a large group of near copies costs one comparison a member.
+Linked texts are always of one family.
 
 Full sets decide within families.  First each member is confirmed with its hub.  If a family is not one
 component then, its members outside the largest component are compared with all others in blocks of
@@ -16,8 +21,10 @@ only links that connect what was apart, never the pairs it compared.
 
 Defined cases.  A null or empty text, or one without words, has an empty set, links with nothing and is
 its own component.  A text with fewer words than a shingle has its whole sequence as one shingle.
-Repeated rows have equal sets and meet in one class.  A null id takes part with its text, but as its
-component's id only if there is no other.  Other columns are ignored, whatever their names.
+Repeated rows have equal sets and meet in one class; rows of one id and unequal texts are linked each by
+its own text.  A row of null id takes part with its text and has the id of its component like the others;
+a component without any id has a null one.  `kept` holds where the row's id is its component's: for each
+row of null id in a component without ids, and for no other.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwarden.llm import bytetext
@@ -43,6 +50,8 @@ PACKS = 4
 PACK = tuple(f"s{i}" for i in range(PACKS))
 #: Shingles in a block of a family, on average; a task holds two blocks.
 BLOCK = 1 << 18
+#: Slots of the bitmap of texts that are wanted once more.
+BITS = 1 << 23
 #: Entries of the table of collision counts that orders the coordinates.
 SKETCH = 1 << 20
 
@@ -73,7 +82,7 @@ def _sets(batch: pa.RecordBatch, shingle_words: int) -> Iterator[tuple[int, np.n
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, set_id binary, signature array<long>)."""
+    """(doc_id, text_id, text) -> (doc_id, text_id, n_shingles, set_id binary, signature array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +95,9 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                     ids[i] = hashlib.blake2b(distinct.tobytes(), digest_size=16).digest()
                     signed[i] = _signature(distinct)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * COORDINATES), pa.array(signed.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(ids, type=pa.binary()), flat], names=["doc_id", "n_shingles", "set_id", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(sizes), pa.array(ids, type=pa.binary()), flat], names=["doc_id", "text_id", "n_shingles", "set_id", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_id binary, n_shingles long, set_id binary, signature array<long>")
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
@@ -111,11 +120,11 @@ def _sketch(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _coded(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(prio, rep, n, s0 to s3, keys) of each class: keys are those of its prefix.
+def _coded(spark: SparkSession, classes: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """(prio, node, n, s0 to s3, keys) of each class: keys are those of its prefix.
 
     prio stands for the class in postings.  It leads with the class's collisions over all coordinates, so a
-    posting's largest prio is its hub, and ends in a hash of rep; classes of equal prio are compared alike.
+    posting's largest prio is its hub, and ends in a hash of its set; classes of equal prio are each a hub.
     """
     shared = spark.sparkContext.broadcast(sketch)
     prefix = COORDINATES - MATCHES + 1
@@ -123,71 +132,81 @@ def _coded(spark: SparkSession, classes: DataFrame, sketch: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            reps, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n"))
+            nodes, sizes, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "mark"))
             flat = batch.column("signature").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, COORDINATES)
-            for at in range(0, len(reps), 2048):
-                sign, rep = flat[at : at + 2048], reps[at : at + 2048]
+            for at in range(0, len(nodes), 2048):
+                sign = flat[at : at + 2048]
                 entries = bytetext.mix(sign + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 common = counts[_slots(sign)]
                 # one total order for all classes: by count, then by the entry's own hash
                 order = np.lexsort((entries, common), axis=1)[:, :prefix]
-                keys = np.take_along_axis(entries, order, axis=1).ravel().view(np.int64)
+                rare = np.take_along_axis(entries, order, axis=1)
+                size = sizes[at : at + 2048]
+                power = np.int64(np.log2(size + 0.5)) // 2  # 4 ** power <= size < 4 ** (power + 1)
+                both = size * 100 >= percent << 2 * (power + 1)
+                keys = np.concatenate([bytetext.mix(rare + p.astype(np.uint64)[:, None]) for p in (power, power + 1)], axis=1)
+                # an entry that the sketch counts once is in no other class's posting
+                shared_keys = np.take_along_axis(common, order, axis=1) > 1
+                shared_keys = np.concatenate([shared_keys, shared_keys & both[:, None]], axis=1)
+                ends = np.append(0, np.cumsum(shared_keys.sum(axis=1))).astype(np.int32)
                 weight = (np.log2(common).sum(axis=1) * 4).astype(np.uint64)
-                prio = ((weight << np.uint64(50)) | (bytetext.mix(rep.astype(np.int64).view(np.uint64)) >> np.uint64(14))).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rep) + 1, dtype=np.int32) * prefix), pa.array(keys))
+                prio = ((weight << np.uint64(50)) | (marks[at : at + 2048].view(np.uint64) >> np.uint64(14))).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[shared_keys].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prio), pa.array(rep), pa.array(sizes[at : at + 2048]), *(pa.array(x) for x in _packed(sign).T), lists],
-                    names=["prio", "rep", "n", *PACK, "keys"],
+                    [pa.array(prio), pa.array(nodes[at : at + 2048]), pa.array(size), *(pa.array(x) for x in _packed(sign).T), lists],
+                    names=["prio", "node", "n", *PACK, "keys"],
                 )
 
-    return classes.select("rep", "n", "signature").mapInArrow(run, f"prio long, rep long, n long, {', '.join(f'{c} long' for c in PACK)}, keys array<long>")
+    marked = classes.select("node", "n", "signature", F.xxhash64("set_id").alias("mark"))
+    return marked.mapInArrow(run, f"prio long, node long, n long, {', '.join(f'{c} long' for c in PACK)}, keys array<long>")
 
 
-def _alike(a: str, b: str, percent: int):
-    """Packed signatures agree in PACKED_MATCHES coordinates, and sizes leave room for the similarity; columns with prefixes a and b."""
+def _differing(a: str, b: str) -> Column:
+    """In how many coordinates packed signatures differ; columns with prefixes a and b."""
     low = F.lit(0x1111111111111111)
     unequal = F.lit(0)
     for c in PACK:
         x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
-    sizes = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
-    return sizes & (F.lit(COORDINATES) - unequal >= PACKED_MATCHES)
+    return unequal
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _fit(a: str, b: str, percent: int) -> Column:
+    """Sizes leave room for the similarity."""
+    return F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
+
+
+def _passing(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` may be among the wanted ones: what a bitmap of fixed size lets pass before a shuffle."""
+    slot = F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int").alias("slot")
+    bits = np.zeros(BITS, dtype=bool)
+    bits[wanted.select(slot).distinct().toArrow()["slot"].to_numpy()] = True  # at most BITS slots
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_ids, b_ids = batch.column("a"), batch.column("b")
-            keep = []
-            a_sets, b_sets = batch.column("a_set"), batch.column("b_set")
-            for i in range(batch.num_rows):
-                x, y = (s[i].values.to_numpy(zero_copy_only=False) for s in (a_sets, b_sets))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([a_ids.take(pa.array(keep, pa.int64())), b_ids.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            yield batch.drop_columns(["slot"]).filter(pa.array(shared.value[batch.column("slot").to_numpy()]))
 
-    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("b_set")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("a_set")), "a")
-    sizes_fit = F.least(F.size("a_set"), F.size("b_set")) * 100 >= F.greatest(F.size("a_set"), F.size("b_set")) * percent
-    return joined.where(sizes_fit).mapInArrow(run, "a long, b long")
+    return rows.select("*", slot).mapInArrow(run, rows.schema)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(rep, shingles) of the wanted classes, from their representatives' texts."""
+    """(node, hubs, is_hub, shingles) of the wanted classes (node, doc_id, text_id, hubs, is_hub), from the texts of the rows that stand for them.
+
+    Texts pass a bitmap of the wanted ones before they are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             some: list[tuple[int, np.ndarray]] = []
 
-            def out(some=some, ids=ids):
+            def out(some=some, batch=batch):
                 values = np.concatenate([s for _, s in some]).view(np.int64)
                 ends = np.cumsum([0, *(len(s) for _, s in some)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
-                return pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in some])), lists], names=["rep", "shingles"])
+                rows = pa.array([i for i, _ in some])
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("node", "hubs", "is_hub")), lists], names=["node", "hubs", "is_hub", "shingles"])
 
             total = 0
             for i, distinct in _sets(batch, shingle_words):
@@ -200,44 +219,69 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> Dat
             if some:
                 yield out()
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return texts.mapInArrow(run, "rep long, shingles array<long>")
+    texts = _passing(docs.where("text IS NOT NULL"), wanted, "text_id")
+    w = wanted.select("node", "hubs", "is_hub", F.col("doc_id").alias("w_id"), F.col("text_id").alias("w_text"))
+    joined = texts.join(w, texts["doc_id"].eqNullSafe(w["w_id"]) & (texts["text_id"] == w["w_text"]))
+    once = joined.groupBy("node").agg(F.first("hubs").alias("hubs"), F.first("is_hub").alias("is_hub"), F.first("text").alias("text"))
+    return once.mapInArrow(run, "node long, hubs array<long>, is_hub boolean, shingles array<long>")
 
 
-def _to_hubs(posted: DataFrame, codes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): hubs of postings (prio, hub) and the members whose packed signatures are like theirs."""
-    hubs = codes.select(*(F.col(c).alias(f"h_{c}") for c in codes.columns)).withColumnRenamed("h_prio", "hub")
-    pairs = posted.where("prio <> hub").select("prio", "hub").distinct().join(codes, "prio").join(hubs, "hub")
-    return pairs.where((F.col("rep") != F.col("h_rep")) & _alike("", "h_", percent)).select(F.col("h_rep").alias("a"), F.col("rep").alias("b"))
+def _confirm(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes and their hubs whose full sets have 100 * intersection >= percent * union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a_ids, b_ids = batch.column("a"), batch.column("b")
+            keep = []
+            a_sets, b_sets = batch.column("a_set"), batch.column("b_set")
+            for i in range(batch.num_rows):
+                x, y = (s[i].values.to_numpy(zero_copy_only=False) for s in (a_sets, b_sets))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([a_ids.take(pa.array(keep, pa.int64())), b_ids.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+    members = sets.select(F.explode("hubs").alias("a"), F.col("node").alias("b"), F.col("shingles").alias("b_set"))
+    hubs = sets.where("is_hub").select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
+    sizes_fit = F.least(F.size("a_set"), F.size("b_set")) * 100 >= F.greatest(F.size("a_set"), F.size("b_set")) * percent
+    return members.join(hubs, "a").where(sizes_fit).mapInArrow(run, "a long, b long")
 
 
-def _rooted(posted: DataFrame, codes: DataFrame, families: DataFrame) -> DataFrame:
-    """Adds root and hub_root, the families of a posting's member and of its hub."""
-    roots = codes.select("prio", F.col("rep").alias("node")).join(families, "node", "left").select("prio", F.coalesce("root", "node").alias("root"))
-    return posted.join(roots, "prio").join(roots.select(F.col("prio").alias("hub"), F.col("root").alias("hub_root")), "hub")
+def _measured(members: DataFrame, codes: DataFrame, name: str) -> DataFrame:
+    """Postings (key, prio) of two members or more, with codes, their number, the hub's node and `name`, the ring about it."""
+    hubs = members.groupBy("key").agg(F.max("prio").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    coded = hubs.join(codes.select(F.col("prio").alias("hub"), F.col("node").alias("h_node"), *(F.col(c).alias(f"h_{c}") for c in PACK)), "hub")
+    joined = members.join(coded, "key").join(codes, "prio").withColumn("apart", _differing("", "h_"))
+    # a ring is as wide as two linked signatures may differ, so links are within a ring or between neighbours
+    return joined.withColumn(name, F.expr(f"apart div {COORDINATES - PACKED_MATCHES + 1}").cast("int"))
 
 
 def _families(coded: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs of hubs with members like them, and (node, root) of families: all pairs of like signatures are within one."""
-    codes = coded.drop("keys")
+    code = ("node", "n", *PACK)
+    codes = coded.select("prio", *code)
     every = coded.select(F.explode("keys").alias("key"), "prio")
-    hubs = every.groupBy("key").agg(F.max("prio").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    posted = written(every.join(hubs, "key"), "postings")
-    to_hub = written(_to_hubs(posted, codes, percent), "pairs")
-    families = written(connected_components(to_hub), "families")
-    rest = written(_rooted(posted, codes, families).where("root <> hub_root").select("key", "prio"), "rest")
-    second = rest.groupBy("key").agg(F.max("prio").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    seconds = written(_to_hubs(rest.join(second, "key"), codes, percent), "pairs")
-    families = written(connected_components(_stars(families).unionByName(seconds)), "families")
-    # what is in no hub's family still meets all members of its postings, but for those of its own family
-    rooted = written(_rooted(posted.join(rest.select("key").distinct(), "key", "left_semi"), codes, families), "rooted")
-    apart = rooted.where("root <> hub_root")
-    members = rooted.join(apart.select("key").distinct(), "key", "left_semi").where("prio <> hub")
-    x, y = (t.join(codes, "prio").select("key", *(F.col(c).alias(p + c) for c in ("rep", "n", *PACK, "root", "hub_root"))) for t, p in ((apart, "x_"), (members, "y_")))
-    once = (F.col("x_rep") < F.col("y_rep")) | (F.col("y_root") == F.col("y_hub_root"))
-    pairs = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & _alike("x_", "y_", percent))
-    pairs = written(pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
-    return to_hub, written(connected_components(_stars(families).unionByName(pairs)), "families")
+    # first hubs: an inner member (ring 0) is done with, but for members of the next ring
+    first = written(_measured(every, codes, "ring").select("key", "prio", *code, "ring", "h_node", "members"), "postings")
+    rest = first.where("ring > 0")
+    second = written(_measured(rest.select("key", "prio"), codes, "ring2").select("key", *code, "ring2", "h_node", "members"), "postings")
+    near = lambda t, ring: t.where((F.col(ring) == 0) & (F.col("node") != F.col("h_node"))).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
+    to_hub = written(near(first, "ring").unionByName(near(second, "ring2")).distinct(), "pairs")
+    # cells of a posting: 0, the inner members of the first hub, and 1 to 3, the others by their ring about
+    # the second; a member looks into those that may hold one like it, and of two neighbours the outer looks.
+    # Two members alone, one of them the hub, have met already
+    none = F.lit(None).cast("int")
+    edge, more = rest.where("ring = 1 AND members > 2"), second.where("members > 2")
+    x = edge.select("key", *code, none.alias("own"), F.lit(0).alias("cell"))
+    x = x.unionByName(more.where("ring2 > 0").select("key", *code, (F.col("ring2") + 1).alias("own"), F.explode(F.array(F.col("ring2"), F.col("ring2") + 1)).alias("cell")))
+    y = _passing(first.where("ring = 0").select("key", *code), edge, "key").withColumn("cell", F.lit(0))
+    y = y.unionByName(more.select("key", *code, (F.col("ring2") + 1).alias("cell")))
+    x, y = (t.select("key", "cell", *(F.col(c).alias(p + c) for c in t.columns if c not in ("key", "cell"))) for t, p in ((x, "x_"), (y, "y_")))
+    once = F.col("x_own").isNull() | (F.col("cell") != F.col("x_own")) | (F.col("x_node") > F.col("y_node"))
+    like = _fit("x_", "y_", percent) & (_differing("x_", "y_") <= COORDINATES - PACKED_MATCHES)
+    met = x.join(y, ["key", "cell"]).where(once & (F.col("x_node") != F.col("y_node")) & like)
+    pairs = to_hub.unionByName(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+    return to_hub, written(connected_components(pairs), "families")
 
 
 def _stars(parts: DataFrame) -> DataFrame:
@@ -299,7 +343,8 @@ def _within_families(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     to_rest = F.expr("transform(sequence(0, rest_blocks - 1), k -> struct(least(block, k) AS i, greatest(block, k) AS j, block <= k AS is_left))")
     of_main = F.expr("transform(sequence(0, rest_blocks - 1), k -> struct(k AS i, -1 - block AS j, false AS is_left))")
     tasks = dealt.select("family", "node", "own", F.explode(F.when(F.col("in_main"), of_main).otherwise(F.concat(to_main, to_rest))).alias("t"))
-    rows = tasks.select("family", "node", "own", "t.*").join(sets.withColumnRenamed("rep", "node"), "node")
+    tasks = written(tasks.select("family", "node", "own", "t.*"), "tasks")
+    rows = tasks.join(_passing(sets.select("node", "shingles"), tasks, "node"), "node")
     return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -313,24 +358,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 80:
         raise ValueError("the prefix is made for a similarity of 0.8 or more")
     spark = docs.sparkSession
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_id"), text.alias("text"))
     signed = written(signatures(named, shingle_words), "signatures")
-    # A class's representative is its smallest id; equal ids with unequal texts are separate classes of one id, and so one node.
-    classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m"))
-    classes = classes.select("set_id", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.signature").alias("signature"))
-    classes = written(classes, "classes")
-    coded = written(_coded(spark, classes, _sketch(classes)), "coded")
+    # a class's smallest id stands for it, a null one if there is no other; its number is made once, as the table is written
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id", F.col("n_shingles").alias("n"), "signature")
+    classes = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(member).alias("m"))
+    classes = written(classes.select("set_id", "m.doc_id", "m.text_id", "m.n", "m.signature", F.monotonically_increasing_id().alias("node")), "classes")
+    coded = written(_coded(spark, classes, _sketch(classes), percent), "coded")
     to_hub, families = _families(coded, percent)
-    wanted = families.select(F.col("node").alias("rep"))
+    # what each class is compared with first: its hubs, 2 a posting at most
+    hubs = to_hub.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("hubs"))
+    is_hub = to_hub.select(F.col("a").alias("node"), F.lit(True).alias("is_hub")).distinct()
+    wanted = classes.select("node", "doc_id", "text_id").join(families.select("node"), "node").join(hubs, "node", "left").join(is_hub, "node", "left")
+    wanted = written(wanted.select("node", "doc_id", "text_id", F.coalesce("hubs", F.array().cast("array<long>")).alias("hubs"), F.coalesce("is_hub", F.lit(False)).alias("is_hub")), "wanted")
     sets = written(_shingle_sets(named, wanted, shingle_words), "sets")
-    links = written(_confirm(to_hub.distinct(), sets, percent), "links")
+    links = written(_confirm(sets, percent), "links")
     parts = written(connected_components(links), "components")
-    sizes = coded.groupBy("rep").agg(F.max("n").alias("n"))
-    members = families.select("node", F.col("root").alias("family")).join(parts.withColumnRenamed("root", "own"), "node", "left").join(sizes.withColumnRenamed("rep", "node"), "node")
+    members = families.select("node", F.col("root").alias("family")).join(parts.withColumnRenamed("root", "own"), "node", "left").join(classes.select("node", "n"), "node")
     members = written(members.select("node", "family", F.coalesce("own", "node").alias("own"), "n"), "members")
     more_links = written(_within_families(members, sets, percent), "links")
-    final = connected_components(_stars(parts).unionByName(more_links))
-    by_set = classes.select("set_id", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    if more_links.head(1):
+        parts = written(connected_components(_stars(parts).unionByName(more_links)), "components")
+    # a component's id is the smallest of its classes' ids
+    grouped = parts.join(classes.select("node", "doc_id"), "node")
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = parts.join(least, "root").select("node", "component_id", F.lit(True).alias("linked"))
+    by_set = classes.select("set_id", "node", "doc_id").join(linked, "node", "left").select("set_id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = signed.where("set_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = signed.where("set_id IS NOT NULL").select("doc_id", "n_shingles", "set_id").join(by_set, "set_id").select("doc_id", "n_shingles", "component_id").unionByName(own)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """As `written`, with aggregates of `df` that are taken as it is written."""
+    seen = Observation()
+    out = written(df.observe(seen, *(measures or (F.count(F.lit(1)).alias("n"),))), name)
+    return out, seen.get
+
+
 def held_out(id_col: str, parts: int, part: int = 2):
     """crc32 of the id as text, modulo `parts`, is `part`; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))

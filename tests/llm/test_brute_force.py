@@ -120,13 +120,13 @@ def test_ppm_and_unigram(docs, rows):
     n, v = sum(counts.values()), len(counts)
     trie = [defaultdict(Counter) for _ in range(4)]
     for t in train:
-        b = b"\0\0\0" + t.encode()
+        b = b"\0\0\0" + t.encode() + b"\xff"
         for p in range(3, len(b)):
             for o in range(4):
                 trie[o][b[p - o : p]][b[p]] += 1
 
     def code_length(t):
-        b, s = b"\0\0\0" + t.encode(), 0.0
+        b, s = b"\0\0\0" + t.encode() + b"\xff", 0.0
         for p in range(3, len(b)):
             out = set()
             for o in (3, 2, 1, 0):
@@ -149,7 +149,7 @@ def test_ppm_and_unigram(docs, rows):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-        if i % 20 == 0:
+        if i % 5 == 0:
             assert r["score"] == pytest.approx(code_length(t), rel=1e-9)
 
 
@@ -283,3 +283,98 @@ def test_odd_rows(spark, odd, empty):
     if not empty:
         parts = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(d).collect()}
         assert parts[7] == 6 and parts[1] == 1
+
+
+def test_items_of_few_shingles(spark):
+    """One shingle in a long text, at any place; four shingles count only with all of them."""
+    filler = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*filler[:k], "a b c d e", *filler[k:]]) for k in range(0, 300, 7)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, "s t u v w x y z"), (901, "s t u v w x y q"), (902, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b c, d e"), (2, "s t u v w x y z")], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(d, items).collect()}
+    assert got == {**{k: [1] for k in range(len(texts))}, 900: [2], 901: [], 902: []}
+    with pytest.raises(ValueError):
+        decontaminate.contamination(d, items, containment=0.7)
+
+
+@pytest.mark.parametrize("unit", ["a.", "x", "<", "password:", "-", "AKIA", "0f", "http://", "a-.", " "])
+def test_secrets_of_long_texts(spark, unit):
+    d = spark.createDataFrame([(1, unit * (1_000_000 // len(unit)))], "doc_id long, text string")
+    assert secrets.digest(secrets.scan(d)).count() == 1
+
+
+def test_endpoints(spark):
+    d = spark.createDataFrame([(1, "user_id=acme-prod AbCdEfGhIjKlMnOpQrStUvWxYz0123456789 db.example.com:5432 or x.example.company")], "doc_id long, text string")
+    text = d.first()["text"]
+    got = [text[s["start"] : s["end"]] for s in secrets.scan(d).first()["spans"] if s["kind"] == "endpoint"]
+    assert got == ["db.example.com:5432"]
+
+
+def test_near_duplicates_of_null_and_equal_ids(spark):
+    a, b = "the quick brown fox jumps over a lazy dog and runs far away today", "some other words that are not at all like those of the first text here"
+    rows = [(None, a), (6, a + " x"), (5, a + " y"), (None, b), (None, b), (3, "alone in the world of texts"), (3, a), (None, None), (9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(d, shingle_words=2).collect()), key=str)
+    n = len(a.split()) - 1
+    expected = [(None, n, 3, False), (6, n + 1, 3, False), (5, n + 1, 3, False), (None, len(b.split()) - 1, None, True), (None, len(b.split()) - 1, None, True), (3, 5, 3, True), (3, n, 3, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == sorted(expected, key=str)
+
+
+def test_near_duplicates_of_two_groups_and_chains(spark):
+    """Two groups of drifting copies that share a passage, so that their members stand in each other's rings."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(60)]
+    made = []
+    for g in range(3):
+        base = [*passage, *(f"g{g}w{k}" for k in range(60))]
+        for i in range(50):
+            base = [w if rng.random() > 0.055 else f"x{rng.integers(60)}" for w in base]
+            made.append((g * 1000 + i, " ".join(base), ""))
+    sets, root = linked_sets(made)
+    assert len(set(root.values())) > 3
+    d = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(d, shingle_words=2).collect()} == root
+
+
+def test_blocks_decode_alone():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.zipf(1.2, 9000) % 65535, np.tile(rng.integers(0, 65535, 7), 300), [0, 65534] * 20])
+    blob = range_coder.encode_file(np.array([1]), np.array([0]), np.array([len(ids)]), ids)
+    blocks = -(-len(ids) // range_coder.BLOCK)
+    got = [range_coder.decode_block(blob, k) for k in range(blocks)]
+    assert (np.concatenate(got) == ids).all()
+    # the bytes of other blocks don't matter
+    torn = bytearray(blob)
+    torn[-4000:] = bytes(4000)
+    assert (range_coder.decode_block(bytes(torn), 0) == got[0]).all()
+    with pytest.raises(ValueError):
+        range_coder.decode_block(bytes(torn), blocks - 1)
+    with pytest.raises(ValueError):
+        range_coder.encode_file(np.array([1]), np.array([0]), np.array([1]), np.array([65535]))
+
+
+def test_words_cut_as_the_pattern_cuts():
+    import regex
+
+    rng = np.random.default_rng(4)
+    alphabet = list("aZ stmdrevl'''  \n\t09.!é×ªÿ") + ["'re", "'ll x", " 's", "''s"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(4000)]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    begin = token_output.word_starts(codes, np.cumsum(sizes) - sizes)
+    expected = [s + m.start() for t, s in zip(texts, np.cumsum(sizes) - sizes, strict=True) for m in regex.finditer(token_output.PATTERN, t)]
+    assert begin.tolist() == expected
+
+
+def test_other_tokenizers(spark):
+    """A tokenizer of another kind is given whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, texts = Tokenizer.from_file(path), ["Two words, don't you", "", "é x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_output.token_output(d, path, 2).collect()}
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
