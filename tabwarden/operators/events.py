@@ -24,12 +24,6 @@ def kpis(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("total"), F.count_if(F.col("level") == "HIGH").alias("high"), F.count_if(F.col("kind") == "error").alias("errors"), F.count_distinct("user_id").alias("users"))
 
 
-def flatten(events: DataFrame) -> DataFrame:
-    """The payload's fields as columns, with a one-line summary."""
-    k = F.get_json_object("props", "$.k")
-    return events.select("event_id", "kind", k.cast("long").alias("k"), F.concat_ws(" | ", F.concat(F.lit("k="), k), "kind").alias("summary"))
-
-
 def newest(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("ts"), "event_id").limit(min(n, 500))
 

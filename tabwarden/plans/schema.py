@@ -5,7 +5,7 @@ Batches are derived from events: a day is a batch whose rows carry other fields
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwarden.functions import normalise as N
@@ -114,22 +114,6 @@ def schema_hash(spark, sf_dir):
     return registry.schema_hash(profile.column_facts(batches(spark, sf_dir)))
 
 
-@R.query(f"""WITH {_CELLS}, h AS (SELECT batch_id, string_agg("column" || ':' || type, ',' ORDER BY "column", type) AS h FROM facts GROUP BY batch_id), f AS (SELECT h, min(batch_id) AS first_batch FROM h GROUP BY h)
-SELECT 'events' AS dataset, first_batch, row_number() OVER (ORDER BY first_batch) AS version, row_number() OVER (ORDER BY first_batch DESC) = 1 AS active FROM f""")
-def schema_versions(spark, sf_dir):
-    return registry.versions(registry.schema_hash(profile.column_facts(batches(spark, sf_dir)))).select("dataset", "first_batch", "version", "active")
-
-
-_DECIDED = """SELECT day(ts) % 3 AS d, event_type, event_id FROM events"""
-
-
-@R.query(f"SELECT CASE d WHEN 0 THEN 'production' WHEN 1 THEN 'rejected' ELSE 'staging' END AS place, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ({_DECIDED}) GROUP BY 1")
-def promote_and_reject(spark, sf_dir):
-    staged = table(spark, sf_dir, "events").select(F.format_string("d%02d", F.dayofmonth("ts")).alias("batch_id"), F.col("event_id").alias("row_no"), F.dayofmonth("ts").alias("day"))
-    decisions = staged.where("day % 3 < 2").select("batch_id", F.when(F.col("day") % 3 == 0, "approve").otherwise("reject").alias("decision")).distinct()
-    return registry.apply_decisions(staged, decisions).groupBy("place").agg(F.count("*").alias("n"), F.sum("row_no").alias("ids"))
-
-
 @R.query(
     """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase, round(avg(value / 1000), 6) AS avg_risk, round(max(value / 1000), 6) AS max_risk,
  CASE max(CASE WHEN value >= 100 THEN 3 WHEN value >= 30 THEN 2 ELSE 1 END) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS max_level FROM events GROUP BY 1"""
@@ -148,11 +132,6 @@ def kpis(spark, sf_dir):
     return events.kpis(_events(spark, sf_dir))
 
 
-@R.query("SELECT event_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'k=' || CAST(json_extract(props, '$.k') AS VARCHAR) || ' | ' || event_type AS summary FROM events")
-def audit_flatten(spark, sf_dir):
-    return events.flatten(_events(spark, sf_dir))
-
-
 @R.query("SELECT event_id, event_type AS kind, user_id FROM events WHERE event_type IN ('error', 'purchase') ORDER BY ts DESC, event_id LIMIT 100")
 def event_list(spark, sf_dir):
     return events.newest(_events(spark, sf_dir).where(F.col("kind").isin("error", "purchase")), 100).select("event_id", "kind", "user_id")
@@ -185,9 +164,7 @@ def norm_names(spark, sf_dir):
     """SELECT p_brand, p_type, CASE WHEN k = 1 THEN p_type ELSE p_type || '_' || (k - 1) END AS unique_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k FROM part)"""
 )
 def unique_names(spark, sf_dir):
-    at = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
-    t = table(spark, sf_dir, "part").withColumn("k", at)
-    return t.select("p_brand", "p_type", F.when(F.col("k") == 1, F.col("p_type")).otherwise(F.concat_ws("_", "p_type", F.col("k") - 1)).alias("unique_name"), "p_partkey")
+    return N.unique_names(table(spark, sf_dir, "part"), "p_type", "p_partkey", ("p_brand",)).select("p_brand", "p_type", "unique_name", "p_partkey")
 
 
 @R.query(
