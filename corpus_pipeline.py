@@ -72,7 +72,7 @@ STAGES = [
     ("token output", token_stage),
 ]
 
-#: The stages learn, hash and link, which SQL can't express; tests/test_whole.py holds stages against brute force.
+#: The stages learn, hash and link, which SQL can't express; tests/llm/test_pipeline.py holds stages against brute force.
 ORACLE_SQL = None
 
 
