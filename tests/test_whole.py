@@ -4,12 +4,8 @@ import re
 from collections import Counter
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tabwarden.llm import license_scan, mixing, ppm, quality
-from tabwarden.llm.tables import held_out
 from tabwarden.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -46,97 +42,3 @@ def test_number_of_every_customer(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{whole}/*.parquet'")
     assert len(got) == 34 and got == dict(duck.sql(catalog.ORACLE_SQL["pii_nic_all"]).fetchall())
-
-
-def test_scores_whatever_the_hot_trie_holds(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + 2, "né 漢字 Ω"), (10**6 + 3, None), (10**6 + 4, "漢字 Ωmega")], "doc_id long, text string"))
-    scores = lambda most: {r["doc_id"]: r["score"] for r in ppm.score(docs, ~held_out("doc_id", 7), max_nodes=most).collect()}
-    whole = scores(1 << 32)
-    for most in (0, 3000):
-        assert scores(most) == pytest.approx(whole, rel=1e-9)
-
-
-def test_every_license_of_a_text(spark, tmp_path):
-    templates = license_scan.TEMPLATES
-    texts = [" so it is said ".join(t for _, t, _ in templates), f"{templates[3][1]} . . . {templates[11][1]}", f"{templates[3][1]} and then {templates[15][1]}", "cc by nc alone"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in license_scan.scan(d).collect()}
-    for i, t in enumerate(texts):
-        words = re.findall("[a-z0-9]+", t)
-        expected = set()
-        for label, template, need in templates:
-            x = template.split()
-            for start in range(-len(x), len(words)):
-                share = sum(0 <= start + q < len(words) and words[start + q] == w for q, w in enumerate(x)) / len(x)
-                near = words[max(0, start - 4) : max(0, start + len(x) + 4)]
-                if share >= 0.6 and all(f" {p} " in f" {' '.join(near)} " for p in need):
-                    expected.add((label, start))
-        assert {(m["label"], m["start_word"]) for m in got[i]["matches"]} == expected
-    assert {x[0] for x in templates} <= set(got[0]["labels"].split(","))
-    assert {"mit", "cc-by-nc"} <= set(got[1]["labels"].split(",")) and {"mit", "unlicense"} <= set(got[2]["labels"].split(","))
-
-
-@pytest.fixture(scope="module")
-def null_and_repeated(spark, tmp_path_factory):
-    """(folder, documents, items): rows of null and repeated ids, some of which leak items."""
-    tmp_path = tmp_path_factory.mktemp("corpus")
-    base = spark.read.parquet(f"{SF}/documents.parquet")
-    few = base.where("doc_id < 120").withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, F.col("doc_id") % 20).otherwise(F.col("doc_id")))
-    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(5)
-    leaks = items.select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("so it was said: "), "text").alias("text"))
-    few = few.unionByName(leaks, allowMissingColumns=True).unionByName(few.where("doc_id IS NULL").limit(3))
-    few.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
-    items.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    return str(tmp_path), docs, items
-
-
-def shown(df):
-    return Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
-
-
-def test_pipeline_quality(spark, null_and_repeated):
-    folder, docs, items = null_and_repeated
-    rows = corpus_pipeline._numbered(docs, "test").toPandas()
-    assert sorted(rows["_row"]) == list(range(len(rows)))
-    # the verdict on a text is that of the model, whatever its id
-    said = {r["_row"]: r["kept"] for r in quality.classify(corpus_pipeline._numbered(docs, "test"), id_col="_row").collect()}
-    expected = Counter((None if i != i else int(i), t) for i, t, n in zip(rows["doc_id"], rows["text"], rows["_row"], strict=True) if said[n])
-    assert shown(corpus_pipeline.quality_stage(spark, docs, folder)) == expected
-
-
-def test_pipeline_decontamination(spark, null_and_repeated):
-    folder, docs, items = null_and_repeated
-    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    grams = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := plain(t)) else set()
-    known = [grams(r["text"]) for r in items.collect()]
-    leaky = lambda t: (own := grams(t)) and any(len(own & g) >= 0.8 * len(g) for g in known)
-    expected = Counter({r: n for r, n in shown(docs).items() if not leaky(r[1])})
-    assert shown(corpus_pipeline.decontamination_stage(spark, docs, folder)) == expected and sum(expected.values()) < docs.count()
-
-
-def test_pipeline_near_dedup(spark, null_and_repeated):
-    folder, docs, items = null_and_repeated
-    deduped = corpus_pipeline.written(corpus_pipeline.near_dedup_stage(spark, docs, folder), "test")
-    all_rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0))
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in all_rows]
-    root = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            n = len(sets[a] & sets[b])
-            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n) and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = [low if x == high else x for x in root]
-    firsts = [all_rows[i] for i in sorted(set(root))]
-    assert Counter(i for i, _ in firsts) == Counter(r["doc_id"] for r in deduped.collect()) and sum(i is None for i, _ in firsts) > 1
-
-
-def test_pipeline_mixing(spark, null_and_repeated):
-    folder, docs, items = null_and_repeated
-    rows = corpus_pipeline._numbered(docs, "test").toPandas()
-    mixed = mixing.mix(corpus_pipeline._numbered(docs, "test"), id_col="_row").collect()
-    times = {r["_row"]: int(r["taken"] / max(1, r["size"]) + 0.5) for r in mixed}
-    expected = Counter()
-    for i, t, n in zip(rows["doc_id"], rows["text"], rows["_row"], strict=True):
-        expected[None if i != i else int(i), t] += times[n]
-    assert shown(corpus_pipeline.mixing_stage(spark, docs, folder)) == +expected
