@@ -45,7 +45,8 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")).cast(shape)
 
     empty = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step)["out"]).otherwise(empty)
+    # the pattern is run once: a text without matches is one piece
+    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step)["out"]).otherwise(empty)
 
 
 def digits(c: Column) -> Column:
@@ -69,12 +70,12 @@ def _day(c: Column) -> Column:
     return d.between(1, 366) | d.between(501, 866)
 
 
-def _old_nic(c: Column, year: int = 2026) -> Column:
-    return _day(F.substring(c, 3, 3)) & ((F.substring(c, 1, 2).try_cast("int") + 1900) <= year)
+def _old_nic(c: Column, year: Column | None = None) -> Column:
+    return _day(F.substring(c, 3, 3)) & ((F.substring(c, 1, 2).try_cast("int") + 1900) <= (F.year(F.current_date()) if year is None else year))
 
 
-def _new_nic(c: Column, year: int = 2026) -> Column:
-    return F.substring(c, 1, 4).try_cast("int").between(1900, year) & _day(F.substring(c, 5, 3))
+def _new_nic(c: Column, year: Column | None = None) -> Column:
+    return F.substring(c, 1, 4).try_cast("int").between(F.lit(1900), F.year(F.current_date()) if year is None else year) & _day(F.substring(c, 5, 3))
 
 
 def _ipv4(c: Column) -> Column:
@@ -104,11 +105,28 @@ DETECTORS = (
     Detector("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", _ipv4, _sure(0.95)),
     Detector("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", _always, _sure(0.95)),
     Detector("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}\b", _always, _sure(0.95)),
-    Detector("DATE", r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b", lambda c: to_iso(c).isNotNull(), _sure(0.9)),
-    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", _always, _sure(0.95)),
+    Detector("DATE", r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b|\b(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b", lambda c: to_iso(c).isNotNull(), _sure(0.9)),
+    Detector("EMAIL", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", _always, _sure(0.95)),
 )
 
 
+def _ipv6(c: Column) -> Column:
+    """Eight groups of up to four hex digits, or fewer with one `::`; a `:` at an end only as part of it."""
+    groups = F.size(F.filter(F.split(c, ":"), lambda x: x != ""))
+    doubles = F.size(F.split(c, "::", -1)) - 1
+    ends = ~c.rlike("^:[^:]|[^:]:$") & ~c.contains(":::")
+    return ends & (((doubles == 0) & (groups == 8)) | ((doubles == 1) & (groups <= 7))) & ~c.rlike("[0-9A-Fa-f]{5}")
+
+
+#: Not among DETECTORS: texts have many runs of colons.
+IPV6 = (Detector("IP_ADDRESS", r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f:]{2,45}(?![0-9A-Fa-f:.])", lambda c: c.contains(":") & _ipv6(c), _sure(0.95)),)
+
+
+def confident(labels: DataFrame, least: float = 0.6) -> DataFrame:
+    """Labels under their canonical names, without `O` and those of low confidence."""
+    return labels.withColumn("entity", canonical_label(F.col("entity"))).where((F.col("entity") != "O") & (F.col("confidence") >= least))
+
+
 def mac_class(c: Column) -> Column:
     """UAA or LAA by the second bit of the first byte."""
     first = F.conv(F.substring(F.regexp_replace(c, "[^0-9A-Fa-f]", ""), 1, 2), 16, 10).cast("int")
@@ -220,7 +238,7 @@ def decrypt(c: Column, key: str) -> Column:
 
 def tokenize(values: DataFrame, column: str, key: str) -> DataFrame:
     """Vault (value, token) of the distinct values: keyed and the same in every run."""
-    return values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().withColumn("token", F.concat(F.lit("TKN_"), F.left(F.sha2(F.concat(F.lit(key), "value"), 256), F.lit(12))))
+    return values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().withColumn("token", F.concat(F.lit("TKN_"), F.left(F.sha2(F.concat(F.lit(key), "value"), 256), F.lit(32))))
 
 
 def generalize_place(c: Column) -> Column:

@@ -12,10 +12,39 @@ STEPS = ("html_strip", "language", "spelling", "sentences", "tokens", "entities"
 STATUSES = ("cleaned", "partial", "failed")
 
 
+#: A tag ends at the first `>` of its line; a run of `<` is one beginning, so that time grows with the text.
+TAG = r"<[^\n>]*+>"
+
+
 def strip_html(c: Column) -> Column:
     """Tags out, blanks collapsed; a text without tags stays as it is."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^\n]*?>", ""), r"[ \t\r\n\f]+", " "))
-    return F.when(c.rlike(r"<[^\n]*?>"), clean).otherwise(c)
+    clean = F.trim(F.regexp_replace(F.regexp_replace(c, TAG, ""), r"[ \t\r\n\f]+", " "))
+    return F.when(c.rlike(TAG), clean).otherwise(c)
+
+
+def html_changed(c: Column) -> Column:
+    return c != strip_html(c)
+
+
+def html_confidence(c: Column) -> Column:
+    """1 without tags, 0.95 where stripping changed the text, else 0.8."""
+    return F.when(~c.rlike(TAG), F.lit(1.0)).otherwise(F.when(html_changed(c), 0.95).otherwise(0.8))
+
+
+def spell_gate(noisy: DataFrame) -> DataFrame:
+    """(lang, n_words, ratio) with `corrects`: English, two words at least, a tenth of them unknown."""
+    zero = F.lit(0)
+    return noisy.withColumn("corrects", F.coalesce(F.col("lang") == "en", F.lit(False)) & (F.coalesce("n_words", zero) >= 2) & (F.coalesce("ratio", F.lit(0.0)) >= 0.1))
+
+
+def entity_gate(c: Column, lang: Column) -> Column:
+    """English and three words at least."""
+    return (lang == "en") & (F.size(F.filter(F.split(F.trim(c), r"[ \t\r\n\f]+"), lambda x: x != "")) >= 3)
+
+
+def name_counts(c: Column, names: Sequence[str]) -> Column:
+    """How often words begin with one of some names."""
+    return F.size(F.regexp_extract_all(F.lower(c), F.lit("(?:^|[^a-z])(" + "|".join(names) + ")"), 1))
 
 
 def collapse(c: Column) -> Column:
@@ -36,7 +65,7 @@ def plan(c: Column) -> Column:
     """Steps that a text needs."""
     return F.array_compact(
         F.array(
-            F.when(c.rlike(r"<[^\n]*?>"), "html_strip"),
+            F.when(c.rlike(TAG), "html_strip"),
             F.when(c.rlike("[A-Za-z]"), "language"),
             F.when(c.rlike("[A-Za-z]"), "spelling"),
             F.when(c.rlike("[.!?]"), "sentences"),
@@ -120,17 +149,27 @@ def validate(records: DataFrame, required: Sequence[str], confidence: str, statu
 
 
 def run_plan(records: DataFrame, text_col: str) -> DataFrame:
-    """Every record through the steps of its own plan: clean text, sentences, tokens, steps run."""
+    """Every record through the steps of its own plan: clean text, sentences, tokens, steps run, errors and status.
+
+    A record without text fails, one without letters or under three characters is partial.
+    """
     needs = ordered_plan(plan(F.col(text_col)))
     has = lambda s: F.array_contains(F.col("steps"), s)
     out = records.withColumn("steps", needs)
     out = out.withColumn("clean_text", F.when(has("html_strip"), strip_html(F.col(text_col))).otherwise(F.col(text_col)))
     out = out.withColumn("sentences", F.when(has("sentences"), sentences(F.col("clean_text"))).otherwise(F.array("clean_text")))
-    return out.withColumn("tokens", F.when(has("tokens"), tokens(F.col("clean_text"))).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("tokens", F.when(has("tokens"), tokens(F.col("clean_text"))).otherwise(F.array().cast("array<string>")))
+    blank = F.coalesce(F.trim(text_col) == "", F.lit(True))
+    poor = ~F.col(text_col).rlike(r"\p{L}") | (F.length(text_col) < 3)
+    out = out.withColumn("errors", F.array_compact(F.array(F.when(blank, "no text"), F.when(~blank & poor, "no language"))))
+    return out.withColumn("status", F.when(blank, "failed").when(poor, "partial").otherwise("cleaned"))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 800, overlap: int = 0) -> DataFrame:
-    """(chunk_id, id_col, chunk_no, chunk): sentences packed in order up to `most` characters; with `overlap`, a chunk begins with the end of the last."""
+def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 800, overlap: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """(chunk_id, id_col, chunk_no, chunk, kept columns): sentences packed in order up to `most` characters; with `overlap`, a chunk begins with the end of the last.
+
+    A longer sentence is a chunk of its own.
+    """
     shape = "struct<cur:string,out:array<string>>"
     start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out")).cast(shape)
 
@@ -142,7 +181,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 800, overlap
         return F.when(fits, F.struct(joined.alias("cur"), acc["out"].alias("out")).cast(shape)).otherwise(full)
 
     packed = F.aggregate(sentences(collapse(F.col(text_col))), start, step, lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
-    return docs.select(id_col, F.posexplode(packed).alias("chunk_no", "chunk")).select(F.concat_ws("_", id_col, "chunk_no").alias("chunk_id"), id_col, "chunk_no", "chunk")
+    return docs.select(id_col, *keep, F.posexplode(packed).alias("chunk_no", "chunk")).select(F.concat_ws("_", id_col, "chunk_no").alias("chunk_id"), id_col, "chunk_no", "chunk", *keep)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:

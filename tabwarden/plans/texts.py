@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwarden.operators import pii, text
+from tabwarden.operators import pii, protect, text
 from tabwarden.plans.register import Registry, table
 
 R = Registry()
@@ -53,23 +53,12 @@ def pii_phone(spark, sf_dir):
     return _found(spark, sf_dir, "PHONE_NUMBER").select("doc_id", "entity", "value")
 
 
-@R.query(
-    """WITH c AS (SELECT c_custkey, printf('%02d', c_custkey % 60 + 40) || printf('%03d', c_custkey * 7 % 900) || printf('%04d', c_custkey) || 'V' AS nic FROM customer)
-SELECT c_custkey, CASE WHEN CAST(nic[3:5] AS INT) BETWEEN 1 AND 366 OR CAST(nic[3:5] AS INT) BETWEEN 501 AND 866 THEN 1 ELSE 0 END AS n_nic FROM c WHERE c_custkey < 10000"""
-)
-def pii_nic(spark, sf_dir):
-    key = F.col("c_custkey")
-    nic = F.concat(F.format_string("%02d", key % 60 + 40), F.format_string("%03d", key * 7 % 900), F.format_string("%04d", key), F.lit("V"))
-    t = table(spark, sf_dir, "customer").where("c_custkey < 10000").select("c_custkey", F.concat(F.lit("holder "), nic, F.lit(".")).alias("t"))
-    return t.select("c_custkey", F.size(pii.detect(F.col("t"), tuple(d for d in pii.DETECTORS if d.entity == "NIC"))).alias("n_nic"))
-
-
 @R.query(
     """WITH c AS (SELECT c_custkey, printf('%02d', c_custkey % 60 + 40) || printf('%03d', c_custkey * 7 % 900) || printf('%04d', c_custkey % 10000) || 'V' AS nic FROM customer)
 SELECT c_custkey, CASE WHEN CAST(nic[3:5] AS INT) BETWEEN 1 AND 366 OR CAST(nic[3:5] AS INT) BETWEEN 501 AND 866 THEN 1 ELSE 0 END AS n_nic FROM c"""
 )
 def pii_nic_all(spark, sf_dir):
-    """As pii_nic, with a row for every customer."""
+    """A number for every customer."""
     key = F.col("c_custkey")
     nic = F.concat(F.format_string("%02d", key % 60 + 40), F.format_string("%03d", key * 7 % 900), F.format_string("%04d", key % 10000), F.lit("V"))
     t = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("holder "), nic, F.lit(".")).alias("t"))
@@ -106,11 +95,7 @@ POLICIES = (("NIC", "High"), ("CREDIT_CARD", "Critical"), ("BANK_ACCOUNT", "High
 
 def _protected(spark, sf_dir) -> DataFrame:
     policies = spark.createDataFrame(POLICIES, "entity string, sensitivity_level string")
-    found = pii.with_sensitivity(_entities(spark, sf_dir), policies)
-    scored = found.withColumn("score", pii.risk_score(F.col("sensitivity_level"), F.lit(3)))
-    chosen = scored.withColumn("method", pii.method(F.col("entity"), F.col("score")))
-    safe = F.when(F.col("method") == "mask", pii.mask(F.col("value"))).otherwise(F.concat(F.lit("HSH_"), F.left(pii.salted_hash(F.col("value"), "salt"), F.lit(12))))
-    return chosen.withColumn("safe", safe)
+    return protect.chosen(_entities(spark, sf_dir), policies, F.lit("gdpr"))
 
 
 @R.query()
@@ -121,9 +106,9 @@ def pii_statistics(spark, sf_dir):
 
 @R.query()
 def redact_text(spark, sf_dir):
-    """Documents with findings, each value replaced."""
-    by_doc = _protected(spark, sf_dir).groupBy("doc_id").agg(F.collect_set(F.struct("value", "safe")).alias("r"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", pii.redact(F.col("text"), F.col("r")).alias("text"))
+    """Every document, each found value replaced by what its method makes of it; hashes stand for ciphers, which differ from run to run."""
+    found = _protected(spark, sf_dir)
+    return protect.redact_texts(table(spark, sf_dir, "documents"), found, "doc_id", "text", "salt", "0123456789abcdef", pii.salted_hash(F.col("value"), "cipher"))
 
 
 @R.query("SELECT c_custkey, CASE WHEN len(c_name) <= 4 THEN repeat('*', len(c_name)) ELSE c_name[1:2] || repeat('*', len(c_name) - 4) || c_name[-2:] END AS masked, sha256('pepper' || c_name) AS hashed FROM customer")
@@ -137,7 +122,7 @@ def protect_aes_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", pii.decrypt(pii.encrypt(F.col("c_name"), key), key).alias("opened"))
 
 
-@R.query("SELECT c_custkey, 'TKN_' || sha256('key' || c_mktsegment)[1:12] AS token, c_mktsegment AS opened FROM customer")
+@R.query("SELECT c_custkey, 'TKN_' || sha256('key' || c_mktsegment)[1:32] AS token, c_mktsegment AS opened FROM customer")
 def tokenize_roundtrip(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     vault = pii.tokenize(t, "c_mktsegment", "key")
@@ -152,14 +137,15 @@ def generalize(spark, sf_dir):
 
 
 @R.query(
-    """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, text[1:8] AS token, CASE WHEN turn % 3 = 0 THEN 'B-PER' WHEN turn % 3 = 1 THEN 'I-PER' ELSE 'O' END AS label FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations ORDER BY conv_id, turn, role, text)),
-r AS (SELECT *, sum(CASE WHEN label = 'B-PER' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM t) SELECT conv_id AS doc_id, 'PER' AS entity, min(turn) AS start_pos, max(turn) AS end_pos FROM r WHERE label <> 'O' AND run > 0 GROUP BY conv_id, run"""
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, text AS token, turn % 3 AS k FROM conversations),
+l AS (SELECT *, CASE k WHEN 0 THEN 'B-PER' WHEN 1 THEN 'I-PER' ELSE 'O' END AS label, lag(k) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM t), r AS (SELECT *, sum(CASE WHEN k = 0 OR (k = 1 AND coalesce(before, 2) = 2) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM l)
+SELECT conv_id AS doc_id, 'PER' AS entity, string_agg(token, ' ' ORDER BY pos) AS value, min(pos) AS start_pos, max(pos) AS end_pos FROM r WHERE label <> 'O' GROUP BY conv_id, run"""
 )
 def bio_spans(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text"))["text"].alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     label = F.when(F.col("turn") % 3 == 0, "B-PER").when(F.col("turn") % 3 == 1, "I-PER").otherwise("O")
-    tokens = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.left("text", F.lit(8)).alias("token"), label.alias("label"))
-    return pii.bio_spans(tokens).select("doc_id", "entity", "start_pos", "end_pos")
+    tokens = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), place.cast("long").alias("pos"), F.col("text").alias("token"), label.alias("label"))
+    return pii.bio_spans(tokens).select("doc_id", "entity", "value", "start_pos", "end_pos")
 
 
 @R.query(r"SELECT page_id, CASE WHEN regexp_matches(html, '<[^\n]*?>') THEN trim(regexp_replace(regexp_replace(html, '<[^\n]*?>', '', 'g'), '[ \t\r\n\f]+', ' ', 'g')) ELSE html END AS text FROM pages")
@@ -194,16 +180,6 @@ def spell_noise(spark, sf_dir):
     return text.noise(docs, "doc_id", "text", known)
 
 
-@R.query(
-    f"""WITH {_WORDS}, {_DICT}, u AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT doc_id) BETWEEN 15 AND 19), p AS (SELECT u.word, d.word AS best, n FROM u JOIN d ON abs(len(u.word) - len(d.word)) <= 1 AND levenshtein(u.word, d.word) = 1)
-SELECT word, first(best ORDER BY n DESC, best) AS best FROM p GROUP BY word"""
-)
-def spell_correct(spark, sf_dir):
-    docs, known = _english(spark, sf_dir)
-    rare = text.dictionary(docs, "doc_id", "text", 15).where("n < 20").select("word")
-    return text.corrections(rare, known)
-
-
 @R.query()
 def spell_correct_all(spark, sf_dir):
     """Every English word that the dictionary lacks, by up to two edits; tests/test_whole.py holds it against brute force."""
@@ -242,10 +218,9 @@ def validate_records(spark, sf_dir):
     return text.validate(t, ("conv_id", "role"), "confidence", "status").select("conv_id", "turn", "role", "text", F.array_join("errors", ",").alias("errors"), "is_valid")
 
 
-@R.query(r"SELECT conv_id, turn, text AS clean_text, CASE WHEN len(text) < 2 THEN 0 ELSE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) END AS n_tokens FROM conversations WHERE NOT regexp_matches(text, '<[^\n]*?>')")
+@R.query(r"WITH c AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '<[^\n]*?>') THEN trim(regexp_replace(regexp_replace(text, '<[^\n]*?>', '', 'g'), '[ \t\r\n\f]+', ' ', 'g')) ELSE text END AS clean_text FROM conversations) SELECT *, CASE WHEN len(clean_text) < 2 THEN 0 ELSE len(regexp_extract_all(clean_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) END AS n_tokens FROM c")
 def text_pipeline(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"<[^\n]*?>"))
-    return text.run_plan(t, "text").select("conv_id", "turn", "clean_text", F.size("tokens").cast("long").alias("n_tokens"))
+    return text.run_plan(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "clean_text", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 @R.query()
