@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,43 @@ def chi_square(df: DataFrame, x: str, y: str) -> DataFrame:
     return terms.select(F.lit(x).alias("target"), F.lit(y).alias("predictor"), F.round(F.col("n") * (F.col("s") - 1), 4).alias("chi2"), "dof")
 
 
+def chi_square_score(scored: DataFrame) -> DataFrame:
+    """chi_square's rows (chi2, dof) as (target, predictor, method, score): one minus the p-value, from the regularised gamma function."""
+
+    @F.pandas_udf("double")
+    def p_value(chi2: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([_upper_gamma(d / 2, x / 2) if d > 0 else 1.0 for x, d in zip(chi2, dof, strict=True)])
+
+    return scored.select("target", "predictor", F.lit("chi2").alias("method"), F.round(1 - p_value("chi2", "dof"), 6).alias("score"))
+
+
+def _upper_gamma(a: float, x: float) -> float:
+    """Q(a, x), by its series or its continued fraction."""
+    if x <= 0:
+        return 1.0
+    log = a * math.log(x) - x - math.lgamma(a)
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-15:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - total * math.exp(log))
+    b, c = x + 1 - a, 1e300
+    d = 1 / b
+    h = d
+    for i in range(1, 1000):
+        k = -i * (i - a)
+        b += 2
+        d = 1 / (k * d + b)
+        c = b + k / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * math.exp(log)
+
+
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """One row (target, predictor, method, score): plug-in mutual information of a category and a number in equal-width bins."""
     ends = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi"))
@@ -45,6 +84,20 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFra
     return joined.agg(score.alias("s")).select(F.lit(x).alias("target"), F.lit(y).alias("predictor"), F.lit("mutual_info").alias("method"), F.round("s", 6).alias("score"))
 
 
+def all_dependencies(df: DataFrame, numeric: Sequence[str], categories: Sequence[str], rows: int = 10, least: float = 0.1) -> DataFrame:
+    """The scores over `least` of all pairs of columns that are both set in `rows` rows: numbers by rank, categories by chi-square, both kinds by mutual information."""
+    columns = [*numeric, *categories]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    joint = df.agg(*(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"{a}|{b}") for a, b in pairs)).first()  # one row
+    out = None
+    for a, b in pairs:
+        if joint[f"{a}|{b}"] < rows:
+            continue
+        one = spearman(df, a, b) if b in numeric else chi_square_score(chi_square(df, a, b)) if a in categories else mutual_information(df, b, a).select(F.lit(a).alias("target"), F.lit(b).alias("predictor"), "method", "score")
+        out = one if out is None else out.unionByName(one)
+    return dependency_table(out, least)
+
+
 def dependency_table(scores: DataFrame, least: float = 0.1) -> DataFrame:
     return scores.where(F.col("score") > least).orderBy(F.desc("score"), "target", "predictor")
 

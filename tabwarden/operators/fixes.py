@@ -11,6 +11,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.operators.issues import Rule
+
 
 def allowed_alternatives(df: DataFrame, column: str, allowed: Sequence[str], most: int = 3) -> DataFrame:
     """(column, value, rank): allowed values by how often they occur, those that don't last."""
@@ -56,12 +58,56 @@ def satisfy_constraint(c: Column, constraint: str) -> Column:
 
 
 def apply_fixes(df: DataFrame, fixes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """fixes (row_id, column, value): the last word on a cell; other cells stay."""
-    wide = fixes.groupBy("row_id").pivot("column", list(columns)).agg(F.max("value"))
+    """fixes (row_id, column, value, made): of a cell's fixes the one made last, null included; other cells stay."""
+    last = F.max_by(F.struct("value"), F.struct("made", "value"))
+    wide = fixes.groupBy("row_id").pivot("column", list(columns)).agg(last)
     wide = wide.select("row_id", *(F.col(c).alias(f"fix_{c}") for c in columns))
     joined = df.join(wide, df[key] == wide["row_id"], "left")
     types = dict(df.dtypes)
-    return joined.select(*(F.coalesce(F.col(f"fix_{c}").cast(types[c]), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+    fixed = lambda c: F.when(F.col(f"fix_{c}").isNotNull(), F.col(f"fix_{c}.value").try_cast(types[c])).otherwise(F.col(c)).alias(c)
+    return joined.select(*(fixed(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def modes(df: DataFrame, column: str, most: int = 3) -> DataFrame:
+    """(column, value, rank): the most frequent values, numbers or texts, ties to the smaller."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "v").limit(most)
+    at = F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "v"))  # over `most` rows
+    return top.select(F.lit(column).alias("column"), F.col("v").cast("string").alias("value"), at.alias("rank"))
+
+
+def fixes_table(issues: DataFrame, alternatives: DataFrame, rules: Sequence[Rule], suggestions: DataFrame | None = None) -> DataFrame:
+    """Issues with what could replace each value.
+
+    alternatives (column, value, rank): offered for every issue of the column; a cap for values outside a
+    rule's range; suggestions (row_id, column, suggestion) of a model, if there are any.
+    """
+    listed = alternatives.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("alternatives"))
+    capped = F.lit(None).cast("double")
+    for r in rules:
+        if r.low is not None or r.high is not None:
+            capped = F.when((F.col("column") == r.column) & (F.col("issue_type") == "invalid"), cap(F.col("current_value").try_cast("double"), r.low, r.high)).otherwise(capped)
+    out = issues.join(F.broadcast(listed), "column", "left").withColumn("cap_suggestion", capped)  # a row a column
+    if suggestions is None:
+        return out.withColumn("ml_suggestion", F.lit(None).cast("string"))
+    return out.join(suggestions.withColumnRenamed("suggestion", "ml_suggestion"), ["row_id", "column"], "left")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, target: str, features: Sequence[str], seed: int = 42) -> DataFrame:
+    """(feature, importance): how much the share of right predictions falls when one feature's values are dealt anew.
+
+    Values are dealt by joining rows with rows in another hashed order, within hashed parts.
+    """
+    known = df.where(F.col(target).isNotNull()).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(64)))
+    rank = lambda salt: F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(salt), "_id"), "_id"))
+    right = lambda d: model.transform(d).agg(F.avg((F.col("suggestion") == F.col(target).cast("string")).cast("double")).alias("share"))
+    whole = right(known)
+    out = None
+    for k, f in enumerate(features):
+        dealt = known.withColumn("_at", rank(seed)).drop(f).join(known.select("_part", rank(seed + 1 + k).alias("_at"), f), ["_part", "_at"])
+        row = right(dealt).select(F.lit(f).alias("feature"), "share")
+        out = row if out is None else out.unionByName(row)
+    return out.join(whole.withColumnRenamed("share", "full")).select("feature", F.round(F.col("full") - F.col("share"), 6).alias("importance"))
 
 
 def train_imputer(df: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str], target_is_category: bool) -> PipelineModel:

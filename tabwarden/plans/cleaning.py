@@ -101,15 +101,56 @@ def quality_report(spark, sf_dir):
     return issues.quality_report(lines(spark, sf_dir), "row_id", COLUMNS, RULES, NUMERIC)
 
 
+_CAPPED = _QUALITY.replace("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS quantity, l_discount AS discount", "CASE WHEN l_linenumber = 7 THEN NULL ELSE least(greatest(l_quantity, 1), 45) END AS quantity, least(greatest(l_discount, 0), 0.09) AS discount")
+
+
+@R.query(f"SELECT 'before' AS stage, * FROM ({_QUALITY}) UNION ALL SELECT 'after' AS stage, * FROM ({_CAPPED})")
+def quality_before_after(spark, sf_dir):
+    """The whole report before and after all values out of range are capped."""
+    before = lines(spark, sf_dir)
+    after = before.withColumns({r.column: fixes.cap(F.col(r.column), float(r.low), float(r.high)) for r in RULES if r.high is not None})
+    report = lambda t, stage: issues.quality_report(t, "row_id", COLUMNS, RULES, NUMERIC).select(F.lit(stage).alias("stage"), "*")
+    return report(before, "before").unionByName(report(after, "after"))
+
+
+@R.query(f"""{_ALL}, a AS (SELECT * FROM (VALUES ('returnflag', 'A|N'), ('quantity', (SELECT string_agg(CAST(q AS VARCHAR), '|' ORDER BY n DESC, q) FROM (SELECT quantity AS q, count(*) AS n FROM lines WHERE quantity IS NOT NULL GROUP BY 1 ORDER BY n DESC, q LIMIT 3)))) v("column", alternatives))
+SELECT row_id, i."column", issue_type, current_value, rule_violated, alternatives, CASE WHEN issue_type = 'invalid' AND i."column" = 'quantity' THEN least(greatest(CAST(current_value AS DOUBLE), 1), 45) WHEN issue_type = 'invalid' AND i."column" = 'discount' THEN least(greatest(CAST(current_value AS DOUBLE), 0), 0.09) END AS cap_suggestion FROM issues i LEFT JOIN a ON a."column" = i."column" """)
+def fixes_table(spark, sf_dir):
+    t = lines(spark, sf_dir)
+    allowed = spark.createDataFrame([("returnflag", "A", 1), ("returnflag", "N", 2)], "column string, value string, rank int")
+    out = fixes.fixes_table(issues.detect(t, "row_id", COLUMNS, RULES, NUMERIC), allowed.unionByName(fixes.modes(t, "quantity")), RULES)
+    return out.withColumn("alternatives", F.array_join("alternatives", "|")).drop("ml_suggestion")
+
+
+@R.query("SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS rank FROM orders GROUP BY o_orderpriority QUALIFY rank <= 3")
+def alternatives_text_modes(spark, sf_dir):
+    return fixes.modes(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
 @R.query(
-    """SELECT 'before' AS stage, count(*) FILTER (l_quantity > 45) AS n_issues FROM lineitem
-UNION ALL SELECT 'after' AS stage, count(*) FILTER (least(l_quantity, 45) > 45) AS n_issues FROM lineitem"""
+    """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY ALL), r AS (SELECT x, sum(o) AS r FROM c GROUP BY x), k AS (SELECT y, sum(o) AS c FROM c GROUP BY y),
+t AS (SELECT round(CAST(sum(o) * (sum(o * o / (r * c)) - 1) AS DOUBLE), 4) AS chi2 FROM c JOIN r USING (x) JOIN k USING (y)) SELECT 'l_returnflag' AS target, 'l_linestatus' AS predictor, 'chi2' AS method, round(1 - exp(-chi2 / 2), 6) AS score FROM t"""
 )
-def quality_before_after(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("quantity"))
-    rules = (Rule("quantity", None, 45),)
-    capped = t.withColumn("quantity", fixes.cap(F.col("quantity"), None, 45.0))
-    return issues.out_of_range(t, "row_id", rules).agg(F.count("*").alias("n_issues")).select(F.lit("before").alias("stage"), "n_issues").unionByName(issues.out_of_range(capped, "row_id", rules).agg(F.count("*").alias("n_issues")).select(F.lit("after").alias("stage"), "n_issues"))
+def deps_chi2_score(spark, sf_dir):
+    """Two degrees of freedom, where the p-value is exp(-chi2 / 2)."""
+    return dependencies.chi_square_score(dependencies.chi_square(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@R.query()
+def dependency_table(spark, sf_dir):
+    """All pairs of columns of lineitem that depend on each other."""
+    return dependencies.all_dependencies(lines(spark, sf_dir), ("quantity", "price", "tax"), ("returnflag", "linestatus"))
+
+
+@R.query(
+    """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 7 THEN o_totalprice + 100000000 WHEN o_orderkey % 500 = 9 THEN -100000000 ELSE o_totalprice END AS price FROM orders), f AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM v)
+SELECT o_orderkey AS row_id, 'price' AS "column", 'outlier' AS issue_type, 'iqr' AS rule_violated FROM v, f WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)"""
+)
+def issues_iqr_found(spark, sf_dir):
+    """Prices of which some are far off."""
+    k = F.col("o_orderkey") % 500
+    price = F.when(k == 7, F.col("o_totalprice") + 100000000).when(k == 9, F.lit(-100000000.0)).otherwise(F.col("o_totalprice"))
+    return issues.outliers(table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price")), "o_orderkey", ("price",)).drop("current_value")
 
 
 _IDS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -184,8 +225,10 @@ def cap_to_boundary(spark, sf_dir):
 @R.query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 40 ELSE p_size END AS p_size, CASE WHEN p_partkey % 10 = 0 THEN 'checked' ELSE p_type END AS p_type FROM part")
 def apply_fixes(spark, sf_dir):
     t = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-    chosen = t.where("p_size > 40").select(F.col("p_partkey").alias("row_id"), F.lit("p_size").alias("column"), F.lit("40").alias("value"))
-    chosen = chosen.unionByName(t.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("row_id"), F.lit("p_type").alias("column"), F.lit("checked").alias("value")))
+    chosen = t.where("p_size > 40").select(F.col("p_partkey").alias("row_id"), F.lit("p_size").alias("column"), F.lit("40").alias("value"), F.lit(2).alias("made"))
+    chosen = chosen.unionByName(t.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("row_id"), F.lit("p_type").alias("column"), F.lit("checked").alias("value"), F.lit(1).alias("made")))
+    # an earlier fix of the same cells
+    chosen = chosen.unionByName(t.where("p_size > 40").select(F.col("p_partkey").alias("row_id"), F.lit("p_size").alias("column"), F.lit("9").alias("value"), F.lit(1).alias("made")))
     return fixes.apply_fixes(t, chosen, "p_partkey", ("p_size", "p_type"))
 
 
@@ -196,10 +239,10 @@ def constraint_adjust(spark, sf_dir):
 
 
 @R.query()
-def impute_forest(spark, sf_dir):
-    """Predictions for the missing return flags of lineitem; the forest learns from a bounded share of the known rows."""
+def impute_forest(spark, sf_dir, rows: int = 20_000):
+    """Predictions for the missing return flags of lineitem; the forest learns from about `rows` of the known rows."""
     t = lines(spark, sf_dir)
     known = t.where("returnflag IS NOT NULL")
     n = known.count()
-    model = fixes.train_imputer(known.sample(min(1.0, 20_000 / max(n, 1)), seed=42), "returnflag", ("quantity", "discount", "price"), ("linestatus",), True)
+    model = fixes.train_imputer(known.sample(min(1.0, rows / max(n, 1)), seed=42), "returnflag", ("quantity", "discount", "price"), ("linestatus",), True)
     return fixes.predict_missing(model, t, "row_id", "returnflag")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,21 @@ def delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_wrapped_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """CSV in which each whole line may be quoted, with or without a byte-order mark; the header goes."""
-    line = F.regexp_replace("value", "^﻿", "")
-    bare = F.when(line.rlike('^".*"$'), F.replace(F.regexp_replace(line, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(line)
+    """CSV in which each whole line may be quoted, with or without a byte-order mark; each file's header line goes.
+
+    A line is unwrapped if it is one quoted field as a whole; rows that begin and end with quoted fields
+    are left as they are, and so are rows that repeat the header.
+    """
+    line = F.regexp_replace("value", "^\ufeff", "")
+    whole = line.rlike('^"([^"]|"")*+"$') & line.contains(sep)
+    bare = F.when(whole, F.replace(F.regexp_replace(line, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(line)
     names = T.StructType.fromDDL(schema).fieldNames()
-    rows = spark.read.text(path).select(F.trim(bare).alias("line")).where("line <> ''")
-    parsed = rows.where(F.lower(F.regexp_replace("line", r"\s", "")) != sep.join(names).lower())
-    return parsed.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
+    rows = spark.read.text(path).select(F.trim(bare).alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    is_header = F.lower(F.regexp_replace("line", r"\s", "")) == sep.join(names).lower()
+    # only lines like the header meet in the window
+    first = rows.where(is_header).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where("k > 1").select("line")
+    kept = rows.where(~is_header).select("line").unionByName(first)
+    return kept.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
@@ -48,8 +56,23 @@ def sniff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): each file whole, invalid bytes replaced."""
-    return spark.read.format("binaryFile").load(path).select("path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    """(path, text): each file whole: UTF-8 with or without a mark, else the western code page 1252."""
+    raw = spark.read.format("binaryFile").load(path)
+    utf8 = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    western = F.translate(F.decode("content", "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode("cp1252", "replace"))
+    return raw.select("path", F.when(F.expr("is_valid_utf8(cast(content as string))"), utf8).otherwise(western).alias("text"))
+
+
+def ingest_rows(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """JSON bodies {dataset, batch_id, rows: [...]} -> (dataset, batch_id, row_no, payload map), a row each; what isn't one gives none."""
+    shape = "dataset string, batch_id string, rows array<map<string,string>>"
+    b = bodies.select(F.from_json(column, shape).alias("b")).where("b.dataset IS NOT NULL AND b.batch_id IS NOT NULL")
+    return b.select("b.dataset", "b.batch_id", F.posexplode("b.rows").alias("row_no", "payload"))
+
+
+def store(df: DataFrame, path: str, by: str = "dataset") -> None:
+    """Events or rows, appended to a table partitioned by data set."""
+    df.write.mode("append").partitionBy(by).parquet(path)
 
 
 def read_text_records(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.operators.events import payload_type
+from tabwarden.operators.text import run_plan
 
 MESSAGE = "dataset string, batch_id string, type string, payload map<string,string>"
 
@@ -52,10 +53,52 @@ def replay(rows: DataFrame) -> DataFrame:
     return body.unionByName(ends)
 
 
+def flush(handle_rows: Callable[[DataFrame, str], None], known: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` handler that gives each complete batch of a micro-batch to `handle_rows`, once.
+
+    known() gives the (dataset, batch_id, flush_no) handled before, so a micro-batch that is run again does
+    nothing; rows that come after a batch's end are a further flush of it.
+    """
+
+    def run(rows: DataFrame, epoch: int) -> None:
+        done = known()
+        last = done.groupBy("dataset", "batch_id").agg(F.max("flush_no").alias("last"), F.max("epoch").alias("last_epoch"))
+        ended = assembled(rows).where("complete").select("dataset", "batch_id").join(last, ["dataset", "batch_id"], "left")
+        fresh = ended.where(f"last_epoch IS NULL OR last_epoch < {epoch}").withColumn("flush_no", F.coalesce("last", F.lit(-1)) + 1)
+        body = rows.where("coalesce(type, '') <> 'end_batch'").join(fresh.select("dataset", "batch_id", "flush_no"), ["dataset", "batch_id"])
+        handle_rows(body.withColumn("epoch", F.lit(epoch)), f"epoch {epoch}")
+
+    return run
+
+
+def clean_texts(messages: DataFrame) -> DataFrame:
+    """A stream of texts (value) through the text steps -> (topic, value): JSON records with their status."""
+    out = run_plan(messages.select(F.coalesce(F.get_json_object("value", "$.text"), "value").alias("text")), "text")
+    return out.select(F.lit("processed_text").alias("topic"), F.to_json(F.struct("text", "clean_text", "sentences", "tokens", "steps", "errors", "status")).alias("value"))
+
+
+def topic_sink(messages: DataFrame, checkpoint: str, format: str = "kafka", **options: str):
+    """Writes (topic, value) to each row's topic; other formats take the same rows, as in tests."""
+    out = messages.select("topic", F.col("value").cast("string").alias("value"))
+    return out.writeStream.format(format).option("checkpointLocation", checkpoint).options(**options)
+
+
+def replay_counts(rows: DataFrame) -> DataFrame:
+    """(dataset, batch_id, sent): messages of each batch, its end mark included."""
+    return rows.groupBy("dataset", "batch_id").agg((F.count("*") + 1).alias("sent"))
+
+
+def newest_log(rows: DataFrame, n: int = 100) -> DataFrame:
+    """The newest log rows, 1000 at most."""
+    return rows.orderBy(F.desc("ts"), "value").limit(min(n, 1000))
+
+
 def live_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("topic").agg(F.count("*").alias("n"))
 
 
-def kafka_source(spark, servers: str, topics: list[str]) -> DataFrame:
+def kafka_source(spark, servers: str, topics: list[str], group: str | None = None) -> DataFrame:
     """Needs the Kafka connector on the class path."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("value"))
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
+    reader = reader.option("kafka.group.id", group) if group else reader
+    return reader.option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("value"))
