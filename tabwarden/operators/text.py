@@ -12,13 +12,14 @@ STEPS = ("html_strip", "language", "spelling", "sentences", "tokens", "entities"
 STATUSES = ("cleaned", "partial", "failed")
 
 
-#: A tag ends at the first `>` of its line; a run of `<` is one beginning, so that time grows with the text.
-TAG = r"<[^\n>]*+>"
+#: From where a line or the last tag began: what stands before a tag, kept, and the tag, from the first `<` to
+#: the first `>`.  Only such places are tried, each once, so that time grows with the text.
+TAG = r"(?<![^\n>])([^\n<>]*+)<[^\n>]*+>"
 
 
 def strip_html(c: Column) -> Column:
     """Tags out, blanks collapsed; a text without tags stays as it is."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(c, TAG, ""), r"[ \t\r\n\f]+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(c, TAG, "$1"), r"[ \t\r\n\f]+", " "))
     return F.when(c.rlike(TAG), clean).otherwise(c)
 
 
