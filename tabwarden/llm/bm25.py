@@ -1,11 +1,15 @@
 """Exact top-k search: BM25 over a document-sharded inverted index with block-max WAND.
 
 Document frequencies, the number of rows and the mean length are taken over the whole corpus, so scores
-in all shards agree.  A query is a set of terms; for a document as query ("more like this") these are the
-`query_terms` words of its whole text with the highest tf * idf among those that another row has too.
-Only postings of query terms are shuffled, behind a bitmap of fixed size.  Each shard of documents
-gets all queries and runs block-max WAND over document-ordered blocks: what a
-block's maxima add up to bounds its documents' scores, and blocks under the threshold are skipped.  The
+in all shards agree.  A query is a set of terms; for a document as query ("more like this") these are all
+words of its whole text that another row has too (`query_terms` may cut them to those with the highest
+tf * idf).  Only postings of query terms are shuffled, behind a bitmap of fixed size.
+
+A shard's rows reach its task before the queries, which stream through it in batches, so a task holds
+one shard and a batch of queries, however many there are.  Documents stand in order of length, in blocks.
+For a query, postings of its rarer terms are added up; the frequent terms' block maxima bound what is
+missing.  Documents with the highest bounds are scored exactly first, from the shard's forward lists;
+their k-th score is the threshold, and blocks and documents whose bound is under it are skipped.  The
 shards' top k are merged.
 
 Scores tie to the smaller id.  Defined cases: null and empty texts have no terms, are found by nothing
@@ -18,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +34,12 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: Slots of the bitmap of query terms that tasks carry.
 BITS = 1 << 23
-#: Postings of a shard, about.
-SHARD = 1_500_000
+#: Postings of a shard, about: what a task holds, at some 30 bytes each.
+SHARD = 8_000_000
+#: Shards at least.
+SHARDS = 6
+#: Documents that are scored first.
+PROBE = 64
 
 
 def _documents(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -81,7 +88,7 @@ def _idf(n: int) -> Column:
     return F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def like_documents(docs: DataFrame, df: DataFrame, n: int, query_terms: int) -> DataFrame:
+def like_documents(docs: DataFrame, df: DataFrame, n: int, query_terms: int | None) -> DataFrame:
     """(doc_id, text) of the query rows -> (query_id, term, idf)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +97,8 @@ def like_documents(docs: DataFrame, df: DataFrame, n: int, query_terms: int) ->
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.full(len(terms), row))), pa.array(terms.view(np.int64)), pa.array(times)], names=["query_id", "term", "tf"])
 
     terms = docs.mapInArrow(run, "query_id long, term long, tf long").join(df.where("df > 1"), "term").withColumn("idf", _idf(n))
+    if query_terms is None:
+        return terms.select("query_id", "term", "idf").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
     return terms.withColumn("at", F.row_number().over(order)).where(F.col("at") <= query_terms).select("query_id", "term", "idf").distinct()
 
@@ -98,8 +107,8 @@ def _slots(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (terms & np.uint64(BITS - 1)).astype(np.int64), ((terms >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, length, terms, times) of each text: of its words the given terms, perhaps with some others."""
+def postings(docs: DataFrame, terms: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, text) -> (shard, doc_id, length, terms, times): of each text's words the given terms, perhaps with some others."""
     each = terms.select(F.explode(F.array(F.expr(f"term & {BITS - 1}"), F.expr(f"shiftrightunsigned(term, 32) & {BITS - 1}"))).alias("slot"))
     bitmap = np.zeros(BITS, dtype=bool)
     bitmap[each.select(F.col("slot").cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
@@ -115,11 +124,14 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 ends = pa.array(np.cumsum([0, *(len(x[2]) for x in got)]).astype(np.int32))
                 own, times = (np.concatenate([x[k] for x in got]) for k in (2, 3))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (own.view(np.int64), times.astype(np.int32))]
-                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([x[0] for x in got])), pa.array([x[1] for x in got], pa.int64()), *lists], names=["doc_id", "length", "terms", "times"])
+                rows = pa.array([x[0] for x in got])
+                return pa.RecordBatch.from_arrays([batch.column("shard").take(rows), batch.column("doc_id").take(rows), pa.array([x[1] for x in got], pa.int64()), *lists], names=["shard", "doc_id", "length", "terms", "times"])
 
             for row, own, times, length in _documents(batch.column("text")):
                 a, b = _slots(own)
                 some = np.flatnonzero(bits[a] & bits[b])
+                if not len(some):
+                    continue
                 got.append((row, length, own[some], times[some]))
                 size += len(some)
                 if size > 1 << 18:
@@ -129,77 +141,92 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
             if got:
                 yield out()
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, length long, terms array<long>, times array<int>")
+    # rows are dealt by their place, so that copies are spread
+    dealt = docs.where("doc_id IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    return dealt.mapInArrow(run, "shard int, doc_id long, length long, terms array<long>, times array<int>")
 
 
 class ShardIndex:
-    """A shard's postings by term, in document order, with each term's highest impact in every block of documents.
-
-    Blocks are ranges of BLOCK document numbers, the same for all terms, so the block maxima of a query's
-    terms add up to a bound for every document of the block.
-    """
-
-    def __init__(self, doc_id: np.ndarray, term: np.ndarray, part: np.ndarray):
-        """doc_id ascending; part: the impact without the term's idf."""
-        if len(doc_id) > 1 and (doc_id[1:] == doc_id[:-1]).any():
-            # rows of equal id: the best counts
-            order = np.lexsort((-part, doc_id, term))
-            doc_id, term, part = doc_id[order], term[order], part[order]
-            once = np.append(True, (term[1:] != term[:-1]) | (doc_id[1:] != doc_id[:-1]))
-            doc_id, term, part = doc_id[once], term[once], part[once]
-        else:
-            order = np.argsort(term, kind="stable")
-            doc_id, term, part = doc_id[order], term[order], part[order]
-        self.ids, self.doc = np.unique(doc_id, return_inverse=True)
-        self.part, self.block = part, self.doc // BLOCK
-        self.blocks = int(self.block.max()) + 1
-        self.terms, first = np.unique(term, return_index=True)
-        self.bounds = np.append(first, len(term))
-        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (self.block[1:] != self.block[:-1])))
-        self.max_block, self.max_part = self.block[starts], np.maximum.reduceat(self.part, starts)
-        self.max_bounds = np.searchsorted(starts, self.bounds)
-
-    def block_max_wand(self, terms: np.ndarray, idf: np.ndarray, k: int, probe: int = 4) -> list[tuple[int, float]]:
-        """The k best (id, score) by the sum of the terms' impacts; equal scores go to the smaller id.
-
-        Blocks with the highest bounds are scored first; their k-th score is the threshold, and a block
-        whose bound doesn't reach it is skipped with all its postings.
-        """
+    """A shard's documents in order of length: forward lists, postings by term, and each frequent term's highest impact in every block."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray, terms: np.ndarray, times: np.ndarray, mean: float):
+        """ends: where each document's terms end in `terms` and `times`."""
+        sizes = np.diff(np.append(0, ends))
+        order = np.lexsort((ids, lengths))
+        at = _ranges((ends - sizes)[order], ends[order])
+        self.ids, self.sizes = ids[order], sizes[order]
+        self.ends = np.cumsum(self.sizes)
+        tf = times[at].astype(np.float64)
+        self.part = tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * lengths[order] / mean), self.sizes))
+        del tf
+        self.terms, number = np.unique(terms[at], return_inverse=True)
+        self.number = number.astype(np.int32)  # of the terms in forward order
+        del at, number
+        by_term = np.argsort(self.number, kind="stable").astype(np.int32)
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.sizes)[by_term]
+        self.posted = self.part[by_term].astype(np.float32)  # for bounds only; scores come from the forward lists
+        self.bounds = np.searchsorted(self.number[by_term], np.arange(len(self.terms) + 1))
+        self.blocks = -(-len(ids) // BLOCK)
+        self.repeated = len(np.unique(ids)) < len(ids)
+        counts = np.diff(self.bounds)
+        frequent = np.flatnonzero(counts > max(BLOCK, len(ids) // 3))
+        self.row = np.full(len(self.terms), -1, dtype=np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.highest = np.zeros((len(frequent), self.blocks), dtype=np.float64)
+        for k, t in enumerate(frequent.tolist()):
+            lo, hi = self.bounds[t], self.bounds[t + 1]
+            np.maximum.at(self.highest[k], self.doc[lo:hi] // BLOCK, self.posted[lo:hi])
+
+    def block_max_wand(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best documents by the sum of the terms' impacts; equal scores go to the smaller id."""
         place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[place] == terms
         place, idf = place[here], idf[here]
-        if not len(place):
-            return []
-        lo, hi = self.max_bounds[place], self.max_bounds[place + 1]
-        entries = _ranges(lo, hi)
-        bound = np.bincount(self.max_block[entries], weights=self.max_part[entries] * np.repeat(idf, hi - lo), minlength=self.blocks)
-        lo, hi = self.bounds[place], self.bounds[place + 1]
-        at, weight = _ranges(lo, hi), np.repeat(idf, hi - lo)
-        block = self.block[at]
-        first = np.argsort(-bound, kind="stable")[:probe]
-        wanted = np.zeros(self.blocks, dtype=bool)
-        wanted[first] = True
-        some = wanted[block]
-        docs, scores = self._scored(at[some], weight[some])
-        if len(docs) >= k:
-            threshold = np.partition(scores, len(scores) - k)[len(scores) - k]
-            more = (bound >= threshold - 1e-9) & ~wanted  # sums in another order differ in the last bits
-        else:
-            more = ~wanted & (bound > 0)
-        if more.any():
-            some = more[block]
-            others, their = self._scored(at[some], weight[some])
-            docs, scores = np.concatenate([docs, others]), np.concatenate([scores, their])
-        best = np.lexsort((docs, -scores))[:k]
-        return list(zip(self.ids[docs[best]].tolist(), scores[best].tolist(), strict=True))
-
-    def _scored(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(at):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        low = int(self.doc[at].min())
-        total = np.bincount(self.doc[at] - low, weights=self.part[at] * weight)
-        docs = np.flatnonzero(total)
-        return docs + low, total[docs]
+        weight = np.zeros(len(self.terms))
+        weight[place] = idf
+        rare = self.row[place] < 0
+        lo, hi = self.bounds[place[rare]], self.bounds[place[rare] + 1]
+        at = _ranges(lo, hi)
+        bound = np.bincount(self.doc[at], weights=self.posted[at] * np.repeat(idf[rare], hi - lo), minlength=len(self.ids)).astype(np.float64)
+        missing = idf[~rare] @ self.highest[self.row[place[~rare]]] if (~rare).any() else np.zeros(self.blocks)
+        bound += np.repeat(missing, BLOCK)[: len(bound)]
+        bound *= 1 + 1e-6  # more than rounding to 32 bits takes away
+        n = max(PROBE, 4 * k)
+        first = np.argpartition(-bound, n)[:n] if len(bound) > n else np.arange(len(bound))
+        ids, scores = self._scored(first, weight)
+        threshold = self._threshold(ids, scores, k)
+        bound[first] = -1.0
+        more = np.flatnonzero(bound >= threshold - 1e-9 * (1 + abs(threshold)))  # sums in another order differ in the last bits
+        more = more[bound[more] > 0]
+        if len(more) > 8 * n:
+            more = more[np.argsort(-bound[more], kind="stable")]
+        while len(more):
+            some, more = more[: 8 * n], more[8 * n :]
+            others, their = self._scored(some, weight)
+            ids, scores = np.concatenate([ids, others]), np.concatenate([scores, their])
+            best = np.lexsort((ids, -scores))[: 4 * k if not self.repeated else None]
+            ids, scores = ids[best], scores[best]
+            threshold = self._threshold(ids, scores, k)
+            more = more[bound[more] >= threshold - 1e-9 * (1 + abs(threshold))]
+        best = np.lexsort((ids, -scores))
+        ids, scores = ids[best], scores[best]
+        if self.repeated:
+            once = np.sort(np.unique(ids, return_index=True)[1])
+            ids, scores = ids[once], scores[once]
+        some = scores[:k] > 0
+        return ids[:k][some], scores[:k][some]
+
+    def _threshold(self, ids: np.ndarray, scores: np.ndarray, k: int) -> float:
+        """The k-th best score of different ids, or 0."""
+        if self.repeated:
+            order = np.lexsort((-scores, ids))
+            scores = scores[order][np.append(True, ids[order][1:] != ids[order][:-1])] if len(ids) else scores
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
+
+    def _scored(self, docs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _ranges(self.ends[docs] - self.sizes[docs], self.ends[docs])
+        starts = np.cumsum(self.sizes[docs]) - self.sizes[docs]
+        return self.ids[docs], np.add.reduceat(weight[self.number[at]] * self.part[at], starts) if len(docs) else np.zeros(0)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -208,35 +235,63 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _search_shard(docs: pd.DataFrame, queries: pd.DataFrame, k: int, mean: float) -> pd.DataFrame:
-    out: list[tuple[int, int, float]] = []
-    sizes = docs["terms"].map(len).to_numpy() if len(docs) else np.zeros(0)
-    if len(queries) and sizes.sum():
-        docs = docs.sort_values("doc_id")
-        sizes = docs["terms"].map(len).to_numpy()
-        tf = np.concatenate(docs["times"].tolist()).astype(float)
-        length = np.repeat(docs["length"].to_numpy(), sizes)
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        shard = ShardIndex(np.repeat(docs["doc_id"].to_numpy(), sizes), np.concatenate(docs["terms"].tolist()), part)
-        for q, terms, idf in zip(queries["query"], queries["query_terms"], queries["idf"], strict=True):
-            out += [(q, d, s) for d, s in shard.block_max_wand(np.asarray(terms), np.asarray(idf), k)]
-    return pd.DataFrame(out, columns=["query", "doc_id", "score"]).astype({"query": "int64", "doc_id": "int64", "score": "float64"})
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values in a row, sizes) of a list column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat, np.diff(column.offsets.to_numpy())
 
 
-def search(docs: DataFrame, is_query: Column, k: int = 10, query_terms: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _search(rows: DataFrame, k: int, mean: float) -> DataFrame:
+    """rows (shard, is_query, id, length, terms, times, idf), of each partition by shard, documents before queries -> (query, doc_id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, index = None, [], None
+        for batch in batches:
+            kinds = batch.column("is_query").to_numpy(zero_copy_only=False)
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(shards)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if shards[lo] != shard:
+                    shard, held, index = shards[lo], [], None
+                ids = part.column("id").to_numpy()
+                terms, sizes = _lists(part.column("terms"))
+                if not kinds[lo]:
+                    held.append((ids, part.column("length").to_numpy(), sizes, terms.view(np.uint64), _lists(part.column("times"))[0]))
+                    continue
+                if index is None and held:
+                    ids_, lengths, sizes_, terms_, times = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = []
+                    index = ShardIndex(ids_, lengths, np.cumsum(sizes_), terms_, times, mean)
+                    del ids_, lengths, sizes_, terms_, times
+                if index is None:
+                    continue
+                idf, ends = _lists(part.column("idf"))[0], np.cumsum(sizes)
+                found = [index.block_max_wand(terms[e - n : e].view(np.uint64), idf[e - n : e], k) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                n = np.array([len(f[0]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query", "doc_id", "score"])
+
+    return rows.mapInArrow(run, "query long, doc_id long, score double")
+
+
+def search(docs: DataFrame, is_query: Column, k: int = 10, query_terms: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score): for each row where `is_query` holds, the k best rows of all."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     df, n, mean = statistics(named.select("text"))
     asked = written(like_documents(named.where("asks AND doc_id IS NOT NULL").select("doc_id", "text"), df, n, query_terms), "queries")
-    pairs = F.sort_array(F.collect_list(F.struct("term", "idf")))
+    pairs = F.sort_array(F.collect_list(F.struct("term", "idf")))  # the words of one text
     sets = asked.groupBy("query_id").agg(pairs.alias("pairs")).select("query_id", F.xxhash64(F.transform("pairs", lambda p: p["term"])).alias("query"), "pairs")
-    distinct = written(sets.dropDuplicates(["query"]).select("query", F.transform("pairs", lambda p: p["term"]).alias("query_terms"), F.transform("pairs", lambda p: p["idf"]).alias("idf")), "distinct")
-    held = asked.groupBy("term").agg(F.lit(1).alias("one")).join(df, "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(6, held // SHARD)
-    index = postings(named.select("doc_id", "text"), asked.select("term").distinct()).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    # queries go to the shards in blocks: each shard searches all of them on its own
-    local = distinct.withColumn("query_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = index.groupBy("shard").cogroup(local.groupBy("query_shard")).applyInPandas(lambda a, b: _search_shard(a, b, k, mean), "query long, doc_id long, score double")
+    sets = written(sets, "sets")
+    distinct = sets.dropDuplicates(["query"]).select("query", F.transform("pairs", lambda p: p["term"]).alias("terms"), F.transform("pairs", lambda p: p["idf"]).alias("idf"))
+    terms = asked.select("term").distinct()
+    held = terms.join(df, "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+    shards = int(max(SHARDS, held // SHARD))
+    no_ints, no_doubles = (F.lit(None).cast(f"array<{t}>") for t in ("int", "double"))
+    index = postings(named.select("doc_id", "text"), terms, shards).select("shard", F.lit(False).alias("is_query"), F.col("doc_id").alias("id"), "length", "terms", "times", no_doubles.alias("idf"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    local = distinct.select(every, F.lit(True).alias("is_query"), F.col("query").alias("id"), F.lit(0).cast("long").alias("length"), "terms", no_ints.alias("times"), "idf")
+    rows = index.unionByName(local).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query")
+    found = _search(rows, k, mean).groupBy("query", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
     merged = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return sets.select("query_id", "query").join(merged, "query").select("query_id", "rank", "doc_id", "score")
