@@ -3,15 +3,48 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwarden.llm import decontaminate, mixing, near_dup, quality, token_output
 from tabwarden.llm.queries import END_ID, VOCABULARY
 from tabwarden.llm.tables import table, written
 
-# Stages keep the columns of documents; rows are known by their number within the stage, since ids may
-# be null or repeat.
+# Stages keep the columns of documents; rows are known by their place or number within the stage, since
+# ids may be null or repeat.  A place needs no shuffle; a number follows the rows' contents and not their
+# files, which the mix's draws need so that reruns agree.
+
+#: Files whose numbers are broadcast, at most, at some 200 bytes each.
+FILES = 100_000
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = "_" + name
+    return name
+
+
+def _placed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(`docs` with each row's place, that column's name): the number of its file and its own number there.
+
+    Both come from the files, so they stay the same in every scan, whatever its splits.  What isn't read
+    from Parquet is written first.
+    """
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        docs = written(docs, f"{name}-rows")
+    about = docs.metadataColumn("_metadata")
+    file, place = _free(docs, "_file"), _free(docs, "_place")
+    paths = docs.select(about["file_path"].alias(file)).distinct()
+    files = written(paths.withColumn("no", F.row_number().over(Window.partitionBy().orderBy(file)).cast("long")), f"{name}-files")  # a row a file
+    few = files.count() < FILES
+    files = files.select(file, F.shiftleft("no", 40).alias(_free(docs, "_first")))
+    rows = docs.select("*", about["file_path"].alias(file), about["row_index"].alias(place)).join(F.broadcast(files) if few else files, file)
+    rows = rows.select(*(rows[c] for c in docs.columns), (F.col(files.columns[1]) + F.col(place)).alias(place))
+    return rows if few else written(rows, f"{name}-rows"), place
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -29,27 +62,30 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     return numbered.drop("_at", "_part", "_before")
 
 
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose number is in kept (_row)."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+def _only(rows: DataFrame, kept: DataFrame, place: str) -> DataFrame:
+    """The rows whose place is in kept."""
+    return rows.join(kept.select(place), place, "left_semi").drop(place)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier rejects go."""
-    rows = _numbered(docs, "quality")
-    return _only(rows, quality.classify(rows, id_col="_row").where("kept"))
+    rows, place = _placed(docs, "quality")
+    return _only(rows, quality.classify(rows, id_col=place).where("kept"), place)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document of the smallest id stays, a null one only if there is no other."""
-    rows = _numbered(docs, "near-dedup")
-    return _only(rows, near_dup.near_duplicates(rows, id_col="_row").where("kept"))
+    rows, place = _placed(docs, "near-dedup")
+    groups = near_dup.near_duplicates(rows, id_col=place).select(place, "component_id")
+    member = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), place).alias("m")
+    least = rows.select(place, member).join(groups, place).groupBy("component_id").agg(F.min("m").alias("m"))
+    return _only(rows, least.select(F.col("m")[place].alias(place)), place)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows = _numbered(docs, "decontamination")
-    return _only(rows, decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row").where("NOT contaminated"))
+    rows, place = _placed(docs, "decontamination")
+    return _only(rows, decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=place).where("NOT contaminated"), place)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
