@@ -176,7 +176,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
-    padded = np.zeros(lanes * BLOCK, dtype=np.int64)
+    padded = np.zeros(lanes * BLOCK, dtype=np.uint16)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     model = _Model(lanes)
@@ -189,7 +189,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         model.narrow(active)
         lo, sp, pos = low[:active].copy(), span[:active].copy(), at[:active].copy()
         for step in range(begin, end if active else begin):
-            now = columns[step, :active]
+            now = columns[step, :active].astype(np.int64)
             model.predict()
             first, size = model.mixed(now)
             sp >>= np.uint64(_TOTAL)
@@ -228,7 +228,7 @@ def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
     code = np.zeros(lanes, dtype=np.uint64)
     for k in range(4):
         code = (code << _U16) | words[:, k]
-    columns = np.zeros((BLOCK, lanes), dtype=np.int64)
+    columns = np.zeros((BLOCK, lanes), dtype=np.uint16)
     last = words.shape[1] - 1
     runs = _lengths(n)
     for k, (begin, active) in enumerate(runs):
@@ -255,7 +255,7 @@ def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
                 low[move], span[move] = a << _U16, b << _U16
             columns[step, :active] = now
             model.update(now)
-    return columns.T.reshape(-1)[:n]
+    return columns.T.reshape(-1)[:n].astype(np.int64)
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:

@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,8 @@ from tabwarden.llm import bytetext, range_coder
 from tabwarden.llm.tables import written
 
 FILE_IDS = 4 << 20
+#: Texts and bytes that are cut into words at once, at most, but for a single longer text.
+TEXTS, BYTES = 256, 1 << 19
 #: Words whose ids a worker keeps, about; 40 bytes each.
 CACHE = 1_000_000
 
@@ -164,6 +167,17 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, after the last) text of each run that is cut at once."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        full = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BYTES, side="right"))
+        hi = min(max(lo + 1, full), lo + TEXTS)
+        yield lo, hi
+        lo = hi
+
+
 def write_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, file, n_docs, n_ids, payload): files in ascending order of ids, written to the shared folder."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -179,18 +193,18 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "do
 
         def out() -> pa.RecordBatch:
             doc_ids, null, sizes, ids = (np.concatenate(x) for x in zip(*docs_in, strict=True))
-            blob = range_coder.encode_file(doc_ids, null, sizes, ids.astype(np.int64))
+            blob = range_coder.encode_file(doc_ids, null, sizes, ids)
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([file]), pa.array([len(doc_ids)]), pa.array([len(ids)]), pa.array([blob], pa.binary())], names=["part", "file", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
             doc_ids, null = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             texts = batch.column("text")
-            for lo in range(0, batch.num_rows, 256):
-                some = texts.slice(lo, 256).to_pylist()
+            for lo, hi in _runs(texts):
+                some = texts.slice(lo, hi - lo).to_pylist()
                 ids, sizes = tokenizer.encode(some)
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids, ends, end_id).astype(np.uint16)
-                docs_in.append((doc_ids[lo : lo + len(some)], null[lo : lo + len(some)], sizes + 1, whole))
+                docs_in.append((doc_ids[lo:hi], null[lo:hi], sizes + 1, whole))
                 held += len(whole)
                 if held >= FILE_IDS:
                     yield out()
