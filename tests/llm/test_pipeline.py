@@ -105,3 +105,16 @@ def test_pipeline_mixing(spark, null_and_repeated):
     for i, t, n in zip(rows["doc_id"], rows["text"], rows["_row"], strict=True):
         expected[None if i != i else int(i), t] += times[n]
     assert shown(corpus_pipeline.mixing_stage(spark, docs, folder)) == +expected
+
+
+def test_places(spark, null_and_repeated):
+    folder, docs, items = null_and_repeated
+    clashing = docs.withColumn("_place", F.lit("x")).withColumn("_FILE", F.lit(1)).withColumn("_metadata", F.lit(2))
+    made = spark.createDataFrame([(1, None), (None, "a b"), (None, "a b")], "doc_id long, text string")
+    for d in (docs, clashing, made, made.where("doc_id > 1")):
+        rows, place = corpus_pipeline._placed(d, "test")
+        assert rows.columns == [*d.columns, place] and place not in d.columns
+        again = corpus_pipeline._placed(d, "test")[0] if d is docs else rows
+        seen = {r[place]: (r["doc_id"], r["text"]) for r in rows.collect()}
+        assert len(seen) == d.count() and Counter(seen.values()) == shown(d)
+        assert seen == {r[place]: (r["doc_id"], r["text"]) for r in again.repartition(3).collect()}
