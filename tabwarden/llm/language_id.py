@@ -19,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwarden.llm import bytetext
 
 DIMENSIONS = 4096
-#: Distinct labelled texts of a language that its centroids are fitted on, about; chosen by the hash of the text.
+#: Distinct labelled texts of a language that its centroids are fitted on: those of the smallest hashes.
 SAMPLE = 400
 #: More labels than this aren't languages.
 LANGUAGES = 4096
@@ -100,23 +100,31 @@ def _spherical_k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = 0.005) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """labelled (text, lang) -> (language of each centroid, centroids, idf, rejection threshold of each)."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()  # one row a language
-    if len(counts) > LANGUAGES:
+    if labelled.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels")
     idf = inverse_document_frequencies(labelled.select("text"))
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1 << 40, (sample << 40) // r["n"] + 1)) for r in counts], "lang string, share long")
-    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.col("share"))
-    drawn = drawn.select("lang", "text").distinct()
+    # of each label's distinct texts those of the smallest hashes, however often they stand there
+    hashed = labelled.select("lang", F.xxhash64("text").alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy("h")
+    least = hashed.select("lang", "h").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
+    bounds = least.groupBy("lang").agg(F.max("h").alias("bound"))  # a row a label
+    drawn = hashed.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "h", "text").distinct()
     shared = labelled.sparkSession.sparkContext.broadcast(idf)
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, v in _vectors(batch.column("text"), shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), batch.column("h").slice(lo, hi - lo), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "h", "v"])
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("text")
-        v = np.concatenate([x for _, _, x in _vectors(pa.array(rows["text"], pa.string()), shared.value)])
+        rows = pdf.sort_values(["h", "v"])
+        v = np.stack([np.frombuffer(x, dtype=np.float32) for x in rows["v"]])
         centres = _spherical_k_means(v, centroids)
         threshold = float(np.quantile((v @ centres.T).max(axis=1), quantile))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(centres)), "centre": [c.tolist() for c in centres], "threshold": threshold})
 
-    found = drawn.groupBy("lang").applyInPandas(one, "lang string, k int, centre array<float>, threshold double").toPandas().sort_values(["lang", "k"])
+    vectored = drawn.mapInArrow(vectors, "lang string, h long, v binary")
+    found = vectored.groupBy("lang").applyInPandas(one, "lang string, k int, centre array<float>, threshold double").toPandas().sort_values(["lang", "k"])
     centres = np.array(found["centre"].tolist(), dtype=np.float32).reshape(-1, DIMENSIONS)
     return found["lang"].tolist(), centres, idf, found["threshold"].to_numpy()
 
