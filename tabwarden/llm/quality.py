@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tabwarden.llm import bytetext
 
 DIMENSIONS = 4096
-#: Texts that the linear scorer is trained on, about; chosen by the hash of id and text.
+#: Distinct texts that the linear scorer is trained on: those of the smallest hashes.
 SAMPLE = 4000
 _CHUNK = 1 << 18
 
@@ -167,14 +167,27 @@ def label_model(found: dict[int, int], rounds: int = 100) -> tuple[dict[int, flo
     return dict(zip(codes.tolist(), good.tolist(), strict=True)), table
 
 
-def _fit(sample: pd.DataFrame, posterior: dict[int, float], rounds: int = 300) -> np.ndarray:
-    base = 3 ** np.arange(len(LABELLERS))
-    x, y = [], []
-    for _, _, raw, offsets in _parts(pa.array(sample["text"], pa.string())):
-        n, values = statistics(raw, offsets)
-        x.append(_features(raw, offsets, values)[n > 0])
-        y.append([posterior.get(int(p), 0.5) for p in (votes(values) @ base)[n > 0]])
-    x, y = np.concatenate(x), np.concatenate(y)
+def _training(texts: DataFrame, posterior: dict[int, float]) -> DataFrame:
+    """(h, text) -> (h, x binary, y): features and posterior of the texts that have words."""
+    shared = texts.sparkSession.sparkContext.broadcast(posterior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = 3 ** np.arange(len(LABELLERS))
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            for first, last, raw, offsets in _parts(batch.column("text")):
+                n, values = statistics(raw, offsets)
+                some = np.flatnonzero(n > 0)
+                x = _features(raw, offsets, values)[some]
+                y = [shared.value.get(int(p), 0.5) for p in (votes(values) @ base)[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first:last][some]), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), pa.array(y, pa.float64())], names=["h", "x", "y"])
+
+    return texts.mapInArrow(run, "h long, x binary, y double")
+
+
+def _fit(rows: pd.DataFrame, rounds: int = 300) -> np.ndarray:
+    rows = rows.sort_values(["h", "x"])
+    x, y = np.stack([np.frombuffer(r, dtype=np.float32) for r in rows["x"]]), rows["y"].to_numpy()
     x = np.concatenate([x, np.ones((len(x), 1), dtype=np.float32)], axis=1)
     # both classes weigh alike
     share = np.clip(y.mean(), 0.02, 0.98)
@@ -195,13 +208,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     found = {r["pattern"]: r["n"] for r in rows}
     posterior, _ = label_model(found) if found else ({}, None)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    total = max(1, sum(found.values()))
-    share = min(1 << 40, (sample << 40) // total + 1)
-    drawn = named.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share).distinct()
     weights = None
     if found:
-        # one group of about `sample` distinct texts
-        fitted = drawn.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: pd.DataFrame({"w": [_fit(pdf.sort_values("text"), posterior).tolist()]}), "w array<double>").collect()
+        # of the distinct texts those of the smallest hashes, however often they stand there
+        hashed = named.select(F.xxhash64("text").alias("h"), "text").where(F.col("text").rlike(r"[^\x09-\x0D ]"))
+        bound = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("bound"))  # one row
+        drawn = hashed.join(F.broadcast(bound), F.col("h") <= F.col("bound")).select("h", "text").distinct()
+        # one group of `sample` vectors of a fixed length
+        fitted = _training(drawn, posterior).groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: pd.DataFrame({"w": [_fit(pdf).tolist()]}), "w array<double>").collect()
         weights = np.array(fitted[0]["w"]) if fitted else None
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
 
