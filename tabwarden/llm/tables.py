@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir.  Where it is unset, as in tests, a folder of our own on one machine, an error on a cluster."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="tabwarden-")
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
