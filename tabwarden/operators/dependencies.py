@@ -9,15 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.functions.ordered import digamma, neighbours, sums_before
+from tabwarden.functions.stored import stored
+
 
 def _average_rank(df: DataFrame, c: str) -> DataFrame:
-    """(value, average rank) from the counts of values; the running sum is over distinct values, in ranges."""
+    """(value, average rank) from the counts of values; the running sum is over distinct values, in ranges of them."""
     counts = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-    part = F.floor(F.log1p(F.abs("v")) * 64) * F.signum("v")  # grows with the value, so parts are ranges
-    placed = counts.withColumn("part", part)
-    sums = placed.groupBy("part").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("inside", inside).join(sums.select("part", "before"), "part").select("v", (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias("r"))
+    return sums_before(counts, ["v"], "n").select("v", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -75,7 +74,8 @@ def _upper_gamma(a: float, x: float) -> float:
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """One row (target, predictor, method, score): plug-in mutual information of a category and a number in equal-width bins."""
     ends = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi"))
-    cell = F.least(F.floor((F.col(y) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))
+    width = F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))  # a constant has one cell
+    cell = F.coalesce(F.least(F.floor((F.col(y) - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0))
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.col(x).alias("x"), cell.alias("y")).agg(F.count("*").alias("o"))  # ends: one row
     rows, cols = cells.groupBy("x").agg(F.sum("o").alias("r")), cells.groupBy("y").agg(F.sum("o").alias("c"))
     n = cells.agg(F.sum("o").alias("n"))
@@ -84,8 +84,42 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFra
     return joined.agg(score.alias("s")).select(F.lit(x).alias("target"), F.lit(y).alias("predictor"), F.lit("mutual_info").alias("method"), F.round("s", 6).alias("score"))
 
 
+def neighbour_information(df: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
+    """One row (target, predictor, method, score): mutual information of a category and a number from nearest neighbours (Ross 2014).
+
+    A row's radius is the distance to its k-th nearest of the same category (of fewer, to the last); rows of any
+    category that are nearer than that, or equal where it is 0, are counted, itself included.  Categories of one
+    row don't count; a constant number or a single category scores 0, as does a table without rows.
+    """
+    given = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("v")).where("x IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
+    cells = given.groupBy("x", "v").agg(F.count("*").alias("n"))
+    sizes = cells.groupBy("x").agg(F.sum("n").alias("nx")).where("nx > 1")
+    cells = stored(cells.join(sizes, "x"), "cells")
+    # the k nearest of a category are among the k values before and after, and what stands at the value itself
+    near = neighbours(cells, ["x", "v"], ["x", "v", "n"], k)
+    mine = lambda a: F.transform(F.filter(a, lambda e: e["x"].eqNullSafe(F.col("x"))), lambda e: F.struct(F.abs(e["v"] - F.col("v")).alias("d"), e["n"].alias("n")))
+    there = F.array(F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n")))
+    ordered = F.sort_array(F.concat(there, mine(F.col("earlier")), mine(F.col("later"))))
+    ki = F.least(F.lit(k).cast("long"), F.col("nx") - 1)
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("r"))
+    step = lambda acc, e: F.struct((acc["seen"] + e["n"]).alias("seen"), F.when(acc["r"].isNull() & (acc["seen"] + e["n"] >= F.col("ki")), e["d"]).otherwise(acc["r"]).alias("r"))
+    radii = near.withColumn("ki", ki).withColumn("r", F.aggregate(ordered, start, step)["r"]).select("x", "v", "n", "nx", "ki", "r")
+    radii = stored(radii, "radii")
+    # how many stand below both ends: ends are put among the values, before or after what equals them
+    value = cells.groupBy("v").agg(F.sum("n").alias("w")).select(F.col("v").alias("t"), F.lit(1).alias("place"), "w", F.lit(0).alias("sign"))
+    far = F.col("r") > 0
+    ends = F.array(F.struct((F.col("v") + F.col("r")).alias("t"), F.when(far, 0).otherwise(2).alias("place"), F.lit(1).alias("sign")), F.struct((F.col("v") - F.col("r")).alias("t"), F.when(far, 2).otherwise(0).alias("place"), F.lit(-1).alias("sign")))
+    asked = radii.select("x", "v", F.explode(ends).alias("e")).select(F.col("e.t").alias("t"), F.col("e.place").alias("place"), F.lit(0).cast("long").alias("w"), F.struct("x", "v").alias("at"), F.col("e.sign").alias("sign"))
+    line = value.withColumn("at", F.lit(None).cast(asked.schema["at"].dataType)).select("t", "place", "w", "at", "sign").unionByName(asked)
+    counted = sums_before(line, ["t", "place", "at", "sign"], "w").where("at IS NOT NULL")
+    inside = counted.groupBy("at").agg(F.sum(F.col("sign") * F.col("before")).alias("m")).select("at.x", "at.v", "m")
+    total = radii.join(inside, ["x", "v"]).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (digamma(F.col("ki")) - digamma(F.col("nx")) - digamma(F.col("m")))).alias("s"))
+    score = F.greatest(F.coalesce(digamma(F.col("n")) + F.col("s") / F.col("n"), F.lit(0.0)), F.lit(0.0))
+    return total.select(F.lit(x).alias("target"), F.lit(y).alias("predictor"), F.lit("mutual_info").alias("method"), F.round(score, 6).alias("score"))
+
+
 def all_dependencies(df: DataFrame, numeric: Sequence[str], categories: Sequence[str], rows: int = 10, least: float = 0.1) -> DataFrame:
-    """The scores over `least` of all pairs of columns that are both set in `rows` rows: numbers by rank, categories by chi-square, both kinds by mutual information."""
+    """The scores over `least` of all pairs of columns that are both set in `rows` rows: numbers by rank, categories by chi-square, both kinds by mutual information of nearest neighbours."""
     columns = [*numeric, *categories]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     joint = df.agg(*(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"{a}|{b}") for a, b in pairs)).first()  # one row
@@ -93,7 +127,7 @@ def all_dependencies(df: DataFrame, numeric: Sequence[str], categories: Sequence
     for a, b in pairs:
         if joint[f"{a}|{b}"] < rows:
             continue
-        one = spearman(df, a, b) if b in numeric else chi_square_score(chi_square(df, a, b)) if a in categories else mutual_information(df, b, a).select(F.lit(a).alias("target"), F.lit(b).alias("predictor"), "method", "score")
+        one = spearman(df, a, b) if b in numeric else chi_square_score(chi_square(df, a, b)) if a in categories else neighbour_information(df, b, a).select(F.lit(a).alias("target"), F.lit(b).alias("predictor"), "method", "score")
         out = one if out is None else out.unionByName(one)
     return dependency_table(out, least)
 

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.operators.forests import permutation_importance, predict_missing, train_imputer  # noqa: F401
 from tabwarden.operators.issues import Rule
 
 
@@ -91,42 +88,3 @@ def fixes_table(issues: DataFrame, alternatives: DataFrame, rules: Sequence[Rule
     if suggestions is None:
         return out.withColumn("ml_suggestion", F.lit(None).cast("string"))
     return out.join(suggestions.withColumnRenamed("suggestion", "ml_suggestion"), ["row_id", "column"], "left")
-
-
-def permutation_importance(model: PipelineModel, df: DataFrame, target: str, features: Sequence[str], seed: int = 42) -> DataFrame:
-    """(feature, importance): how much the share of right predictions falls when one feature's values are dealt anew.
-
-    Values are dealt by joining rows with rows in another hashed order, within hashed parts.
-    """
-    known = df.where(F.col(target).isNotNull()).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(64)))
-    rank = lambda salt: F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(salt), "_id"), "_id"))
-    right = lambda d: model.transform(d).agg(F.avg((F.col("suggestion") == F.col(target).cast("string")).cast("double")).alias("share"))
-    whole = right(known)
-    out = None
-    for k, f in enumerate(features):
-        dealt = known.withColumn("_at", rank(seed)).drop(f).join(known.select("_part", rank(seed + 1 + k).alias("_at"), f), ["_part", "_at"])
-        row = right(dealt).select(F.lit(f).alias("feature"), "share")
-        out = row if out is None else out.unionByName(row)
-    return out.join(whole.withColumnRenamed("share", "full")).select("feature", F.round(F.col("full") - F.col("share"), 6).alias("importance"))
-
-
-def train_imputer(df: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str], target_is_category: bool) -> PipelineModel:
-    """A forest that predicts `target` from the other columns, on the rows that have it."""
-    stages = [Imputer(inputCols=list(numeric), outputCols=[f"{c}_i" for c in numeric], strategy="median")] if numeric else []
-    for c in categories:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_x", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}_x", outputCol=f"{c}_v")]
-    stages.append(VectorAssembler(inputCols=[f"{c}_i" for c in numeric] + [f"{c}_v" for c in categories], outputCol="features", handleInvalid="keep"))
-    known = df.where(F.col(target).isNotNull())
-    if not target_is_category:
-        return Pipeline(stages=[*stages, RandomForestRegressor(labelCol=target, numTrees=50, maxDepth=10, seed=42)]).fit(known)
-    index = StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(known)
-    forest = RandomForestClassifier(labelCol="label", numTrees=50, maxDepth=10, seed=42)
-    model = Pipeline(stages=[*stages, forest]).fit(index.transform(known))
-    return PipelineModel([*model.stages, IndexToString(inputCol="prediction", outputCol="suggestion", labels=index.labels)])
-
-
-def predict_missing(model: PipelineModel, df: DataFrame, key: str, target: str) -> DataFrame:
-    """(row_id, suggestion) of the rows whose target is missing; only those are predicted."""
-    out = model.transform(df.where(F.col(target).isNull()))
-    value = F.col("suggestion") if "suggestion" in out.columns else F.col("prediction").cast("string")
-    return out.select(F.col(key).alias("row_id"), value.alias("suggestion"))

@@ -6,9 +6,9 @@ columns of one batch, never rows.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +108,7 @@ def description(name: Column, kind: Column, null_rate: Column, examples: Column)
     return F.concat(F.lit("column_name="), name, F.lit("\ntype="), kind, F.lit("\nnull_rate="), F.format_string("%.3f", F.coalesce(null_rate, F.lit(0.0))), F.lit("\nexamples=["), F.coalesce(quoted, F.lit("")), F.lit("]\n"))
 
 
-def candidates(found: DataFrame, baseline: DataFrame, facts: DataFrame, examples: DataFrame, top: int = 12, scorer: PipelineModel | None = None, range_overlap: bool = False) -> DataFrame:
+def candidates(found: DataFrame, baseline: DataFrame, facts: DataFrame, examples: DataFrame, top: int = 12, scorer: Scorer | None = None, range_overlap: bool = False) -> DataFrame:
     """For each removed column, the `top` added ones most like it, with their features and score.
 
     baseline (dataset, column, type, null_rate, mean, std, min, max, examples) describes the canonical columns;
@@ -148,17 +148,11 @@ def candidates(found: DataFrame, baseline: DataFrame, facts: DataFrame, examples
     if scorer is None:
         scored = featured.withColumn("score", F.round(heuristic_score(), 6))
     else:
-        scored = scorer.transform(featured).withColumn("score", F.round(F.element_at(_probability(), 2), 6))
+        scored = featured.withColumn("score", F.round(scorer.score(), 6))
     at = F.row_number().over(Window.partitionBy(*BATCH, "old_name").orderBy(F.desc("emb_sim"), "new_name"))
     return scored.withColumn("rank", at).where(F.col("rank") <= top).select(*BATCH, "old_name", "new_name", *FEATURES, "same_class", "score", "rank")
 
 
-def _probability() -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col("probability"))
-
-
 def heuristic_score() -> Column:
     """Of the features, 0 for incompatible types."""
     c = F.col
@@ -166,9 +160,49 @@ def heuristic_score() -> Column:
     return F.when(c("type_compat") == 0, F.lit(0.0)).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
 
 
-def train_scorer(labelled: DataFrame) -> PipelineModel:
-    """labelled (the eight features, label double 0 or 1) -> a model whose probability of 1 is the score."""
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01)]).fit(labelled)
+@dataclass(frozen=True)
+class Scorer:
+    """A logistic model of the features, applied as column arithmetic."""
+
+    weights: tuple[float, ...]
+    intercept: float
+
+    def score(self) -> Column:
+        margin = F.lit(self.intercept)
+        for w, c in zip(self.weights, FEATURES, strict=True):
+            margin = margin + F.col(c) * w
+        return 1 / (1 + F.exp(-margin))
+
+
+def train_scorer(labelled: DataFrame, penalty: float = 0.01, rounds: int = 25) -> Scorer:
+    """labelled (the eight features, label 0 or 1) -> a model whose probability of 1 is the score.
+
+    Newton's method on the mean log loss with a squared penalty of the standardised weights; each round is one
+    aggregation whose sums (the features squared) come to the driver.  A feature that doesn't vary has no weight.
+    """
+    k = len(FEATURES)
+    stats = labelled.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(FEATURES)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(FEATURES))).first()
+    if not stats["n"]:
+        raise ValueError("no labelled pairs")
+    mean, std = (np.array([stats[f"{x}{i}"] for i in range(k)]) for x in "ms")
+    live = std > 1e-12
+    scale = np.where(live, std, 1.0)
+    x = [F.lit(1.0), *((F.col(c) - float(m)) / float(s) for c, m, s in zip(FEATURES, mean, scale, strict=True))]
+    w = np.zeros(k + 1)
+    ridge = np.append(0.0, np.where(live, penalty, 1.0))
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-sum((x[i] * float(w[i]) for i in range(1, k + 1)), F.lit(float(w[0])))))
+        rows = labelled.select(*(c.alias(f"x{i}") for i, c in enumerate(x)), p.alias("p"), F.col("label").cast("double").alias("y"))
+        up = F.col("p") * (1 - F.col("p"))
+        sums = rows.agg(*(F.avg((F.col("p") - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(k + 1)), *(F.avg(up * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k + 1) for j in range(i, k + 1))).first()
+        slope = np.array([sums[f"g{i}"] for i in range(k + 1)]) + ridge * w
+        curve = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) + np.diag(ridge) + 1e-9 * np.eye(k + 1)
+        step = np.linalg.solve(curve, slope)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    weights = np.where(live, w[1:] / scale, 0.0)
+    return Scorer(tuple(weights.tolist()), float(w[0] - weights @ mean))
 
 
 def acceptable(threshold: float, embedding_threshold: float = EMBEDDING_THRESHOLD) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwarden.operators import dependencies, fixes, issues
+from tabwarden.operators import dependencies, fixes, forests, issues
 from tabwarden.operators.issues import Rule
 from tabwarden.plans.register import Registry, table
 
@@ -195,6 +195,27 @@ def deps_mutual_info(spark, sf_dir):
     return dependencies.mutual_information(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
 
 
+_NEIGHBOURS = """WITH p AS (SELECT o_orderpriority AS x, CAST(o_totalprice AS DOUBLE) AS v, count(*) OVER (PARTITION BY o_orderpriority) AS nx FROM orders),
+d AS (SELECT x, v, nx, least(3, nx - 1) AS ki, list_sort(list_filter([v - lag(v, 1) OVER w, v - lag(v, 2) OVER w, v - lag(v, 3) OVER w, lead(v, 1) OVER w - v, lead(v, 2) OVER w - v, lead(v, 3) OVER w - v], lambda e: e IS NOT NULL)) AS near FROM p WHERE nx > 1 WINDOW w AS (PARTITION BY x ORDER BY v)),
+r AS (SELECT *, near[ki] AS r FROM d), c AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto, sum(n) OVER (ORDER BY v) - n AS under FROM (SELECT v, count(*) AS n FROM d GROUP BY v)),
+far AS (SELECT r.nx, r.ki, coalesce(a.upto, 0) - coalesce(b.upto, 0) AS m FROM (SELECT *, v + r AS hi, v - r AS lo FROM r WHERE r > 0) r ASOF LEFT JOIN c a ON r.hi > a.v ASOF LEFT JOIN c b ON r.lo >= b.v),
+here AS (SELECT nx, ki, upto - under AS m FROM r JOIN c USING (v) WHERE r = 0), m AS (SELECT * FROM far UNION ALL SELECT * FROM here),
+psi AS (SELECT i, sum(CASE WHEN i > 1 THEN 1.0 / (i - 1) ELSE 0 END) OVER (ORDER BY i) - 0.5772156649015329 AS p FROM range(1, (SELECT count(*) + 2 FROM orders)) t(i)),
+s AS (SELECT count(*) AS n, sum(k.p - x.p - w.p) AS s FROM m JOIN psi k ON k.i = m.ki JOIN psi x ON x.i = m.nx JOIN psi w ON w.i = m.m)
+SELECT 'o_orderpriority' AS target, 'o_totalprice' AS predictor, 'mutual_info' AS method, round(CAST(greatest(p + s / n, 0) AS DOUBLE), 6) AS score FROM s JOIN psi ON i = n"""
+
+
+@R.query(_NEIGHBOURS)
+def deps_neighbour_info(spark, sf_dir):
+    return dependencies.neighbour_information(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+
+
+@R.query(_NEIGHBOURS.replace("o_orderpriority AS x, CAST(o_totalprice AS DOUBLE) AS v", "l_returnflag AS x, CAST(l_quantity AS DOUBLE) AS v").replace("PARTITION BY o_orderpriority", "PARTITION BY l_returnflag").replace("FROM orders", "FROM lineitem").replace("'o_orderpriority'", "'l_returnflag'").replace("'o_totalprice'", "'l_quantity'"))
+def deps_neighbour_info_ties(spark, sf_dir):
+    """A number of few values, so that most neighbours are equal."""
+    return dependencies.neighbour_information(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
 @R.query(
     """WITH w AS (SELECT unnest(['R', 'A', 'N', 'X']) AS value), c AS (SELECT l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 1),
 r AS (SELECT w.value, row_number() OVER (ORDER BY coalesce(n, 0) DESC, w.value) AS rank FROM w LEFT JOIN c USING (value)) SELECT 'l_returnflag' AS "column", value, rank FROM r WHERE rank <= 3"""
@@ -246,3 +267,20 @@ def impute_forest(spark, sf_dir, rows: int = 20_000):
     n = known.count()
     model = fixes.train_imputer(known.sample(min(1.0, rows / max(n, 1)), seed=42), "returnflag", ("quantity", "discount", "price"), ("linestatus",), True)
     return fixes.predict_missing(model, t, "row_id", "returnflag")
+
+
+def _imputed(spark, sf_dir) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return forests.explained(forests.impute_all(t, "row_id", ("quantity", "discount", "price"), ("returnflag", "linestatus"))[0])
+
+
+@R.query()
+def impute_columns(spark, sf_dir):
+    """Every missing cell of lineitem, by a forest a column that reads what the column depends on."""
+    return _imputed(spark, sf_dir).select("row_id", "column", "suggestion", F.round("score", 9).alias("score"))
+
+
+@R.query()
+def impute_explained(spark, sf_dir):
+    """What moved each prediction: base, contributions of columns, and the first five in words."""
+    return _imputed(spark, sf_dir).select("row_id", "column", "score", "base", F.expr("aggregate(contributions, 0D, (a, e) -> a + e.value)").alias("moved"), "explanation")
