@@ -33,20 +33,41 @@ class Detector:
     confidence: Callable[[Column], Column]
 
 
+def _folded(items: Column, shape: str, state: Column, step: Callable[[Column, Column], Column], item: str) -> Column:
+    """struct<state, out>: a fold that appends to a list, in blocks of about the square root of the list's length, so that neither blocks nor their list are long to copy.
+
+    step(acc, x) works on acc `struct<state:SHAPE,out:array<ITEM>>`.
+    """
+    acc_type, none = f"struct<state:{shape},out:array<{item}>>", F.array().cast(f"array<{item}>")
+    block = (F.ceil(F.sqrt(F.size(items)) / 2) * 2).cast("int")
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, block)).otherwise(F.array().cast("array<int>"))
+    outer_type = f"struct<i:{acc_type},out:array<array<{item}>>>"
+    first = F.struct(F.struct(state.alias("state"), none.alias("out")).alias("i"), F.array().alias("out")).cast(outer_type)
+
+    # no casts, slices or transforms in here: each copies lists; a block's list is taken over when the next block is done
+    def blocks(acc: Column, at: Column) -> Column:
+        places = F.sequence(at, F.least(at + block, F.size(items)) - 1)
+        inner = F.aggregate(places, F.struct(acc["i"]["state"].alias("state"), none.alias("out")), lambda a, i: step(a, F.get(items, i)))
+        return F.struct(inner.alias("i"), F.array_append(acc["out"], acc["i"]["out"]).alias("out"))
+
+    folded = F.aggregate(starts, first, blocks)
+    return F.transform(F.array(folded), lambda f: F.struct(f["i"]["state"].alias("state"), F.flatten(F.array_append(f["out"], f["i"]["out"])).alias("out")))[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<value, start, end>> of a pattern's matches."""
     pieces = F.split(F.regexp_replace(F.translate(text, _MARK, _BLANK), pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    shape = "struct<at:int,odd:boolean,out:array<struct<value:string,start:int,end:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out")).cast(shape)
+    span, shape = "struct<value:string,start:int,end:int>", "struct<at:int,odd:boolean>"
 
     def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        span = F.struct(x.alias("value"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")).cast(shape)
+        at, odd = acc["state"]["at"], acc["state"]["odd"]
+        end = at + F.length(x)
+        found = F.struct(x.alias("value"), at.alias("start"), end.alias("end"))
+        return F.struct(F.struct(end.alias("at"), (~odd).alias("odd")).alias("state"), F.when(odd, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    empty = F.array().cast("array<struct<value:string,start:int,end:int>>")
     # the pattern is run once: a text without matches is one piece
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step)["out"]).otherwise(empty)
+    run = lambda p: F.when(F.size(p) > 1, _folded(p, shape, F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd")), step, span)["out"]).otherwise(F.array().cast(f"array<{span}>"))
+    return F.transform(F.array(pieces), run)[0]
 
 
 def digits(c: Column) -> Column:
@@ -96,6 +117,16 @@ def to_iso(c: Column) -> Column:
 _always = lambda c: F.lit(True)
 _sure = lambda x: lambda c: F.lit(x)
 
+def _ipv6(c: Column) -> Column:
+    """Eight groups of up to four hex digits, or fewer with one `::`; a `:` at an end only as part of it."""
+    groups = F.size(F.filter(F.split(c, ":"), lambda x: x != ""))
+    doubles = F.size(F.split(c, "::", -1)) - 1
+    ends = ~c.rlike("^:[^:]|[^:]:$") & ~c.contains(":::")
+    return ends & (((doubles == 0) & (groups == 8)) | ((doubles == 1) & (groups <= 7))) & ~c.rlike("[0-9A-Fa-f]{5}")
+
+
+IPV6 = (Detector("IP_ADDRESS", r"(?<![0-9A-Fa-f:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,45}(?![0-9A-Fa-f:.])", lambda c: c.contains(":") & _ipv6(c), _sure(0.95)),)
+
 DETECTORS = (
     Detector("NIC", r"\b\d{9}[VXvx]\b", _old_nic, _sure(0.95)),
     Detector("NIC", r"\b\d{12}\b", _new_nic, _sure(0.95)),
@@ -107,21 +138,10 @@ DETECTORS = (
     Detector("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}\b", _always, _sure(0.95)),
     Detector("DATE", r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b|\b(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b", lambda c: to_iso(c).isNotNull(), _sure(0.9)),
     Detector("EMAIL", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", _always, _sure(0.95)),
+    *IPV6,
 )
 
 
-def _ipv6(c: Column) -> Column:
-    """Eight groups of up to four hex digits, or fewer with one `::`; a `:` at an end only as part of it."""
-    groups = F.size(F.filter(F.split(c, ":"), lambda x: x != ""))
-    doubles = F.size(F.split(c, "::", -1)) - 1
-    ends = ~c.rlike("^:[^:]|[^:]:$") & ~c.contains(":::")
-    return ends & (((doubles == 0) & (groups == 8)) | ((doubles == 1) & (groups <= 7))) & ~c.rlike("[0-9A-Fa-f]{5}")
-
-
-#: Not among DETECTORS: texts have many runs of colons.
-IPV6 = (Detector("IP_ADDRESS", r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f:]{2,45}(?![0-9A-Fa-f:.])", lambda c: c.contains(":") & _ipv6(c), _sure(0.95)),)
-
-
 def confident(labels: DataFrame, least: float = 0.6) -> DataFrame:
     """Labels under their canonical names, without `O` and those of low confidence."""
     return labels.withColumn("entity", canonical_label(F.col("entity"))).where((F.col("entity") != "O") & (F.col("confidence") >= least))
@@ -157,17 +177,27 @@ def _rank(entity: Column) -> Column:
 
 
 def resolve(spans: Column) -> Column:
-    """Overlaps settled in the order of starts: a newcomer stays only if it beats all that it overlaps."""
+    """Overlaps settled in the order of starts: a newcomer stays only if it beats what it overlaps.
+
+    Spans that stay are apart from each other, so a newcomer, whose start isn't before theirs, can only overlap
+    the last of them: one span is held open.
+    """
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-_rank(s["entity"])).alias("rank"), (-s["confidence"]).alias("sure"), s.alias("s")))
     ordered = F.transform(F.sort_array(keyed), lambda k: k["s"])
 
     def step(acc: Column, s: Column) -> Column:
-        clash = lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])
-        weaker = lambda o: (_rank(s["entity"]) > _rank(o["entity"])) | ((_rank(s["entity"]) == _rank(o["entity"])) & (s["confidence"] > o["confidence"]))
-        wins = F.forall(acc, lambda o: ~clash(o) | weaker(o))
-        return F.when(wins, F.array_append(F.filter(acc, lambda o: ~clash(o)), s)).otherwise(acc)
-
-    return F.aggregate(ordered, F.array().cast(f"array<{SPAN}>"), step)
+        o = acc["state"]["last"]
+        apart = o.isNull() | (s["start"] >= o["end"])
+        stronger = (_rank(s["entity"]) > _rank(o["entity"])) | ((_rank(s["entity"]) == _rank(o["entity"])) & (s["confidence"] > o["confidence"]))
+        last = F.when(apart | stronger, s).otherwise(o)
+        out = F.when(apart & o.isNotNull(), F.array_append(acc["out"], o)).otherwise(acc["out"])
+        return F.struct(F.struct(last.alias("last")).alias("state"), out.alias("out"))
+
+    def settled(items: Column) -> Column:
+        folded = _folded(items, f"struct<last:{SPAN}>", F.struct(F.lit(None).cast(SPAN).alias("last")), step, SPAN)
+        return F.transform(F.array(folded), lambda f: F.when(f["state"]["last"].isNull(), f["out"]).otherwise(F.array_append(f["out"], f["state"]["last"])))[0]
+
+    return F.transform(F.array(ordered), settled)[0]
 
 
 def normal_value(entity: Column, value: Column) -> Column:

@@ -28,7 +28,7 @@ def token(c: Column, key: str) -> Column:
 
 
 def password_hash(c: Column, salt: str, rounds: int = 10_000) -> Column:
-    """PBKDF2-HMAC-SHA256 in hex."""
+    """PBKDF2-HMAC-SHA256 in hex; a null costs nothing."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
@@ -44,7 +44,7 @@ def protected(value: Column, method: Column, salt: str, key: str, cipher: Column
         .when(method == "hash", pii.salted_hash(value, salt))
         .when(method == "encrypt", pii.encrypt(value, key) if cipher is None else cipher)
         .when(method == "tokenize", token(value, key))
-        .when(method == "hash_password", F.sha2(F.concat(F.lit(salt), F.lit(":"), value), 512))
+        .when(method == "hash_password", password_hash(F.when(method == "hash_password", value), salt))
         .otherwise(value)
     )
 

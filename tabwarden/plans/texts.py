@@ -12,7 +12,7 @@ R = Registry()
 
 
 def _found(spark, sf_dir, entity: str) -> DataFrame:
-    detectors = tuple(d for d in pii.DETECTORS if d.entity == entity)
+    detectors = tuple(d for d in pii.DETECTORS if d.entity == entity and d not in pii.IPV6)
     return pii.entities(table(spark, sf_dir, "documents"), "doc_id", "text", detectors, resolved=False)
 
 
