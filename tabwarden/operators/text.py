@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.functions.stored import stored
+from tabwarden.operators import pii
+from tabwarden.operators.sentences import Model, split
+
 #: Steps in canonical order, and the values a record's status may have.
 STEPS = ("html_strip", "language", "spelling", "sentences", "tokens", "entities", "validation")
 STATUSES = ("cleaned", "partial", "failed")
@@ -166,6 +170,51 @@ def run_plan(records: DataFrame, text_col: str) -> DataFrame:
     return out.withColumn("status", F.when(blank, "failed").when(poor, "partial").otherwise("cleaned"))
 
 
+def corrected(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, most: int = 2) -> DataFrame:
+    """(id_col, text): texts with the words that the dictionary lacks replaced by their corrections, if they have any; all else stays."""
+    pieces = docs.select(id_col, F.posexplode(F.regexp_extract_all(text_col, F.lit("([A-Za-z]+|[^A-Za-z]+)"), 1)).alias("pos", "piece")).withColumn("word", F.lower("piece"))
+    unknown = pieces.where(F.col("word").rlike("^[a-z]")).select("word").distinct().join(known, "word", "left_anti")
+    fixed = pieces.join(stored(corrections(unknown, known, most), "corrections"), "word", "left")
+    best = F.when(F.col("piece").rlike("^[A-Z]"), F.initcap("best")).otherwise(F.col("best"))
+    return fixed.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce(best, "piece").alias("p")))), lambda x: x["p"]), "").alias("text"))  # a text's own pieces
+
+
+#: What each step of a plan leaves, in canonical order.
+LEAVES = {"html_strip": "clean_text", "language": "language", "spelling": "clean_text", "sentences": "sentences", "tokens": "tokens", "entities": "entities", "validation": "is_valid"}
+
+
+def run_chain(records: DataFrame, text_col: str, known: DataFrame, profile: DataFrame, model: Model) -> DataFrame:
+    """Every record through all the steps of its own plan; steps that need tables are joins by the record's number.
+
+    known: the dictionary (word, n), profile: of languages, model: of sentences.  Besides the records' own columns:
+    clean_text, language, sentences, tokens, entities, confidence, steps (planned), steps_run, errors, status and
+    is_valid.  Spelling runs on English of which a tenth is unknown, entities on English of three words; a step
+    that doesn't apply isn't run, one that finds nothing to work on is an error of the record and of no other.
+    A record without text fails, one with errors is partial.
+    """
+    has = lambda s: F.array_contains("steps", s)
+    rows = records.withColumn("_rec", F.monotonically_increasing_id()).withColumn("steps", ordered_plan(plan(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = stored(rows.withColumn("clean_text", F.when(has("html_strip"), strip_html(F.col(text_col))).otherwise(F.col(text_col))), "chain")
+    langs = detect_language(rows.where(has("language")).select("_rec", "clean_text"), "_rec", "clean_text", profile)
+    rows = stored(rows.join(langs.withColumnRenamed("lang", "language"), "_rec", "left").withColumn("language", F.coalesce("language", F.lit("unknown"))), "chain-language")
+    english = rows.where(has("spelling") & (F.col("language") == "en")).select("_rec", "clean_text", F.col("language").alias("lang"))
+    gated = english.join(spell_gate(noise(english, "_rec", "clean_text", known).withColumn("lang", F.lit("en"))).where("corrects").select("_rec"), "_rec", "left_semi")
+    spelled = stored(corrected(gated, "_rec", "clean_text", known), "chain-spelling")
+    rows = rows.join(spelled.select("_rec", F.col("text").alias("_spelled")), "_rec", "left").withColumn("_corrected", F.col("_spelled").isNotNull()).withColumn("clean_text", F.coalesce("_spelled", "clean_text"))
+    rows = split(rows, "clean_text", model, "_sentences").withColumn("sentences", F.when(has("sentences"), F.col("_sentences")).otherwise(F.array("clean_text")))
+    rows = rows.withColumn("tokens", F.when(has("tokens"), tokens(F.col("clean_text"))).otherwise(F.array().cast("array<string>")))
+    found = has("entities") & F.coalesce(entity_gate(F.col("clean_text"), F.col("language")), F.lit(False))
+    spans = F.transform(pii.resolve(pii.detect(F.when(found, F.col("clean_text")).otherwise(F.lit("")))), lambda s: F.concat(s["entity"], F.lit(":"), s["value"]))
+    rows = rows.withColumn("entities", spans).withColumn("confidence", F.coalesce(html_confidence(F.col(text_col)), F.lit(0.0)))
+    blank = F.coalesce(F.trim(text_col) == "", F.lit(True))
+    errors = F.array_compact(F.array(F.when(blank, "no text"), F.when(~blank & (F.col("language") == "unknown"), "no language"), F.when(~blank & has("tokens") & (F.size("tokens") == 0), "no tokens")))
+    status = F.when(blank, "failed").when(F.size("_errors") > 0, "partial").otherwise("cleaned")
+    rows = rows.withColumn("_errors", errors).withColumn("status", status)
+    checked = validate(rows, ("clean_text",), "confidence", "status").withColumn("errors", F.when(has("validation"), F.array_union("_errors", "errors")).otherwise(F.col("_errors")))
+    ran = F.filter("steps", lambda s: F.when(s == "spelling", F.col("_corrected")).when(s == "entities", found).otherwise(F.lit(True)))
+    return checked.withColumn("steps_run", ran).select(*records.columns, "clean_text", "language", "sentences", "tokens", "entities", "confidence", "steps", "steps_run", "errors", "status", "is_valid")
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 800, overlap: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """(chunk_id, id_col, chunk_no, chunk, kept columns): sentences packed in order up to `most` characters; with `overlap`, a chunk begins with the end of the last.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwarden.operators import pii, protect, text
+from tabwarden.operators import sentences as boundaries
 from tabwarden.plans.register import Registry, table
 
 R = Registry()
@@ -241,3 +242,19 @@ def retrieve_top5(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings")
     q = t.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return text.nearest(q, t.select("vec_id", "embedding")).withColumn("distance", F.round("distance", 4))
+
+
+@R.query()
+def sentences_learned(spark, sf_dir):
+    """Sentences of every document, with abbreviations learned from all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return boundaries.split(docs, "text", boundaries.learn(docs, "text")).select("doc_id", "sentences")
+
+
+@R.query()
+def text_chain(spark, sf_dir):
+    """Every turn of the conversations through all the steps of its plan; dictionary, languages and sentences are learned from the documents."""
+    docs, known = _english(spark, sf_dir)
+    whole = table(spark, sf_dir, "documents")
+    out = text.run_chain(table(spark, sf_dir, "conversations"), "text", known, text.language_profile(whole, "text", "lang"), boundaries.learn(whole, "text"))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("sentences", "tokens", "entities", "steps", "steps_run", "errors")})

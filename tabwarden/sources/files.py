@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +52,73 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
     return df.drop(*(c for i, c in enumerate(spare) if not filled[i]))
 
 
+#: Kinds of paths whose first bytes tasks can read alone; others are read whole.
+RANGED = ("file", "hdfs", "s3", "gs")
+HEAD = 512
+
+
+def read_head(path: str, most: int = HEAD) -> bytes:
+    """A file's first bytes, and no more, from a path or address that a listing gave."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        system, name = LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    else:
+        host, _, name = rest.removeprefix("//").partition("/")
+        system, root = FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+        name = f"{root.rstrip('/')}/{name}"
+    with system.open_input_file(name) as f:
+        return f.read_at(min(most, f.size()), 0)
+
+
+def file_heads(spark: SparkSession, path: str, most: int = HEAD) -> DataFrame:
+    """(path, length, head): the first bytes of each file under `path`.  Spark lists the files and tasks read only their beginnings, so files may be of any size; empty ones are left out."""
+    listed = spark.read.format("binaryFile").load(path)
+    scheme = (listed.select("path").head() or [path])[0].split(":", 1)[0]
+    if scheme.replace("s3a", "s3") not in RANGED:
+        return listed.select("path", "length", F.substring("content", 1, most).alias("head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [read_head(p, most) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(heads, pa.binary())], names=["path", "length", "head"])
+
+    return listed.select("path", "length").mapInArrow(run, "path string, length long, head binary")
+
+
 def sniff(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, kind): what files are by their content, whatever their names say."""
-    head = F.hex(F.substring("content", 1, 8))
-    start = F.lower(F.substring("content", 1, 512).cast("string"))
+    """(path, name, kind): what files are by their first bytes, whatever their names say; empty files aren't listed."""
+    head = F.hex(F.substring("head", 1, 8))
+    start = F.lower(F.decode("head", "ISO-8859-1"))
     kind = F.when(head.startswith(OLE2), "ole2").when(head.startswith(ZIP), "zip").when(start.contains("<html") | start.contains("<table"), "html").otherwise("text")
-    return spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), kind.alias("kind"))
+    return file_heads(spark, path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), kind.alias("kind"))
+
+
+def pretty_json(c: Column) -> Column:
+    """JSON text with an indent of two, keys in their order; other text as it is."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return v if v is None else json.dumps(json.loads(v), indent=2, ensure_ascii=False)
+            except ValueError:
+                return v
+
+        return values.map(one)
+
+    return run(c)
+
+
+def read_as_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): each file as a text to work on: JSON files pretty-printed, CSV files with aligned columns, others as they are."""
+    docs = read_documents(spark, path)
+    name = F.lower("path")
+    cells = F.transform(F.filter(F.split("text", "\r?\n"), lambda line: F.trim(line) != ""), lambda line: F.split(line, ","))
+    widths = F.aggregate(cells, F.array().cast("array<int>"), lambda acc, row: F.zip_with(acc, F.transform(row, lambda c: F.length(F.trim(c))), lambda a, b: F.greatest(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))))
+    aligned = F.array_join(F.transform(cells, lambda row: F.array_join(F.zip_with(row, widths, lambda c, w: F.lpad(F.trim(F.coalesce(c, F.lit(""))), w, " ")), "  ")), "\n")
+    return docs.select("path", F.when(name.endswith(".json"), pretty_json(F.when(name.endswith(".json"), F.col("text")))).when(name.endswith(".csv"), aligned).otherwise(F.col("text")).alias("text"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
