@@ -26,6 +26,10 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _placed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """(`docs` with each row's place, that column's name): the number of its file and its own number there.
 
@@ -43,23 +47,24 @@ def _placed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     few = files.count() < FILES
     files = files.select(file, F.shiftleft("no", 40).alias(_free(docs, "_first")))
     rows = docs.select("*", about["file_path"].alias(file), about["row_index"].alias(place)).join(F.broadcast(files) if few else files, file)
-    rows = rows.select(*(rows[c] for c in docs.columns), (F.col(files.columns[1]) + F.col(place)).alias(place))
+    rows = rows.select(*(rows[_quoted(c)] for c in docs.columns), (F.col(files.columns[1]) + F.col(place)).alias(place))
     return rows if few else written(rows, f"{name}-rows"), place
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """`docs` with `_row`: each row's number in the order of ids, null last, and then of the other columns.
+    """`docs` with each row's number in the order of ids, null last, and then of texts and whole rows, in the column `_free(docs, "_row")`.
 
     It depends on the rows only, not on their files; among equal rows any order is the same.
     """
-    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), *(F.col(c) for c in docs.columns if c != "doc_id")]
-    placed = docs.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    placed = written(placed, f"{name}-placed").withColumn("_part", F.shiftright("_at", 33))
-    sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())  # a row a partition
+    row = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("r"))
+    keys = [F.col("r.doc_id").asc_nulls_last(), F.xxhash64("r.text"), F.md5(F.to_json("r"))]
+    placed = row.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    placed = written(placed, f"{name}-placed").withColumn("part", F.shiftright("at", 33))
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # a row a partition
     offsets = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
-    before = docs.sparkSession.createDataFrame(offsets, "_part long, _before long")
-    numbered = placed.join(F.broadcast(before), "_part").withColumn("_row", F.expr(f"(_at & {(1 << 33) - 1}) + _before"))
-    return numbered.drop("_at", "_part", "_before")
+    before = docs.sparkSession.createDataFrame(offsets, "part long, before long")
+    numbered = placed.join(F.broadcast(before), "part")
+    return numbered.select(*(F.col("r")[c].alias(c) for c in docs.columns), F.expr(f"(at & {(1 << 33) - 1}) + before").alias(_free(docs, "_row")))
 
 
 def _only(rows: DataFrame, kept: DataFrame, place: str) -> DataFrame:
@@ -90,9 +95,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated as often as the mix takes its words, to the nearest whole; words it doesn't take leave it out."""
-    rows = _numbered(docs, "mixing")
-    times = mixing.mix(rows, id_col="_row").select("_row", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows, row, taken = _numbered(docs, "mixing"), _free(docs, "_row"), _free(docs, "_times")
+    times = mixing.mix(rows, id_col=row).select(row, F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias(taken)).where(F.col(taken) > 0)
+    copies = rows.join(times, row).withColumn(_free(docs, "_copy"), F.explode(F.sequence(F.lit(1), F.col(taken))))
+    return copies.select(*(F.col(_quoted(c)) for c in docs.columns))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
