@@ -118,3 +118,36 @@ def test_places(spark, null_and_repeated):
         seen = {r[place]: (r["doc_id"], r["text"]) for r in rows.collect()}
         assert len(seen) == d.count() and Counter(seen.values()) == shown(d)
         assert seen == {r[place]: (r["doc_id"], r["text"]) for r in again.repartition(3).collect()}
+
+
+def test_columns_of_any_name_pass_through_every_stage(spark, null_and_repeated):
+    folder, docs, items = null_and_repeated
+    extra = {"_row": F.lit("r"), "_at": F.col("text"), "_times": F.lit(7), "_copy": F.lit(1.5), "_before": F.lit(2), "a.b": F.length("text"), "m": F.create_map(F.lit("k"), F.col("text")), "r": F.lit("x"), "part": F.lit(0)}
+    wide = docs.withColumns(extra)
+    seen = lambda df: Counter((r["doc_id"], r["text"], *(repr(r[c]) for c in extra)) for r in df.collect())
+    all_rows = seen(wide)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.near_dedup_stage, corpus_pipeline.decontamination_stage, corpus_pipeline.mixing_stage):
+        out, plain = stage(spark, wide, folder), stage(spark, docs, folder)
+        assert out.columns == wide.columns and set(seen(out)) <= set(all_rows)
+        if stage is not corpus_pipeline.near_dedup_stage:  # of equal texts any may stay
+            assert shown(out) == shown(plain)
+
+
+def test_run_gives_the_ids_of_what_the_stages_leave(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), "test")
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected, start = [], 0
+    for i, t in sorted((r["doc_id"], r["text"] or "") for r in docs.collect()):
+        ids = np.array([*tool.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted(expected) and len(got) > 50
