@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwarden.functions.stored import stored
 from tabwarden.operators import pii
+from tabwarden.operators.neighbours import nearest  # noqa: F401
 from tabwarden.operators.sentences import Model, split
 
 #: Steps in canonical order, and the values a record's status may have.
@@ -232,16 +233,3 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 800, overlap
 
     packed = F.aggregate(sentences(collapse(F.col(text_col))), start, step, lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
     return docs.select(id_col, *keep, F.posexplode(packed).alias("chunk_no", "chunk")).select(F.concat_ws("_", id_col, "chunk_no").alias("chunk_id"), id_col, "chunk_no", "chunk", *keep)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, distance, rank): exact k nearest by squared length of the difference.
-
-    Each query meets every vector in blocks; the k best of a block are kept before blocks are merged.
-    """
-    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")))
-    d = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = asked.join(blocks, "block").select("query_id", "vec_id", "block", d.alias("distance"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy("distance", "vec_id"))).where(F.col("r") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
