@@ -104,13 +104,23 @@ def _ipv4(c: Column) -> Column:
 
 
 def to_iso(c: Column) -> Column:
-    """A date candidate as yyyy-MM-dd; two-digit years from 69 on are of the last century."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(c), ",", ""), r"\s+", " ")
-    same = F.translate(plain, "/. ", "---")
-    full = F.coalesce(*(F.try_to_timestamp(same, F.lit(f)) for f in ("d-M-yyyy", "yyyy-M-d", "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "MMMM-d-yyyy")))
-    short = F.try_to_timestamp(same, F.lit("d-M-yy"))
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short.cast("date"))
-    date = F.when(same.rlike(r"(^|-)\d{4}($|-)"), full.cast("date")).otherwise(short)
+    """A date candidate as yyyy-MM-dd, by sixteen formats; two-digit years from 69 on are of the last century.
+
+    Days first (/ - . or blanks, two-digit years without the dot), years first (/ - or blanks), and months by
+    name before or after the day; separators of one date are the same.
+    """
+    plain = F.regexp_replace(F.trim(c), r"\s+", " ")
+    same = F.translate(F.replace(plain, F.lit(",")), "/. ", "---")
+    parsed = lambda *formats: F.coalesce(*(F.try_to_timestamp(same, F.lit(f)).cast("date") for f in formats))
+    short = parsed("d-M-yy")
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    date = (
+        F.when(plain.rlike(r"^\d{1,2}([/. -])\d{1,2}\1\d{4}$"), parsed("d-M-yyyy"))
+        .when(plain.rlike(r"^\d{1,2}([/ -])\d{1,2}\1\d{2}$"), short)
+        .when(plain.rlike(r"^\d{4}([/ -])\d{1,2}\1\d{1,2}$"), parsed("yyyy-M-d"))
+        .when(plain.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"), parsed("d-MMM-yyyy", "d-MMMM-yyyy"))
+        .when(plain.rlike(r"^[A-Za-z]+ \d{1,2},? \d{4}$"), parsed("MMM-d-yyyy", "MMMM-d-yyyy"))
+    )
     return F.date_format(date, "yyyy-MM-dd")
 
 
@@ -136,7 +146,7 @@ DETECTORS = (
     Detector("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", _ipv4, _sure(0.95)),
     Detector("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", _always, _sure(0.95)),
     Detector("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}\b", _always, _sure(0.95)),
-    Detector("DATE", r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b|\b(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b", lambda c: to_iso(c).isNotNull(), _sure(0.9)),
+    Detector("DATE", r"\b\d{1,4}[\s/.-]\d{1,2}[\s/.-]\d{1,4}\b|\b\d{1,2}\s+(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b|\b(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b", lambda c: to_iso(c).isNotNull(), _sure(0.9)),
     Detector("EMAIL", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", _always, _sure(0.95)),
     *IPV6,
 )

@@ -22,7 +22,8 @@ def column_facts(batches: DataFrame) -> DataFrame:
     """(dataset, batch_id, column, present, null_rate, type, nullable, mean, std, min, max).
 
     Types by the share of all rows that parse: over 0.8 numbers are float, of which over 0.95 whole are
-    int; then truth words, timestamps, else string.  A key that a row lacks is a null there.
+    int; then timestamps, else string.  Truth words come first of all, and before numbers the timestamps of a
+    column whose name speaks of a date or time.  A key that a row lacks is a null there.
     """
     rows = batches.groupBy(*BATCH).agg(F.count("*").alias("n_rows"))
     value = F.col("value")
@@ -41,7 +42,8 @@ def column_facts(batches: DataFrame) -> DataFrame:
     )
     joined = facts.join(rows, list(BATCH))
     share = lambda c: F.col(c) / F.col("n_rows")
-    kind = F.when(share("n_truth") > 0.8, "bool").when((share("n_number") > 0.8) & (F.col("n_whole") / F.col("n_number") > 0.95), "int").when(share("n_number") > 0.8, "float").when(share("n_time") > 0.8, "datetime").otherwise("string")
+    dated = F.col("column").rlike("date|time|_dt|_ts") & (share("n_time") > 0.8)
+    kind = F.when(share("n_truth") > 0.8, "bool").when(dated, "datetime").when((share("n_number") > 0.8) & (F.col("n_whole") / F.col("n_number") > 0.95), "int").when(share("n_number") > 0.8, "float").when(share("n_time") > 0.8, "datetime").otherwise("string")
     numeric = kind.isin("int", "float")
     of = lambda c: F.when(numeric, F.round(c, 6)).alias(c)
     return joined.select(*BATCH, "column", F.lit(True).alias("present"), F.round(1 - share("n"), 6).alias("null_rate"), kind.alias("type"), (F.col("n") < F.col("n_rows")).alias("nullable"), of("mean"), of("std"), of("min"), of("max"))

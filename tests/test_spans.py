@@ -120,3 +120,30 @@ def test_passwords_are_stretched(spark):
     t = spark.createDataFrame([("secret", "hash_password"), ("secret", "hash"), (None, "hash_password")], "v string, m string")
     got = [r["p"] for r in t.select(protect.protected(F.col("v"), F.col("m"), "salt", "0123456789abcdef").alias("p")).collect()]
     assert got == [hashlib.pbkdf2_hmac("sha256", b"secret", b"salt", 10_000).hex(), hashlib.sha256(b"saltsecret").hexdigest(), None]
+
+
+def test_dates_of_sixteen_formats(spark):
+    from datetime import datetime
+
+    formats = ["%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d %m %Y", "%d/%m/%y", "%d-%m-%y", "%d %m %y", "%Y-%m-%d", "%Y/%m/%d", "%Y %m %d", "%d %B %Y", "%d %b %Y", "%B %d %Y", "%B %d, %Y", "%b %d %Y", "%b %d, %Y"]
+    days = [datetime(2024, 2, 29), datetime(1999, 12, 31), datetime(2005, 5, 7)]
+    said = [d.strftime(f) for d in days for f in formats] + ["31/02/2024", "1-2/2024", "2024.1.5", "1.2.99", "5 Foo 2024", "5 Jan 99", "13/13/2024", "12345", "7/5/2005", "07 may 2005", ""]
+
+    def plain(text):
+        for f in formats:
+            try:
+                return datetime.strptime(text, f).strftime("%Y-%m-%d")
+            except ValueError:
+                pass
+
+    got = {r["t"]: r["iso"] for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", pii.to_iso(F.col("t")).alias("iso")).collect()}
+    assert got == {t: plain(t) for t in said}
+    spans = spark.createDataFrame([("due 7 5 2005, or May 7, 2005; not 1-2/2024",)], "t string").select(F.explode(pii.detect(F.col("t"), tuple(d for d in pii.DETECTORS if d.entity == "DATE"))).alias("s"))
+    assert [r["value"] for r in spans.select("s.value").collect()] == ["7 5 2005", "May 7, 2005"]
+
+
+def test_names_of_dates_come_before_numbers(spark):
+    from tabwarden.operators import profile
+
+    rows = spark.createDataFrame([("d", "b", i, {"ship_date": f"2024-01-{i + 1:02d}", "note": "x", "flag": "true", "amount_ts": str(i)}) for i in range(9)], "dataset string, batch_id string, row_no long, payload map<string,string>")
+    assert {r["column"]: r["type"] for r in profile.column_facts(rows).collect()} == {"ship_date": "datetime", "note": "string", "flag": "bool", "amount_ts": "int"}

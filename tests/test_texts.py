@@ -112,6 +112,17 @@ def test_boundaries_are_the_plain_ones(docs, model, block, monkeypatch):
     assert letter[0] == "Mr. Hall met Dr. Kern at 5 p.m. on Monday." and letter[-1].endswith("asked J. Smith.")
 
 
+def test_sentences_learned(spark):
+    """The query is the learned split of the documents, with their own white space."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    short, starters = plain_model([r["text"] for r in rows if r["text"] is not None])
+    got = {r["doc_id"]: r["sentences"] for r in catalog.QUERIES["sentences_learned"](spark, SF).collect()}
+    ascii_only = [r for r in rows if r["text"] is not None and not re.search(r"[\x1c-\x1f\x85\xa0\u2000-\u3000]", r["text"])]
+    assert len(got) == len(rows) and len(ascii_only) > 100
+    for r in ascii_only:
+        assert got[r["doc_id"]] == plain_split(r["text"], short, starters)
+
+
 def test_chain_leaves_the_fields_of_all_steps(spark):
     whole = spark.read.parquet(f"{SF}/documents.parquet")
     known = spark.createDataFrame([(w, 50) for w in "the river runs through town people walk along it in evening and they are glad".split()], "word string, n long")
