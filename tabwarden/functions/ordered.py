@@ -42,6 +42,27 @@ def neighbours(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int
     return both.withColumn("earlier", near(F.lag)).withColumn("later", near(F.lead)).where("_own").drop("_own", "_part")
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """One row: for each column a struct (n, q array<double>): its values that aren't null, and the exact quantiles, between two values in proportion; null without values.
+
+    The distinct values of all columns are put in order over ranges and only those at the places asked for are taken.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
+    counts = df.select(cells.alias("e")).select("e.*").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    placed = sums_before(counts, ["c", "v"], "n")
+    first = stored(placed.groupBy("c").agg(F.sum("n").alias("total"), F.min("before").alias("base")), "column-sizes")  # a row a column
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("share")) for k, q in enumerate(shares))))
+    wanted = first.select("c", "base", "total", at.alias("w")).select("c", "base", "total", "w.k", ((F.col("total") - 1) * F.col("w.share")).alias("at"))
+    own = F.col("before") - F.col("base")
+    inside = lambda place: (own <= place) & (place < own + F.col("n"))
+    hit = placed.join(F.broadcast(wanted), "c").where(inside(F.floor("at")) | inside(F.ceil("at")))  # a row a column and share
+    ends = hit.groupBy("c", "k").agg(F.first("at").alias("at"), F.first("total").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    each = ends.groupBy("c").agg(F.first("total").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", between.alias("v")))), lambda e: e["v"]).alias("q"))
+    one = each.agg(*(F.max(F.when(F.col("c") == i, F.struct("n", "q"))).alias(str(i)) for i in range(len(columns))))
+    return one.select(*(F.struct(F.coalesce(F.col(f"`{i}`.n"), F.lit(0)).alias("n"), F.col(f"`{i}`.q").alias("q")).alias(c) for i, c in enumerate(columns)))
+
+
 def _shape(df: DataFrame, columns: Sequence[str]) -> str:
     return df.select(F.struct(*columns).alias("s")).schema["s"].dataType.simpleString()
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.functions.ordered import quantiles
 from tabwarden.operators.forests import permutation_importance, predict_missing, train_imputer  # noqa: F401
 from tabwarden.operators.issues import Rule
 
@@ -22,14 +23,15 @@ def allowed_alternatives(df: DataFrame, column: str, allowed: Sequence[str], mos
 
 def numeric_alternatives(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """One row (column, median, q25, q75) of the values inside the range."""
-    inside = F.when(F.col(column).between(low, high), F.col(column).cast("double"))
-    return df.agg(F.percentile(inside, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("q")).select(F.lit(column).alias("column"), *(F.round(F.col("q")[i], 6).alias(a) for i, a in enumerate(("median", "q25", "q75"))))
+    inside = quantiles(df.where(F.col(column).between(low, high)).select(F.col(column).alias("v")), ("v",), (0.5, 0.25, 0.75))
+    return inside.select("v.q").select(F.lit(column).alias("column"), *(F.round(F.col("q")[i], 6).alias(a) for i, a in enumerate(("median", "q25", "q75"))))
 
 
 def fallback_alternatives(df: DataFrame, column: str) -> DataFrame:
     """One row (column, median, mean, mode); of equally frequent values the least is the mode."""
     mode = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", F.negative(F.col(column).cast("double")).alias("v"))).alias("m")).select((-F.col("m.v")).alias("mode"))
-    return df.agg(F.round(F.median(column), 6).alias("median"), F.round(F.avg(column), 6).alias("mean")).crossJoin(mode).select(F.lit(column).alias("column"), "median", "mean", "mode")
+    middle = quantiles(df.select(F.col(column).alias("v")), ("v",), (0.5,)).select(F.round(F.col("v.q")[0], 6).alias("median"))
+    return df.agg(F.round(F.avg(column), 6).alias("mean")).crossJoin(middle).crossJoin(mode).select(F.lit(column).alias("column"), "median", "mean", "mode")
 
 
 def cap(c: Column, low: float | None, high: float | None) -> Column:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.ordered import quantiles
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -34,11 +36,11 @@ def _out(df: DataFrame, key: str, found: list[Column]) -> DataFrame:
     return df.select(F.col(key).alias("row_id"), F.explode(F.array_compact(F.array(*found))).alias("i")).select("row_id", "i.*")
 
 
-def missing(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    return _out(df, key, [_issue(c, "missing", F.lit("not null"), F.col(c).isNull()) for c in columns])
+def _missing(columns: Sequence[str]) -> list[Column]:
+    return [_issue(c, "missing", F.lit("not null"), F.col(c).isNull()) for c in columns]
 
 
-def out_of_range(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
+def _out_of_range(rules: Sequence[Rule]) -> list[Column]:
     found = []
     for r in rules:
         x = F.col(r.column).cast("string").try_cast("double")
@@ -46,34 +48,50 @@ def out_of_range(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
             found.append(_issue(r.column, "invalid", F.lit(f"min {r.low:g}"), x < r.low))
         if r.high is not None:
             found.append(_issue(r.column, "invalid", F.lit(f"max {r.high:g}"), x > r.high))
-    return _out(df, key, found)
+    return found
+
+
+def _not_allowed(rules: Sequence[Rule]) -> list[Column]:
+    return [_issue(r.column, "invalid", F.lit("allowed " + "|".join(r.allowed)), F.col(r.column).isNotNull() & ~F.col(r.column).cast("string").isin(*r.allowed)) for r in rules if r.allowed]
+
+
+def _outliers(columns: Sequence[str]) -> list[Column]:
+    found = []
+    for c in columns:
+        x, f = F.col(c).cast("double"), F.col(f"f_{c}")
+        found.append(_issue(c, "outlier", F.lit("iqr"), (f["n"] > 10) & ((x < f["low"]) | (x > f["high"]))))
+    return found
+
+
+def missing(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    return _out(df, key, _missing(columns))
+
+
+def out_of_range(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
+    return _out(df, key, _out_of_range(rules))
 
 
 def not_allowed(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
-    return _out(df, key, [_issue(r.column, "invalid", F.lit("allowed " + "|".join(r.allowed)), F.col(r.column).isNotNull() & ~F.col(r.column).cast("string").isin(*r.allowed)) for r in rules if r.allowed])
+    return _out(df, key, _not_allowed(rules))
 
 
 def fences(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: for each column, the struct (low, high, n) of its interquartile fences; exact percentiles in one pass."""
-    raw = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns), *(F.count(c).alias(f"n_{c}") for c in columns))
-    low, high = (lambda c: F.col(f"q_{c}")[0]), (lambda c: F.col(f"q_{c}")[1])
-    return raw.select(*(F.struct((low(c) - 1.5 * (high(c) - low(c))).alias("low"), (high(c) + 1.5 * (high(c) - low(c))).alias("high"), F.col(f"n_{c}").alias("n")).alias(f"f_{c}") for c in columns))
+    """One row: for each column, the struct (low, high, n) of its interquartile fences, by exact quantiles."""
+    raw = quantiles(df, columns, (0.25, 0.75))
+    low, high = (lambda c: F.col(f"`{c}`.q")[0]), (lambda c: F.col(f"`{c}`.q")[1])
+    return raw.select(*(F.struct((low(c) - 1.5 * (high(c) - low(c))).alias("low"), (high(c) + 1.5 * (high(c) - low(c))).alias("high"), F.col(f"`{c}`.n").alias("n")).alias(f"f_{c}") for c in columns))
 
 
 def outliers(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    both = df.crossJoin(F.broadcast(fences(df, columns)))  # the fences are one row
-    found = []
-    for c in columns:
-        x, f = F.col(c).cast("double"), F.col(f"f_{c}")
-        found.append(_issue(c, "outlier", F.lit("iqr"), (f["n"] > 10) & ((x < f["low"]) | (x > f["high"]))))
-    return _out(both, key, found)
+    return _out(df.crossJoin(F.broadcast(fences(df, columns))), key, _outliers(columns))  # the fences are one row
 
 
 def detect(df: DataFrame, key: str, columns: Sequence[str], rules: Sequence[Rule], numeric: Sequence[str]) -> DataFrame:
+    """All issues of all cells, from one scan beside that of the fences."""
     ranged = {r.column for r in rules if r.low is not None or r.high is not None}
     free = [c for c in numeric if c not in ranged]
-    found = missing(df, key, columns).unionByName(out_of_range(df, key, rules)).unionByName(not_allowed(df, key, rules))
-    return found.unionByName(outliers(df, key, free)) if free else found
+    found = [*_missing(columns), *_out_of_range(rules), *_not_allowed(rules), *_outliers(free)]
+    return _out(df.crossJoin(F.broadcast(fences(df, free))) if free else df, key, found)
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
@@ -106,7 +124,8 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def quality_report(df: DataFrame, key: str, columns: Sequence[str], rules: Sequence[Rule], numeric: Sequence[str]) -> DataFrame:
     """One row: counts, the three scores, their total and a grade.  An empty table has null scores and the grade `empty`."""
     found = detect(df, key, columns, rules, numeric).agg(F.count_if(F.col("issue_type") == "missing").alias("n_missing"), F.count_if(F.col("issue_type") == "invalid").alias("n_invalid"), F.count_if(F.col("issue_type") == "outlier").alias("n_outlier"))
-    constant = constant_columns(df, numeric).agg(F.count_if("is_constant").alias("n_constant"))
+    same = df.agg(*((F.min(c) == F.max(c)).alias(str(i)) for i, c in enumerate(numeric)))  # one row
+    constant = same.select(sum((F.coalesce(F.col(f"`{i}`"), F.lit(False)).cast("long") for i in range(len(numeric))), F.lit(0).cast("long")).alias("n_constant"))
     all_ = duplicate_rows(df, columns).crossJoin(found).crossJoin(constant)  # one row each
     cells = F.col("n_rows") * len(columns)
     p_missing, p_invalid = 100 * F.col("n_missing") / cells, 100 * (F.col("n_invalid") + F.col("n_outlier")) / cells

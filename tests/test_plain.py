@@ -110,3 +110,19 @@ def test_chunks(spark, docs, name, overlap):
     for i, t, _ in docs:
         want = packed(t, 800, overlap) if t is not None else []
         assert [got.get(i, {}).get(k) for k in range(len(want))] == want and len(got.get(i, {})) == len(want)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_quantiles_are_exact(spark, parts):
+    from tabwarden.functions.ordered import quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.integers(0, 9)), float(rng.standard_normal()), 5, None) for _ in range(501)] + [(None, 1e9, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, `c.d` int, e int").repartition(parts).withColumnRenamed("c.d", "c")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    got = quantiles(df, ("a", "b", "c", "e"), shares).first()
+    for c, i in (("a", 0), ("b", 1), ("c", 2)):
+        own = [r[i] for r in rows if r[i] is not None]
+        assert got[c]["n"] == len(own) and got[c]["q"] == pytest.approx([float(np.quantile(own, q)) for q in shares])
+    assert got["e"]["n"] == 0 and got["e"]["q"] is None
+    assert quantiles(df.limit(0), ("a", "b"), shares).first()["a"]["n"] == 0
