@@ -103,6 +103,12 @@ def page(rows: DataFrame, order: str, offset: int, most: int) -> DataFrame:
     return rows.orderBy(order).offset(offset).limit(most).join(total)  # one row
 
 
+def page_after(rows: DataFrame, order: str, after, most: int) -> DataFrame:
+    """The `most` rows that follow a value of a unique key, None for the first: what is before it is filtered out and not sorted."""
+    rest = rows if after is None else rows.where(F.col(order) > F.lit(after))
+    return rest.orderBy(order).limit(most)
+
+
 def kpis(events: DataFrame) -> DataFrame:
     n = lambda when, name: F.count_if(when).alias(name)
     c = F.col

@@ -110,6 +110,11 @@ def staged_page(spark, sf_dir):
     return registry.page(_event_table(spark, sf_dir).where("route = 'staging'").select("event_id", "batch_id"), "event_id", 100, 50)
 
 
+@R.query(f"WITH {_EVENTS} SELECT event_id, batch_id FROM ev WHERE route = 'staging' AND event_id > 500 ORDER BY event_id LIMIT 50")
+def staged_page_after(spark, sf_dir):
+    return registry.page_after(_event_table(spark, sf_dir).where("route = 'staging'").select("event_id", "batch_id"), "event_id", 500, 50)
+
+
 @R.query(f"WITH {_EVENTS} SELECT count(*) AS total, count(*) FILTER (level = 'high') AS high, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (route = 'staging') AS staging, count(*) FILTER (status = 'PROMOTED') AS promoted FROM ev")
 def governance_kpis(spark, sf_dir):
     return registry.kpis(_event_table(spark, sf_dir))
