@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -138,14 +139,15 @@ TABLES = ("drift", "risk", "events", "routed", "audit")
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """A table's rows of whole epochs, None before the first."""
-    if not _exists(spark, f"{folder}/commits") or not _exists(spark, f"{folder}/{name}"):
-        return None
-    return spark.read.parquet(f"{folder}/{name}").join(F.broadcast(spark.read.parquet(f"{folder}/commits").select("epoch")), "epoch", "left_semi")  # a row an epoch
+    whole, rows = _read(spark, f"{folder}/commits"), _read(spark, f"{folder}/{name}")
+    return None if whole is None or rows is None else rows.join(F.broadcast(whole.select("epoch")), "epoch", "left_semi")  # a row an epoch
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing was written yet
+        return None
 
 
 def write_flushes(folder: str, canonical: Callable[[SparkSession], DataFrame], baseline: Callable[[SparkSession], DataFrame], config: Callable[[SparkSession], DataFrame], fields: Callable[[SparkSession], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
