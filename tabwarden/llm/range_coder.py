@@ -1,15 +1,20 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks of BLOCK that are coded on their own: a block's model starts empty, its coded
-bytes carry a checksum of its ids, and it can be decoded alone.  Three predictions are mixed for each id.
-Order 2 and order 1 put their weight on the id that last followed the two ids, or the one id, before it;
-a weight is how often predictions of that confidence came true so far in the block.  Order 0 spreads the
-remaining weight over all ids by their counts so far in the block, on top of a fixed prior that falls
-with the id.  Where predictions agree their weights add up, and one range-coder step codes the id with
-its mixed share.  All blocks of a file advance together, one id of each at a time, as numpy vectors.
+bytes carry a checksum of its ids, and it can be decoded alone.  Within a block, ids are known by their
+numbers in the order in which they first come.  Three predictions are mixed for each id.  Order 2 and
+order 1 put their weight on the id that last followed the two ids, or the one id, before it; a weight is
+how often predictions of that confidence came true so far in the block.  Order 0 spreads the remaining
+weight over the block's ids by their counts and leaves a share, learned in the block, for an id that it
+hasn't had.  Where predictions agree their weights add up, and one range-coder step codes the id with its
+mixed share.  The ids themselves follow in the order of their numbers, by a fixed prior that falls with
+the id.
 
-Counts of order 0 are kept in trees of four levels with running sums in each node, so that an id's place
-among all ids is read from four nodes.
+A block is read in PARTS parts beside each other, which learn from one another.  Many blocks advance
+together, one id of each part at a time, as numpy vectors.
+
+Order 0 takes up the counts from time to time, when a block has grown by a quarter; ids that are new
+since then count once.  So its shares are read from a table with a place for each id of the block so far.
 
 File: header (magic, numbers of documents, ids and blocks), document table, block table (bytes and
 checksum of each), coded blocks.
@@ -19,243 +24,411 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 4096
+#: Parts of a block that are coded beside each other, and the ids of each.
+PARTS = 8
+STEPS = BLOCK // PARTS
+#: Blocks that advance together, at most.
+GROUP = 512
 #: Ids are under this; the value itself stands for none.
 NONE = 65535
-MAGIC = b"TWID2\0"
-_TOTAL = 24  # bits of the range's shares
-_ONE, _TWO = 11, 12  # bits of the tables of order 1 and 2
-_BOTTOM = np.uint64(1 << 32)
-_U16, _U48 = np.uint64(16), np.uint64(48)
-#: What an occurrence in the block adds to an id's prior share.
-_STEP = 80
-#: The highest weight of a prediction; what two leave is over the sum of order 0, so that every id has a share.
-_SURE = 53000
+MAGIC = b"TWID3\0"
+_TOTAL, _NEW = 24, 17  # bits of the range's shares, for numbers and for ids
+_TOTAL_BITS, _NEW_BITS = np.uint64(_TOTAL), np.uint64(_NEW)
+_SMALL, _U32 = np.uint64(1 << 32), np.uint64(32)
+#: Entries of each lane's tables; not a power of two, as lanes would then meet in the processor's cache.
+_MASK, _STRIDE, _WIDE = 4095, 4128, 4136
+#: The highest weight of a prediction, and of an id that is new.  Every unit of order 0 keeps a share.
+_SURE, _NEWEST = 53000, 61440
+#: How right predictions of each confidence are at first, and how a confidence moves when one fails or comes true.
+_START = np.append(64, 8192 + 2900 * np.arange(1, 16)).astype(np.uint32)
+_RIGHT = np.array([64, _SURE], dtype=np.uint32)
+_MOVE = ((np.arange(1 << 16) & ~15) + ((np.arange(1 << 16) & 15) >> 1)).astype(np.uint16)  # a confidence that failed
 
 
 def _prior() -> np.ndarray:
     """Where each id's prior share begins, with the end after the last: 1 each, and as much again by 1 / (id + 256)."""
     falling = 1_000_000_000 // (np.arange(1 << 16, dtype=np.int64) + 256)
-    return np.append(0, np.cumsum(1 + (falling << 16) // falling.sum()))
+    share = 1 + (falling << 16) // falling.sum()
+    share[0] += (1 << _NEW) - share.sum()
+    return np.append(0, np.cumsum(share)).astype(np.uint32)
 
 
 _PRIOR = _prior()
-_LEVELS = (12, 8, 4, 0)  # bits below a node's children
-#: For each level, the prior's running sums over the children of each node.
-_PRIOR_SUMS = [(_PRIOR[(np.arange(1, (1 << 16 - bits) + 1) << bits)].reshape(-1, 16) - _PRIOR[np.arange(0, 1 << 16, 16 << bits)][:, None]).astype(np.int32) for bits in _LEVELS]
-#: One for each child from a given one on, four children to a word.
-_FROM = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.uint16).view(np.uint64)
+_PRIOR_ID = np.repeat(np.arange(1 << 16), np.diff(_PRIOR)).astype(np.uint16)
 
 
-class _Counts:
-    """Order 0: how often each id occurred in each lane's block so far."""
+def _refreshes() -> list[int]:
+    """The steps at which order 0 takes up the counts: dense at first, then at a quarter more each."""
+    steps = [2]
+    while steps[-1] < STEPS:
+        steps.append(min(STEPS, steps[-1] + max(2, steps[-1] // 4)))
+    return steps
 
-    def __init__(self, lanes: int):
-        # a node's 16 running sums of 16 bits in 4 words; no sum is over BLOCK
-        self.words = [np.zeros((lanes << 12 - bits, 4), dtype=np.uint64) for bits in _LEVELS]
-        self.flat = [w.view(np.uint16).ravel() for w in self.words]
-        self.first = [np.arange(lanes, dtype=np.int64) << 12 - bits for bits in _LEVELS]
-
-    def narrow(self, lanes: int) -> None:
-        self.first = [f[:lanes] for f in self.first]
-
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(occurrences of smaller ids, of the ids themselves)."""
-        below = np.zeros(len(ids), dtype=np.int64)
-        for flat, first, bits in zip(self.flat, self.first, _LEVELS, strict=True):
-            child = ids >> bits
-            at = (first << 4) + child
-            before = flat.take(at - 1, mode="wrap") * ((child & 15) > 0)
-            below += before
-        return below, flat.take(at).astype(np.int64) - before
-
-    def add(self, ids: np.ndarray) -> None:
-        for words, first, bits in zip(self.words, self.first, _LEVELS, strict=True):
-            at = first + (ids >> bits + 4)
-            words[at] = words.take(at, axis=0) + _FROM.take(ids >> bits & 15, axis=0)
-
-    def search(self, x: np.ndarray) -> np.ndarray:
-        """The id in whose share, prior and occurrences, each x lies."""
-        node = np.zeros(len(x), dtype=np.int64)
-        rest = x.astype(np.int32)
-        lanes = np.arange(len(x)) << 4
-        for words, first, prior in zip(self.words, self.first, _PRIOR_SUMS, strict=True):
-            ends = words.take(first + node, axis=0).view(np.uint16).astype(np.int32)
-            ends *= _STEP
-            ends += prior.take(node, axis=0)
-            child = np.count_nonzero(ends[:, :15] <= rest[:, None], axis=1)
-            rest = rest - np.where(child > 0, ends.ravel().take(lanes + child - 1, mode="wrap"), 0)
-            node = (node << 4) + child
-        return node
 
+_REFRESHES = _refreshes()
 
-class _Model:
-    """What each lane's block predicts next."""
 
-    def __init__(self, lanes: int):
-        self.counts = _Counts(lanes)
-        self.seen = 0
-        self.base1 = np.arange(lanes, dtype=np.int64) << _ONE
-        self.base2 = np.arange(lanes, dtype=np.int64) << _TWO
-        self.base = np.arange(lanes, dtype=np.int64) << 4
-        self.id1, self.id2 = np.full(lanes << _ONE, NONE, dtype=np.uint16), np.full(lanes << _TWO, NONE, dtype=np.uint16)
-        self.sure1, self.sure2 = np.zeros(lanes << _ONE, dtype=np.uint8), np.zeros(lanes << _TWO, dtype=np.uint8)
-        start = (8192 + 2900 * np.arange(16)).astype(np.int32)
-        self.right1, self.right2 = np.tile(start, lanes), np.tile(start, lanes)
-        self.last1 = np.zeros(lanes, dtype=np.int64)
-        self.last2 = np.zeros(lanes, dtype=np.int64)
-
-    def narrow(self, lanes: int) -> None:
-        """Go on with the first lanes only; the others have ended."""
-        self.counts.narrow(lanes)
-        for name in ("base1", "base2", "base", "last1", "last2"):
-            setattr(self, name, getattr(self, name)[:lanes])
+class _Model:
+    """What each part of each block reads next, in numbers of ids.
+
+    A block's ids are numbered as they come, 0 for its first; parts that have the same new id in one step
+    number it twice.  Parts share what their block has learned; how far to trust it is learned in each part.
+    """
+
+    def __init__(self, blocks: int):
+        n = PARTS * blocks
+        self.blocks = blocks
+        self.kinds = np.zeros(n, dtype=np.int64)  # numbers given so far, for each part of a block the same
+        self.units = np.ones(n)  # of order 0, and one
+        self.count = np.zeros((blocks, _WIDE), dtype=np.uint16)
+        # a number's first unit of order 0, shifted by 16, and how many it has; and the number that has each unit
+        self.has, self.slot = np.zeros((blocks, _WIDE), dtype=np.uint32), np.zeros((blocks, _WIDE), dtype=np.uint16)
+        self.count_flat, self.has_flat, self.slot_flat = self.count.ravel(), self.has.ravel(), self.slot.ravel()
+        self.wide = np.tile(np.arange(blocks, dtype=np.int64) * _WIDE, PARTS)
+        # for orders 2 and 1: the number that is expected, shifted by 4, and how sure that is; 0: nothing is known
+        self.table = np.zeros(2 * blocks * _STRIDE, dtype=np.uint16)
+        self.base = np.tile(np.arange(2 * blocks, dtype=np.int64).reshape(2, 1, blocks) * _STRIDE, (1, PARTS, 1)).reshape(2, n)
+        self.right = np.tile(_START, 2 * n)
+        self.base16 = np.arange(2 * n, dtype=np.int64).reshape(2, n) << 4
+        self.new = np.full(n, 60000, dtype=np.uint32)  # share of ids that the block hasn't had, of 1 << 16
+        self.last = np.zeros(n, dtype=np.int64)
+        self.mixed = np.zeros(n, dtype=np.int64)  # hash of the number before the last
+        self.at, self.room = np.empty((2, n), dtype=np.int64), np.empty((2, n), dtype=np.int64)
+        self._fill(0, PARTS * _REFRESHES[0])
+
+    def _fill(self, ids: int, to: int) -> None:
+        """Numbers given after so many ids have a unit each; the one after them stands for a new id."""
+        more = np.arange(to - ids + 1)
+        self.slot[:, ids : to + 1] = self.kinds[: self.blocks, None] + more
+        self.has_flat[(self.wide + self.kinds)[: self.blocks, None] + more] = (ids + more) << 16 | 1
+
+    def refresh(self, columns: np.ndarray, before: int, step: int, to: int) -> None:
+        """Order 0 takes up the numbers in the rows of `columns` from `before` to `step`; the next time is `to`."""
+        ids, kinds = PARTS * step, int(self.kinds.max())
+        np.add.at(self.count_flat, (columns[before:step] + self.wide).ravel(), np.uint16(1))
+        count = self.count[:, :kinds].astype(np.uint32)
+        self.has[:, :kinds] = (np.cumsum(count, axis=1, dtype=np.uint32) - count) << np.uint32(16) | count
+        self.slot[:, :ids] = np.repeat(np.tile(np.arange(kinds, dtype=np.uint16), self.blocks), count.ravel()).reshape(self.blocks, ids)
+        self.units[:] = ids + 1
+        self._fill(ids, PARTS * to)
 
     def predict(self) -> None:
-        """two and one, the ids that orders 2 and 1 predict; share2, share1 and left, the weights, of 1 << _TOTAL."""
-        self.at1 = self.base1 + ((self.last1 * 40503 >> 3) & ((1 << _ONE) - 1))
-        self.at2 = self.base2 + ((self.last1 * 40503 ^ self.last2 * 60493) >> 2 & ((1 << _TWO) - 1))
-        self.two, self.one = self.id2[self.at2].astype(np.int64), self.id1[self.at1].astype(np.int64)
-        self.p2, self.p1 = self.base + self.sure2[self.at2], self.base + self.sure1[self.at1]
-        self.share2 = (self.right2[self.p2].astype(np.int64) << _TOTAL - 16) * (self.two != NONE)
-        rest = (1 << _TOTAL) - self.share2
-        self.share1 = (rest * self.right1[self.p1] >> 16) * (self.one != NONE)
-        self.left = rest - self.share1
-        self.sum0 = int(_PRIOR[-1]) + _STEP * self.seen
-
-    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of the ids' shares by order 0 alone, of `left`."""
-        below, own = self.counts.place(ids)
-        begin = _PRIOR[ids] + _STEP * below
-        return begin * self.left // self.sum0, (_PRIOR[ids + 1] + _STEP * (below + own)) * self.left // self.sum0
-
-    def mixed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the ids' mixed shares."""
-        begin, end = self.order0(ids)
-        first = begin + self.share2 * (self.two < ids) + self.share1 * (self.one < ids)
-        return first, end - begin + self.share2 * (self.two == ids) + self.share1 * (self.one == ids)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids in whose mixed shares the values lie."""
-        agree, swap = self.two == self.one, self.two > self.one
-        a, b = np.where(swap, self.one, self.two), np.where(agree, NONE, np.where(swap, self.two, self.one))
-        of_a = np.where(swap, self.share1, self.share2) + np.where(agree, self.share1, 0)
-        of_b = np.where(agree, 0, np.where(swap, self.share2, self.share1))
-        (a0, a1), (b0, b1) = self.order0(a), self.order0(b)
-        a1, b0, b1 = a1 + of_a, b0 + of_a, b1 + of_a + of_b
-        plain = value - of_a * (value >= a1) - of_b * (value >= b1)
-        x = np.minimum(((plain + 1) * self.sum0 - 1) // self.left, self.sum0 - 1)
-        out = self.counts.search(np.maximum(x, 0))
-        return np.where((value >= a0) & (value < a1), a, np.where((value >= b0) & (value < b1), b, out))
-
-    def update(self, ids: np.ndarray) -> None:
-        for guess, sure, right, table, at, p in ((self.two, self.sure2, self.right2, self.id2, self.at2, self.p2), (self.one, self.sure1, self.right1, self.id1, self.at1, self.p1)):
-            hit = guess == ids
-            have = right[p]
-            right[p] = np.minimum(np.maximum(have + (((hit * 65535) - have) >> 5), 64), _SURE)
-            now = sure[at]
-            table[at] = np.where(hit | (now > 0), guess, ids)
-            sure[at] = np.where(hit, np.minimum(now + 1, 15), now >> 1)
-        self.counts.add(ids)
-        self.seen += 1
-        self.last2, self.last1 = self.last1, ids
-
-
-def _lengths(n: int) -> list[tuple[int, int]]:
-    """(first step, lanes that take part) of the runs in which the number of lanes stays."""
-    lanes, rest = -(-n // BLOCK), n % BLOCK
-    if not rest:
-        return [(0, lanes)] if lanes else []
-    return [(0, lanes), (rest, lanes - 1)]
+        """The numbers that orders 2 and 1 expect and the shares of 1 << _TOTAL: the first has those to `end2`, the second those to `end1`, and the others the rest in units of order 0."""
+        at, base = self.at, self.base
+        mixed = self.mixed
+        mixed ^= self.last * 40503
+        mixed >>= 2
+        mixed &= _MASK
+        np.add(mixed, base[0], out=at[0])
+        np.add(self.last, base[1], out=at[1])
+        self.state = state = self.table.take(at)
+        self.guess = guess = (state >> 4).astype(np.int64)
+        self.p = self.base16 + (state & 15)
+        self.have = have = self.right.take(self.p)
+        share2 = have[0] << _TOTAL - 16
+        rest = (1 << _TOTAL) - share2
+        share1 = rest >> 8
+        share1 *= have[1]
+        share1 >>= 8
+        rest -= share1
+        rest >>= 8
+        rest *= 65536 - self.new
+        rest >>= 8
+        # exact: both are far under 2 ** 53
+        self.unit = unit = (rest / self.units).astype(np.int32).view(np.uint32)
+        has = self.has_flat.take(np.add(guess, self.wide, out=self.room))
+        self.begin = has >> 16
+        has &= 0xFFFF
+        differ = guess[0] != guess[1]
+        has[1] *= differ
+        self.own = has
+        part = has * unit
+        part[0] += share2
+        part[0] += share1
+        share1 *= differ
+        part[0] -= share1
+        part[1] += part[0]
+        part[1] += share1
+        self.end2, self.end1 = part
+
+    def shares(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the numbers' mixed shares."""
+        has = self.has_flat.take(np.minimum(numbers, self.kinds) + self.wide)
+        at = has >> 16
+        has &= 0xFFFF
+        before = self.own * (self.begin < at)
+        at -= before[0]
+        at -= before[1]
+        at *= self.unit
+        at += self.end1
+        has *= self.unit
+        np.subtract(np.uint32(1 << _TOTAL), at, out=has, where=numbers >= self.kinds)
+        hit = self.guess == numbers
+        np.copyto(at, self.end2, where=hit[1])
+        np.subtract(self.end1, self.end2, out=has, where=hit[1])
+        np.copyto(at, 0, where=hit[0])
+        np.copyto(has, self.end2, where=hit[0])
+        return at, has
+
+    def find(self, code: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers in whose mixed shares the codes lie, with begin and size; a new id has its own number."""
+        end2, end1 = self.end2 * span, self.end1 * span
+        is2, other = code < end2, np.flatnonzero(code >= end1)
+        number, first, size = self.guess[1].copy(), self.end2.copy(), self.end1 - self.end2
+        np.copyto(number, self.guess[0], where=is2)
+        np.copyto(first, 0, where=is2)
+        np.copyto(size, self.end2, where=is2)
+        unit, wide, ends = self.unit.take(other), self.wide.take(other), self.end1.view(np.int32).take(other)
+        at = code.take(other)
+        at -= end1.take(other)
+        at //= span.take(other) * unit
+        unit = unit.view(np.int32)
+        a, b = self.begin.view(np.int32).take(other, axis=1)
+        of_a, of_b = self.own.view(np.int32).take(other, axis=1)
+        last = self.units.take(other).astype(np.int32)
+        last -= 1
+        at = np.minimum(np.minimum(at, 1 << _TOTAL).astype(np.int32), last - of_a - of_b)  # damaged codes may lie beyond
+        skip = of_a * (at + of_b * (b < a) >= a)
+        skip += of_b * (at + of_a * (a < b) >= b)
+        at += skip
+        found = self.slot_flat.take(np.maximum(np.minimum(at, last), 0) + wide)
+        has = self.has_flat.view(np.int32).take(found + wide)
+        begin = has >> 16
+        begin -= skip
+        begin *= unit
+        begin += ends
+        has &= 0xFFFF
+        has *= unit
+        new = np.flatnonzero(found == self.kinds.take(other))
+        has[new] = (1 << _TOTAL) - begin[new]
+        number[other], first[other], size[other] = found, begin, has
+        # new ids of one step are numbered by their parts
+        self.fresh = fresh = number >= self.kinds
+        more = np.zeros(self.blocks, dtype=np.int64)
+        for own, part in zip(number.reshape(PARTS, -1), fresh.reshape(PARTS, -1), strict=True):
+            own += more * part
+            more += part
+        return number, first, size
+
+    def update(self, numbers: np.ndarray, fresh: np.ndarray) -> None:
+        """Learn what came, and which of it is new."""
+        hit = self.guess == numbers
+        move = _RIGHT.take(hit.view(np.int8)).view(np.int32)
+        have = self.have.view(np.int32)
+        move -= have
+        move >>= 5
+        move += have
+        self.right[self.p] = move.view(np.uint32)
+        keep = _MOVE.take(self.state)
+        now = (numbers << 4 | 1).astype(np.uint16)
+        np.copyto(keep, self.state + (self.state & 15 != 15), where=hit)
+        replaced = ~hit
+        replaced &= self.state & 15 < 2
+        np.copyto(keep, now, where=replaced)
+        self.table[self.at] = keep
+        step = (fresh * np.int32(_NEWEST) - self.new.view(np.int32)) >> 5
+        step *= ~(hit[0] | hit[1])
+        self.new += step.view(np.uint32)
+        more = np.add.reduce(fresh.reshape(PARTS, -1), axis=0, dtype=np.int64)
+        self.kinds.reshape(PARTS, -1)[:] += more
+        self.units.reshape(PARTS, -1)[:] += more
+        self.mixed = self.last * 60493
+        self.last = numbers
+
+
+class _Writer:
+    """Range coder of each lane, with 64 bits of which 32 leave at once."""
+
+    def __init__(self, lanes: int):
+        self.low, self.span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        self.out, self.at = np.zeros((lanes, 1024), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
+
+    def room(self, words: int) -> None:
+        """There is place for so many words more of each lane."""
+        if (need := int(self.at.max()) + words) > self.out.shape[1]:
+            self.out = np.pad(self.out, ((0, 0), (0, need - self.out.shape[1] + 512)))
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        at = self.at[lanes] - 1
+        while len(lanes):
+            self.out[lanes, at] += np.uint32(1)
+            over = self.out[lanes, at] == 0
+            lanes, at = lanes[over], at[over] - 1
+
+    def put(self, first: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
+        """Code a share of 1 << bits in each of the first lanes."""
+        n = len(first)
+        low, span = self.low[:n], self.span[:n]
+        span >>= bits
+        move = first * span
+        low += move
+        over = np.flatnonzero(low < move)
+        if len(over):
+            self._carry(over)
+        span *= size
+        small = np.flatnonzero(span < _SMALL)
+        if len(small):
+            now = low[small]
+            self.out[small, self.at[small]] = now >> _U32
+            self.at[small] += 1
+            low[small] = now << _U32
+            span[small] <<= _U32
+
+    def order(self, lanes: np.ndarray) -> None:
+        self.low, self.span, self.out, self.at = self.low[lanes], self.span[lanes], self.out[lanes], self.at[lanes]
+
+    def end(self) -> list[bytes]:
+        """The words of each lane; what lies after them doesn't matter."""
+        self.room(1)
+        low = self.low + (_SMALL - np.uint64(1))
+        self._carry(np.flatnonzero(low < self.low))
+        self.out[np.arange(len(low)), self.at] = low >> _U32
+        return [self.out[i, : n + 1].astype("<u4").tobytes() for i, n in enumerate(self.at.tolist())]
+
+
+class _Reader:
+    """What `_Writer` wrote."""
+
+    def __init__(self, blocks: list[bytes]):
+        lanes, width = len(blocks), max(map(len, blocks)) // 4 + 4
+        words = np.zeros((lanes, width), dtype=np.uint32)
+        for i, b in enumerate(blocks):
+            words[i, : len(b) // 4] = np.frombuffer(b, dtype="<u4", count=len(b) // 4)
+        self.words = words.ravel()
+        self.code = words[:, 0].astype(np.uint64) << _U32 | words[:, 1]
+        self.span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        self.at = np.arange(lanes) * width + 2
+        self.last = np.arange(1, lanes + 1) * width - 1  # damaged bytes may run past the end
+
+    def take(self, first: np.ndarray, size: np.ndarray) -> None:
+        """Go on after a share has been found with a span that `shrink` gave."""
+        n = len(first)
+        code, span = self.code[:n], self.span[:n]
+        code -= first * span
+        span *= size
+        small = np.flatnonzero(span < _SMALL)
+        if len(small):
+            at = self.at[small]
+            code[small] = code[small] << _U32 | self.words.take(at)
+            self.at[small] = np.minimum(at + 1, self.last[small])
+            span[small] <<= _U32
+
+    def shrink(self, n: int, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(code, span) of the first n lanes, the span in shares of 1 << bits."""
+        self.span[:n] >>= bits
+        return self.code[:n], self.span[:n]
+
+    def order(self, lanes: np.ndarray) -> None:
+        self.code, self.span, self.at, self.last = self.code[lanes], self.span[lanes], self.at[lanes], self.last[lanes]
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of whole blocks of ids, step by step, the first parts of all blocks before the second; which of them are new)."""
+    blocks = len(ids) // BLOCK
+    numbers, fresh = np.zeros((blocks, BLOCK), dtype=np.uint16), np.zeros((blocks, BLOCK), dtype=bool)
+    place, every = np.zeros(1 << 16, dtype=np.int64), np.arange(BLOCK)
+    step = every // PARTS * PARTS
+    for block, own in enumerate(ids.reshape(blocks, PARTS, STEPS).transpose(0, 2, 1).reshape(blocks, BLOCK)):
+        place[own[::-1]] = every[::-1]  # the first place is written last
+        at = place[own]
+        new = at >= step
+        at[new] = every[new]
+        numbers[block], fresh[block] = (np.cumsum(new) - 1)[at], new
+    return tuple(x.reshape(blocks, STEPS, PARTS).transpose(1, 2, 0).reshape(STEPS, PARTS * blocks) for x in (numbers, fresh))
+
+
+def _order(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parts by falling number of new ids, how many have more than 0, 1, ... of them)."""
+    n = np.count_nonzero(fresh, axis=0)
+    order = np.argsort(-n, kind="stable")
+    return order, np.searchsorted(-n[order], -np.arange(int(n.max())), side="left")
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return []
-    padded = np.zeros(lanes * BLOCK, dtype=np.uint16)
+    """The ids in coded blocks of BLOCK, the last one perhaps shorter."""
+    return [b for k in range(0, len(ids), GROUP * BLOCK) for b in _encode(ids[k : k + GROUP * BLOCK])]
+
+
+def _encode(ids: np.ndarray) -> list[bytes]:
+    blocks = -(-len(ids) // BLOCK)
+    padded = np.full(blocks * BLOCK, ids[-1], dtype=np.uint16)
     padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    out = np.zeros((lanes, 2 * BLOCK + 64), dtype=np.uint16)
-    at = np.zeros(lanes, dtype=np.int64)
-    runs = _lengths(len(ids))
-    for k, (begin, active) in enumerate(runs):
-        end = runs[k + 1][0] if k + 1 < len(runs) else BLOCK
-        model.narrow(active)
-        lo, sp, pos = low[:active].copy(), span[:active].copy(), at[:active].copy()
-        for step in range(begin, end if active else begin):
-            now = columns[step, :active].astype(np.int64)
+    columns, fresh = _numbered(padded)
+    model, coder, before = _Model(blocks), _Writer(PARTS * blocks), 0
+    for step, to in zip([0, *_REFRESHES[:-1]], _REFRESHES, strict=True):
+        if step:
+            model.refresh(columns, before, step, to)
+        coder.room(to - step)
+        for numbers, new in zip(columns[step:to].astype(np.int64), fresh[step:to], strict=True):
             model.predict()
-            first, size = model.mixed(now)
-            sp >>= np.uint64(_TOTAL)
-            lo += first.astype(np.uint64) * sp
-            sp *= size.astype(np.uint64)
-            while True:
-                same = ((lo ^ (lo + sp)) >> _U48) == 0
-                move = np.flatnonzero(same | (sp < _BOTTOM))
-                if not len(move):
-                    break
-                a, b = lo[move], sp[move]
-                b = np.where(same[move], b, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-                if int(pos.max()) >= out.shape[1] - 8:
-                    out = np.pad(out, ((0, 0), (0, BLOCK)))
-                out[move, pos[move]] = (a >> _U48).astype(np.uint16)
-                pos[move] += 1
-                lo[move], sp[move] = a << _U16, b << _U16
-            model.update(now)
-        low[:active], span[:active], at[:active] = lo, sp, pos
-    for shift in (48, 32, 16, 0):
-        out[np.arange(lanes), at] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-        at += 1
-    return [out[i, : at[i]].astype("<u2").tobytes() for i in range(lanes)]
+            coder.put(*model.shares(numbers), _TOTAL_BITS)
+            model.update(numbers, new)
+        before = step
+    order, left = _order(fresh)
+    coder.order(order)
+    # the new ids of each part, in turn
+    each = padded.reshape(blocks, PARTS, STEPS).transpose(1, 0, 2).reshape(-1, STEPS)[fresh.T]
+    size = np.count_nonzero(fresh, axis=0)
+    first = (np.cumsum(size) - size)[order]
+    coder.room(len(left))
+    for k, n in enumerate(left.tolist()):
+        now = each[first[:n] + k].astype(np.int64)
+        begin = _PRIOR.take(now)
+        coder.put(begin, _PRIOR.take(now + 1) - begin, _NEW_BITS)
+    streams = coder.end()
+    of = np.argsort(order).reshape(PARTS, blocks).T.tolist()
+    return [struct.pack(f"<{PARTS}H", *(len(streams[k]) // 4 for k in own)) + b"".join(streams[k] for k in own) for own in of]
+
+
+def _streams(block: bytes) -> list[bytes]:
+    """The coded parts of a block."""
+    ends = 2 * PARTS + 4 * np.cumsum([0, *struct.unpack_from(f"<{PARTS}H", block)])
+    return [block[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
     """The n ids of some blocks; all are of BLOCK ids but for the last."""
-    lanes = len(blocks)
-    if not lanes:
-        return np.zeros(0, dtype=np.int64)
-    words = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), dtype=np.uint64)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2", count=len(b) // 2)
-    model = _Model(lanes)
-    low, span, at = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.full(lanes, 4)
-    code = np.zeros(lanes, dtype=np.uint64)
-    for k in range(4):
-        code = (code << _U16) | words[:, k]
-    columns = np.zeros((BLOCK, lanes), dtype=np.uint16)
-    last = words.shape[1] - 1
-    runs = _lengths(n)
-    for k, (begin, active) in enumerate(runs):
-        end = runs[k + 1][0] if k + 1 < len(runs) else BLOCK
-        model.narrow(active)
-        low, span, at, code = low[:active], span[:active], at[:active], code[:active]
-        for step in range(begin, end if active else begin):
+    groups = [_decode(blocks[k : k + GROUP], min(n - k * BLOCK, GROUP * BLOCK)) for k in range(0, len(blocks), GROUP)]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *groups])
+
+
+def _decode(blocks: list[bytes], n: int) -> np.ndarray:
+    model, coder, before = _Model(len(blocks)), _Reader([s for part in zip(*map(_streams, blocks), strict=True) for s in part]), 0
+    columns, fresh = np.zeros((STEPS, PARTS * len(blocks)), dtype=np.uint16), np.zeros((STEPS, PARTS * len(blocks)), dtype=bool)
+    for step, to in zip([0, *_REFRESHES[:-1]], _REFRESHES, strict=True):
+        if step:
+            model.refresh(columns, before, step, to)
+        for now in range(step, to):
             model.predict()
-            span >>= np.uint64(_TOTAL)
-            value = np.minimum((code - low) // np.maximum(span, np.uint64(1)), np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
-            now = np.minimum(model.find(value), NONE - 1)
-            first, size = model.mixed(now)
-            low += first.astype(np.uint64) * span
-            span *= size.astype(np.uint64)
-            while True:
-                same = ((low ^ (low + span)) >> _U48) == 0
-                move = np.flatnonzero((same | (span < _BOTTOM)) & (at < last))  # damaged bytes may run past the end
-                if not len(move):
-                    break
-                a, b = low[move], span[move]
-                b = np.where(same[move], b, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-                code[move] = (code[move] << _U16) | words[move, at[move]]
-                at[move] += 1
-                low[move], span[move] = a << _U16, b << _U16
-            columns[step, :active] = now
-            model.update(now)
-    return columns.T.reshape(-1)[:n].astype(np.int64)
+            numbers, first, size = model.find(*coder.shrink(len(model.last), _TOTAL_BITS))
+            coder.take(first, size)
+            columns[now], fresh[now] = numbers, model.fresh
+            model.update(numbers, model.fresh)
+        before = step
+    order, left = _order(fresh)
+    coder.order(order)
+    new = np.zeros((len(order), len(left)), dtype=np.uint16)
+    for k, active in enumerate(left.tolist()):
+        code, span = coder.shrink(active, _NEW_BITS)
+        new[order[:active], k] = found = _PRIOR_ID.take(np.minimum(code // span, np.uint64((1 << _NEW) - 1)).view(np.int64))
+        first = _PRIOR.take(found)
+        coder.take(first, _PRIOR.take(found + np.int64(1)) - first)
+    ids = np.zeros((STEPS, PARTS * len(blocks)), dtype=np.uint16)
+    ids.T[fresh.T] = new[np.arange(len(left)) < np.count_nonzero(fresh, axis=0)[:, None]]
+    by_number = np.zeros((len(blocks), BLOCK), dtype=np.uint16)
+    block = np.tile(np.arange(len(blocks)), PARTS)
+    at = np.broadcast_to(block, fresh.shape)
+    by_number[at[fresh], columns[fresh]] = ids[fresh]
+    ids = by_number.ravel().take(columns + block * BLOCK)
+    ids = ids.reshape(STEPS, PARTS, -1).transpose(2, 1, 0).ravel()
+    if (ids[n:] != ids[n - 1]).any():
+        raise ValueError("the last block is damaged")
+    return ids[:n].astype(np.int64)
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:
