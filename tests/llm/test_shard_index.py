@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from tabwarden.llm import bm25
 
@@ -41,3 +42,34 @@ def test_pieces_make_the_same_index(monkeypatch):
         assert sorted(pieces.ids[pieces.doc[pieces.bounds[k] : pieces.bounds[k + 1]]]) == sorted(docs[terms == term])
     norm = bm25.K1 * (1 - bm25.B + bm25.B * np.repeat(lengths, sizes) / 250.0)
     assert np.allclose(np.sort(whole.part), np.sort(times * (bm25.K1 + 1) / (times + norm)))
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 512])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_batches_find_the_best_and_skip_blocks(monkeypatch, frequent, repeated):
+    monkeypatch.setattr(bm25, "BLOCK", 8)
+    monkeypatch.setattr(bm25, "PROBE", 3)
+    monkeypatch.setattr(bm25, "FREQUENT", frequent)
+    rng = np.random.default_rng(3)
+    # two languages with one term in common; some documents have copies
+    docs = [np.unique(np.append(rng.zipf(1.3, 40) % 300 + 1 + 1000 * (k % 2), 0)).astype(np.uint64) for k in range(600)]
+    docs[100:130] = [docs[5]] * 30
+    ids = np.arange(600) // 2 if repeated else rng.permutation(600)
+    sizes, flat = np.array([len(d) for d in docs]), np.concatenate(docs)
+    times = rng.integers(1, 9, len(flat)).astype(np.int32)
+    index = bm25.ShardIndex([(ids, sizes * 3, sizes, flat, times)], 60.0)
+    terms, df = np.unique(flat, return_counts=True)
+    idf = np.log(1 + (600 - df + 0.5) / (df + 0.5))
+    part = times * (bm25.K1 + 1) / (times + bm25.K1 * (1 - bm25.B + bm25.B * np.repeat(sizes * 3, sizes) / 60.0))
+    asked = [*docs[:70], np.array([5000], dtype=np.uint64), docs[599]]
+    weights = [idf[np.minimum(np.searchsorted(terms, q), len(terms) - 1)] for q in asked]
+    n, found, scores = index.block_max_wand(np.concatenate(asked), np.array([len(q) for q in asked]), np.concatenate(weights), 10)
+    ends = np.cumsum(n)
+    for q, e, m in zip(asked, ends.tolist(), n.tolist(), strict=True):
+        own = np.where(np.isin(flat, q), part * idf[np.searchsorted(terms, flat)], 0)
+        best: dict[int, float] = {}
+        for i, s in zip(ids.tolist(), np.add.reduceat(own, np.cumsum(sizes) - sizes).tolist(), strict=True):
+            best[i] = max(best.get(i, 0.0), s)
+        expected = sorted(((-round(s, 9), i) for i, s in best.items() if s > 0))[:10]
+        assert [(-round(s, 9), i) for i, s in zip(found[e - m : e].tolist(), scores[e - m : e].tolist(), strict=True)] == expected
+    assert index.skipped > (len(asked) * index.blocks // 4 if frequent == 512 else 0)  # the other language's
