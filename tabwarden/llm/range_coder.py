@@ -46,8 +46,7 @@ _MASK, _STRIDE, _WIDE = 4095, 4128, 4136
 _SURE, _NEWEST = 53000, 61440
 #: How right predictions of each confidence are at first, and how a confidence moves when one fails or comes true.
 _START = np.append(64, 8192 + 2900 * np.arange(1, 16)).astype(np.uint32)
-_RIGHT = np.array([64, _SURE], dtype=np.uint32)
-_MOVE = ((np.arange(1 << 16) & ~15) + ((np.arange(1 << 16) & 15) >> 1)).astype(np.uint16)  # a confidence that failed
+_RIGHT = np.array([64, _SURE], dtype=np.int32)
 
 
 def _prior() -> np.ndarray:
@@ -80,14 +79,16 @@ class _Model:
     number it twice.  Parts share what their block has learned; how far to trust it is learned in each part.
     """
 
-    def __init__(self, blocks: int):
+    def __init__(self, blocks: int, reads: bool):
+        """reads: numbers are looked up by their units."""
         n = PARTS * blocks
+        self.reads = reads
         self.blocks = blocks
         self.kinds = np.zeros(n, dtype=np.int64)  # numbers given so far, for each part of a block the same
         self.units = np.ones(n)  # of order 0, and one
         self.count = np.zeros((blocks, _WIDE), dtype=np.uint16)
         # a number's first unit of order 0, shifted by 16, and how many it has; and the number that has each unit
-        self.has, self.slot = np.zeros((blocks, _WIDE), dtype=np.uint32), np.zeros((blocks, _WIDE), dtype=np.uint16)
+        self.has, self.slot = np.zeros((blocks, _WIDE), dtype=np.uint32), np.zeros((blocks if reads else 0, _WIDE), dtype=np.uint16)
         self.count_flat, self.has_flat, self.slot_flat = self.count.ravel(), self.has.ravel(), self.slot.ravel()
         self.wide = np.tile(np.arange(blocks, dtype=np.int64) * _WIDE, PARTS)
         # for orders 2 and 1: the number that is expected, shifted by 4, and how sure that is; 0: nothing is known
@@ -104,7 +105,8 @@ class _Model:
     def _fill(self, ids: int, to: int) -> None:
         """Numbers given after so many ids have a unit each; the one after them stands for a new id."""
         more = np.arange(to - ids + 1)
-        self.slot[:, ids : to + 1] = self.kinds[: self.blocks, None] + more
+        if self.reads:
+            self.slot[:, ids : to + 1] = self.kinds[: self.blocks, None] + more
         self.has_flat[(self.wide + self.kinds)[: self.blocks, None] + more] = (ids + more) << 16 | 1
 
     def refresh(self, columns: np.ndarray, before: int, step: int, to: int) -> None:
@@ -113,7 +115,8 @@ class _Model:
         np.add.at(self.count_flat, (columns[before:step] + self.wide).ravel(), np.uint16(1))
         count = self.count[:, :kinds].astype(np.uint32)
         self.has[:, :kinds] = (np.cumsum(count, axis=1, dtype=np.uint32) - count) << np.uint32(16) | count
-        self.slot[:, :ids] = np.repeat(np.tile(np.arange(kinds, dtype=np.uint16), self.blocks), count.ravel()).reshape(self.blocks, ids)
+        if self.reads:
+            self.slot[:, :ids] = np.repeat(np.tile(np.arange(kinds, dtype=np.uint16), self.blocks), count.ravel()).reshape(self.blocks, ids)
         self.units[:] = ids + 1
         self._fill(ids, PARTS * to)
 
@@ -167,22 +170,17 @@ class _Model:
         at *= self.unit
         at += self.end1
         has *= self.unit
-        np.subtract(np.uint32(1 << _TOTAL), at, out=has, where=numbers >= self.kinds)
+        has = np.where(numbers >= self.kinds, np.uint32(1 << _TOTAL) - at, has)
         hit = self.guess == numbers
-        np.copyto(at, self.end2, where=hit[1])
-        np.subtract(self.end1, self.end2, out=has, where=hit[1])
-        np.copyto(at, 0, where=hit[0])
-        np.copyto(has, self.end2, where=hit[0])
-        return at, has
+        at = np.where(hit[1], self.end2, at)
+        at *= ~hit[0]
+        return at, np.where(hit[0], self.end2, np.where(hit[1], self.end1 - self.end2, has))
 
     def find(self, code: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers in whose mixed shares the codes lie, with begin and size; a new id has its own number."""
         end2, end1 = self.end2 * span, self.end1 * span
         is2, other = code < end2, np.flatnonzero(code >= end1)
-        number, first, size = self.guess[1].copy(), self.end2.copy(), self.end1 - self.end2
-        np.copyto(number, self.guess[0], where=is2)
-        np.copyto(first, 0, where=is2)
-        np.copyto(size, self.end2, where=is2)
+        number, first, size = np.where(is2, self.guess[0], self.guess[1]), self.end2 * ~is2, np.where(is2, self.end2, self.end1 - self.end2)
         unit, wide, ends = self.unit.take(other), self.wide.take(other), self.end1.view(np.int32).take(other)
         at = code.take(other)
         at -= end1.take(other)
@@ -218,19 +216,16 @@ class _Model:
     def update(self, numbers: np.ndarray, fresh: np.ndarray) -> None:
         """Learn what came, and which of it is new."""
         hit = self.guess == numbers
-        move = _RIGHT.take(hit.view(np.int8)).view(np.int32)
         have = self.have.view(np.int32)
+        move = np.where(hit, _RIGHT[1], _RIGHT[0])
         move -= have
         move >>= 5
         move += have
         self.right[self.p] = move.view(np.uint32)
-        keep = _MOVE.take(self.state)
+        sure = self.state & 15
         now = (numbers << 4 | 1).astype(np.uint16)
-        np.copyto(keep, self.state + (self.state & 15 != 15), where=hit)
-        replaced = ~hit
-        replaced &= self.state & 15 < 2
-        np.copyto(keep, now, where=replaced)
-        self.table[self.at] = keep
+        failed = np.where(sure < 2, now, self.state - (sure + 1 >> 1))
+        self.table[self.at] = np.where(hit, self.state + (sure != 15), failed)
         step = (fresh * np.int32(_NEWEST) - self.new.view(np.int32)) >> 5
         step *= ~(hit[0] | hit[1])
         self.new += step.view(np.uint32)
@@ -246,19 +241,26 @@ class _Writer:
 
     def __init__(self, lanes: int):
         self.low, self.span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        self.out, self.at = np.zeros((lanes, 1024), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
+        # an odd number of words, as lanes would else meet in the processor's cache
+        self.out = np.zeros((lanes, STEPS + 65), dtype=np.uint32)
+        self.flat, self.begin = self.out.ravel(), np.arange(lanes) * self.out.shape[1]
+        self.at = self.begin.copy()
 
     def room(self, words: int) -> None:
         """There is place for so many words more of each lane."""
-        if (need := int(self.at.max()) + words) > self.out.shape[1]:
-            self.out = np.pad(self.out, ((0, 0), (0, need - self.out.shape[1] + 512)))
+        width = self.out.shape[1]
+        if (need := int((self.at - self.begin).max()) + words) > width:
+            self.out = np.pad(self.out, ((0, 0), (0, (need + 64 | 1) - width)))
+            self.flat, lanes = self.out.ravel(), self.begin // width
+            self.at += lanes * (self.out.shape[1] - width)
+            self.begin = lanes * self.out.shape[1]
 
     def _carry(self, lanes: np.ndarray) -> None:
         at = self.at[lanes] - 1
-        while len(lanes):
-            self.out[lanes, at] += np.uint32(1)
-            over = self.out[lanes, at] == 0
-            lanes, at = lanes[over], at[over] - 1
+        while len(at):
+            more = self.flat[at] + np.uint32(1)
+            self.flat[at] = more
+            at = at[more == 0] - 1
 
     def put(self, first: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         """Code a share of 1 << bits in each of the first lanes."""
@@ -274,21 +276,23 @@ class _Writer:
         small = np.flatnonzero(span < _SMALL)
         if len(small):
             now = low[small]
-            self.out[small, self.at[small]] = now >> _U32
-            self.at[small] += 1
+            at = self.at[small]
+            self.flat[at] = now >> _U32
+            self.at[small] = at + 1
             low[small] = now << _U32
             span[small] <<= _U32
 
     def order(self, lanes: np.ndarray) -> None:
-        self.low, self.span, self.out, self.at = self.low[lanes], self.span[lanes], self.out[lanes], self.at[lanes]
+        self.low, self.span, self.begin, self.at = self.low[lanes], self.span[lanes], self.begin[lanes], self.at[lanes]
 
     def end(self) -> list[bytes]:
         """The words of each lane; what lies after them doesn't matter."""
         self.room(1)
         low = self.low + (_SMALL - np.uint64(1))
         self._carry(np.flatnonzero(low < self.low))
-        self.out[np.arange(len(low)), self.at] = low >> _U32
-        return [self.out[i, : n + 1].astype("<u4").tobytes() for i, n in enumerate(self.at.tolist())]
+        self.flat[self.at] = low >> _U32
+        data = self.flat.astype("<u4", copy=False).view(np.uint8).data
+        return [bytes(data[4 * a : 4 * b + 4]) for a, b in zip(self.begin.tolist(), self.at.tolist(), strict=True)]
 
 
 class _Reader:
@@ -359,7 +363,7 @@ def _encode(ids: np.ndarray) -> list[bytes]:
     padded = np.full(blocks * BLOCK, ids[-1], dtype=np.uint16)
     padded[: len(ids)] = ids
     columns, fresh = _numbered(padded)
-    model, coder, before = _Model(blocks), _Writer(PARTS * blocks), 0
+    model, coder, before = _Model(blocks, reads=False), _Writer(PARTS * blocks), 0
     for step, to in zip([0, *_REFRESHES[:-1]], _REFRESHES, strict=True):
         if step:
             model.refresh(columns, before, step, to)
@@ -398,7 +402,7 @@ def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
 
 
 def _decode(blocks: list[bytes], n: int) -> np.ndarray:
-    model, coder, before = _Model(len(blocks)), _Reader([s for part in zip(*map(_streams, blocks), strict=True) for s in part]), 0
+    model, coder, before = _Model(len(blocks), reads=True), _Reader([s for part in zip(*map(_streams, blocks), strict=True) for s in part]), 0
     columns, fresh = np.zeros((STEPS, PARTS * len(blocks)), dtype=np.uint16), np.zeros((STEPS, PARTS * len(blocks)), dtype=bool)
     for step, to in zip([0, *_REFRESHES[:-1]], _REFRESHES, strict=True):
         if step:

@@ -17,7 +17,7 @@ are ordered by text.  An empty table gives an empty table of files.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -35,13 +35,18 @@ from tabwarden.llm.tables import written
 FILE_IDS = 4 << 20
 #: Texts and bytes that are cut into words at once, at most, but for a single longer text.
 TEXTS, BYTES = 256, 1 << 19
-#: Words whose ids a worker keeps, about; 40 bytes each.
-CACHE = 1_000_000
+#: Words whose ids a worker keeps, about; 30 bytes each.
+CACHE = 2_000_000
+#: Words that are learned before they join the others.
+LATE = 1 << 15
+#: Bits of a word's hash by which it is looked up first.
+NEAR = 17
 
 # Fixed value: the pattern by which the byte-level vocabulary cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # outside these characters, libraries may differ on what a letter or a blank is
-_PLAIN = regex.compile(r"[\x00-\x1B\x20-\x7E¡-ɏ]*")
+_PLAIN = np.zeros(0x251, dtype=bool)  # the last one stands for all beyond
+_PLAIN[[*range(0x1C), *range(0x20, 0x7F), *range(0xA1, 0x250)]] = True
 _BLANK, _LETTER, _NUMBER, _OTHER = range(4)
 _CLASS = np.array([_BLANK if regex.match(r"\s", c) else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _OTHER for c in map(chr, range(0x250))], dtype=np.uint8)
 _CODE = bytetext.mix(np.arange(1, 0x251, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -82,6 +87,22 @@ def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """The characters of all texts in a row."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    """`x`, made longer by a quarter or more where it has less than n entries."""
+    return x if len(x) >= n else np.append(x, np.zeros(max(n - len(x), len(x) // 4), dtype=x.dtype))
+
+
+def _merged(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`table` with other sorted hashes and their rows."""
+    at = np.searchsorted(table[0], hashes)
+    return np.insert(table[0], at, hashes), np.insert(table[1], at, rows)
+
+
 class WordTokenizer:
     """ids of whole texts by the tokenizers library, with a bounded table of words."""
 
@@ -101,32 +122,61 @@ class WordTokenizer:
         self._empty()
 
     def _empty(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)  # sorted hashes
-        self.row = np.zeros(0, dtype=np.int64)
-        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        # (sorted hashes, row of each): words learned lately are apart, so that the large table is seldom made anew
+        self.known, self.late = ((np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)) for _ in range(2))
+        # of the rows so far: where each begins in the ids, with the end after the last; both have room for more
+        self.rows, self.start = 0, np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint16)
+        # a word of each value of its hash's first bits, to be looked at before the others
+        self.near, self.near_row = np.zeros(1 << NEAR, dtype=np.uint64), np.full(1 << NEAR, -1, dtype=np.int64)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, len(self.start) + np.arange(len(words)))
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint16, count=int(size.sum())))
+        ends = self.start[self.rows] + np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        first, rows = int(self.start[self.rows]), self.rows + len(ids)
+        self.start, self.flat = _with_room(self.start, rows + 1), _with_room(self.flat, int(ends[-1]))
+        self.start[self.rows + 1 : rows + 1] = ends
+        self.flat[first : ends[-1]] = np.fromiter(chain.from_iterable(ids), dtype=np.uint16, count=int(ends[-1]) - first)
+        self.late = _merged(self.late, hashes, np.arange(self.rows, rows))
+        self.rows = rows
+        if len(self.late[0]) > LATE:
+            self.known, self.late = _merged(self.known, *self.late), tuple(x[:0] for x in self.late)
 
     def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of each known hash, whether it is known)."""
-        if not len(self.known):
-            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return self.row[at], self.known[at] == hashes
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = "".join(texts)
-        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        row, have = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        for known, rows in (self.known, self.late):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                here = known[at] == hashes
+                row[here] = rows[at[here]]
+                have |= here
+        return row, have
+
+    def _rows(self, hashes: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
+        """The row of each word in the table; word: its characters, by its place."""
+        if self.rows > CACHE:
+            self._empty()
+        slot = (hashes >> np.uint64(64 - NEAR)).astype(np.int64)
+        row = self.near_row[slot]
+        far = np.flatnonzero((self.near[slot] != hashes) | (row < 0))
+        if len(far):
+            kinds, sample, at = np.unique(hashes[far], return_index=True, return_inverse=True)
+            own, have = self._lookup(kinds)
+            new = np.flatnonzero(~have)
+            if len(new):
+                self._learn(kinds[new], [word(k) for k in far[sample[new]].tolist()])
+                own, _ = self._lookup(kinds)
+            row[far] = own[at]
+            to = slot[far[sample]]
+            self.near_row[to] = own
+            self.near[to] = kinds
+        return row
+
+    def _plain(self, texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
             return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        joined = "".join(texts)
         lengths = np.array([len(t) for t in texts])
         first = np.cumsum(lengths) - lengths
         begin = word_starts(codes, first)
@@ -135,16 +185,8 @@ class WordTokenizer:
         total = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum(_CODE[codes] * power, out=total[1:])
         hashes = bytetext.mix((total[end] - total[begin]) * bytetext._power("inverse", _INVERSE, len(codes))[begin] + (end - begin).astype(np.uint64))
-        kinds, sample, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self._empty()
-        row, have = self._lookup(kinds)
-        new = np.flatnonzero(~have)
-        if len(new):
-            self._learn(kinds[new], [joined[begin[k] : end[k]] for k in sample[new].tolist()])
-            row, _ = self._lookup(kinds)
-        row = row[at]
-        size = self.size[row]
+        row = self._rows(hashes, lambda k: joined[begin[k] : end[k]])
+        size = self.start[row + 1] - self.start[row]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[row] - (ends - size), size) + np.arange(ends[-1])].astype(np.int64)
         of_words = np.append(0, ends)[np.searchsorted(begin, np.append(first, len(codes)))]
@@ -152,9 +194,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        plain = [self.by_words and _PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        ids, counts = self._plain([t for t, p in zip(texts, plain, strict=True) if p])
-        if all(plain):
+        codes = _codes(texts)
+        plain = np.full(len(texts), self.by_words)
+        ends = np.cumsum([len(t) for t in texts])
+        plain[np.searchsorted(ends, np.flatnonzero(~_PLAIN[np.minimum(codes, 0x250)]), side="right")] = False
+        if any(s in t for s in self.special for t in texts):
+            plain &= [not any(s in t for s in self.special) for t in texts]
+        if not plain.all():
+            codes = _codes([t for t, p in zip(texts, plain, strict=True) if p])
+        ids, counts = self._plain([t for t, p in zip(texts, plain, strict=True) if p], codes)
+        if plain.all():
             return ids, counts
         own = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else ())
         parts = [next(own) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int64) for t, p in zip(texts, plain, strict=True)]
