@@ -11,7 +11,8 @@ mixed share.  The ids themselves follow in the order of their numbers, by a fixe
 the id.
 
 A block is read in PARTS parts beside each other, which learn from one another.  Many blocks advance
-together, one id of each part at a time, as numpy vectors.
+together, one id of each part at a time, as numpy vectors in which the parts of a block stand side by side,
+since they read the same tables.
 
 Order 0 takes up the counts from time to time, when a block has grown by a quarter; ids that are new
 since then count once.  So its shares are read from a table with a place for each id of the block so far.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 4096
-#: Parts of a block that are coded beside each other, and the ids of each.
+#: Parts of a block that are coded beside each other, a multiple of 8, and the ids of each.
 PARTS = 8
 STEPS = BLOCK // PARTS
 #: Blocks that advance together, at most.
@@ -45,8 +46,10 @@ _MASK, _STRIDE, _WIDE = 4095, 4128, 4136
 #: The highest weight of a prediction, and of an id that is new.  Every unit of order 0 keeps a share.
 _SURE, _NEWEST = 53000, 61440
 #: How right predictions of each confidence are at first, and how a confidence moves when one fails or comes true.
-_START = np.append(64, 8192 + 2900 * np.arange(1, 16)).astype(np.uint32)
-_RIGHT = np.array([64, _SURE], dtype=np.int32)
+_START = np.append(64, 8192 + 2900 * np.arange(1, 16)).astype(np.uint16)
+_WRONG = 64
+#: A multiple by this has in byte k the sum of bytes 0 to k.
+_SUMS = np.uint64(0x0101010101010101)
 
 
 def _prior() -> np.ndarray:
@@ -72,6 +75,27 @@ def _refreshes() -> list[int]:
 _REFRESHES = _refreshes()
 
 
+def _mask(where: np.ndarray, kind: type) -> np.ndarray:
+    """All bits where it holds, none elsewhere."""
+    return np.negative(where.astype(kind))
+
+
+def _either(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`x` where the mask has all bits, `y` where it has none."""
+    out = x ^ y
+    out &= mask
+    out ^= y
+    return out
+
+
+def _upto(flags: np.ndarray) -> np.ndarray:
+    """How many flags each block has up to each of its PARTS lanes, its own included."""
+    sums = (flags.view("<u8") * _SUMS).reshape(-1, PARTS // 8)
+    for k in range(1, PARTS // 8):
+        sums[:, k] += (sums[:, k - 1] >> 56) * _SUMS
+    return sums.astype("<u8", copy=False).view(np.uint8).ravel()
+
+
 class _Model:
     """What each part of each block reads next, in numbers of ids.
 
@@ -84,21 +108,21 @@ class _Model:
         n = PARTS * blocks
         self.reads = reads
         self.blocks = blocks
-        self.kinds = np.zeros(n, dtype=np.int64)  # numbers given so far, for each part of a block the same
+        self.kinds = np.zeros(n, dtype=np.uint16)  # numbers given so far, for each part of a block the same
         self.units = np.ones(n)  # of order 0, and one
         self.count = np.zeros((blocks, _WIDE), dtype=np.uint16)
         # a number's first unit of order 0, shifted by 16, and how many it has; and the number that has each unit
         self.has, self.slot = np.zeros((blocks, _WIDE), dtype=np.uint32), np.zeros((blocks if reads else 0, _WIDE), dtype=np.uint16)
         self.count_flat, self.has_flat, self.slot_flat = self.count.ravel(), self.has.ravel(), self.slot.ravel()
-        self.wide = np.tile(np.arange(blocks, dtype=np.int64) * _WIDE, PARTS)
+        self.wide = np.repeat(np.arange(blocks, dtype=np.int64) * _WIDE, PARTS)
         # for orders 2 and 1: the number that is expected, shifted by 4, and how sure that is; 0: nothing is known
         self.table = np.zeros(2 * blocks * _STRIDE, dtype=np.uint16)
-        self.base = np.tile(np.arange(2 * blocks, dtype=np.int64).reshape(2, 1, blocks) * _STRIDE, (1, PARTS, 1)).reshape(2, n)
+        self.base = np.repeat(np.arange(2 * blocks, dtype=np.int64) * _STRIDE, PARTS).reshape(2, n)
         self.right = np.tile(_START, 2 * n)
         self.base16 = np.arange(2 * n, dtype=np.int64).reshape(2, n) << 4
-        self.new = np.full(n, 60000, dtype=np.uint32)  # share of ids that the block hasn't had, of 1 << 16
-        self.last = np.zeros(n, dtype=np.int64)
-        self.mixed = np.zeros(n, dtype=np.int64)  # hash of the number before the last
+        self.new = np.full(n, 60000, dtype=np.int32)  # share of ids that the block hasn't had, of 1 << 16
+        self.last = np.zeros(n, dtype=np.uint16)
+        self.mixed = np.zeros(n, dtype=np.uint16)  # hash of the number before the last
         self.at, self.room = np.empty((2, n), dtype=np.int64), np.empty((2, n), dtype=np.int64)
         self._fill(0, PARTS * _REFRESHES[0])
 
@@ -106,8 +130,8 @@ class _Model:
         """Numbers given after so many ids have a unit each; the one after them stands for a new id."""
         more = np.arange(to - ids + 1)
         if self.reads:
-            self.slot[:, ids : to + 1] = self.kinds[: self.blocks, None] + more
-        self.has_flat[(self.wide + self.kinds)[: self.blocks, None] + more] = (ids + more) << 16 | 1
+            self.slot[:, ids : to + 1] = self.kinds[::PARTS, None] + more
+        self.has_flat[(self.wide + self.kinds)[::PARTS, None] + more] = (ids + more) << 16 | 1
 
     def refresh(self, columns: np.ndarray, before: int, step: int, to: int) -> None:
         """Order 0 takes up the numbers in the rows of `columns` from `before` to `step`; the next time is `to`."""
@@ -124,15 +148,16 @@ class _Model:
         """The numbers that orders 2 and 1 expect and the shares of 1 << _TOTAL: the first has those to `end2`, the second those to `end1`, and the others the rest in units of order 0."""
         at, base = self.at, self.base
         mixed = self.mixed
-        mixed ^= self.last * 40503
+        mixed ^= self.last * np.uint16(40503)
         mixed >>= 2
         mixed &= _MASK
         np.add(mixed, base[0], out=at[0])
         np.add(self.last, base[1], out=at[1])
         self.state = state = self.table.take(at)
-        self.guess = guess = (state >> 4).astype(np.int64)
-        self.p = self.base16 + (state & 15)
-        self.have = have = self.right.take(self.p)
+        self.guess = guess = state >> 4
+        self.sure = state & 15
+        self.p = self.base16 + self.sure
+        self.have = have = self.right.take(self.p).astype(np.uint32)
         share2 = have[0] << _TOTAL - 16
         rest = (1 << _TOTAL) - share2
         share1 = rest >> 8
@@ -140,20 +165,20 @@ class _Model:
         share1 >>= 8
         rest -= share1
         rest >>= 8
-        rest *= 65536 - self.new
+        rest *= 65536 - self.new.view(np.uint32)
         rest >>= 8
         # exact: both are far under 2 ** 53
         self.unit = unit = (rest / self.units).astype(np.int32).view(np.uint32)
         has = self.has_flat.take(np.add(guess, self.wide, out=self.room))
         self.begin = has >> 16
         has &= 0xFFFF
-        differ = guess[0] != guess[1]
-        has[1] *= differ
+        differ = _mask(guess[0] != guess[1], np.uint32)
+        has[1] &= differ
         self.own = has
         part = has * unit
         part[0] += share2
         part[0] += share1
-        share1 *= differ
+        share1 &= differ
         part[0] -= share1
         part[1] += part[0]
         part[1] += share1
@@ -164,75 +189,87 @@ class _Model:
         has = self.has_flat.take(np.minimum(numbers, self.kinds) + self.wide)
         at = has >> 16
         has &= 0xFFFF
-        before = self.own * (self.begin < at)
+        before = _mask(self.begin < at, np.uint32)
+        before &= self.own
         at -= before[0]
         at -= before[1]
         at *= self.unit
         at += self.end1
         has *= self.unit
-        has = np.where(numbers >= self.kinds, np.uint32(1 << _TOTAL) - at, has)
-        hit = self.guess == numbers
-        at = np.where(hit[1], self.end2, at)
-        at *= ~hit[0]
-        return at, np.where(hit[0], self.end2, np.where(hit[1], self.end1 - self.end2, has))
+        has = _either(_mask(numbers >= self.kinds, np.uint32), np.uint32(1 << _TOTAL) - at, has)
+        hit2, hit1 = _mask(self.guess == numbers, np.uint32)
+        at = _either(hit1, self.end2, at)
+        at &= ~hit2
+        return at, _either(hit2, self.end2, _either(hit1, self.end1 - self.end2, has))
 
     def find(self, code: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers in whose mixed shares the codes lie, with begin and size; a new id has its own number."""
         end2, end1 = self.end2 * span, self.end1 * span
-        is2, other = code < end2, np.flatnonzero(code >= end1)
-        number, first, size = np.where(is2, self.guess[0], self.guess[1]), self.end2 * ~is2, np.where(is2, self.end2, self.end1 - self.end2)
-        unit, wide, ends = self.unit.take(other), self.wide.take(other), self.end1.view(np.int32).take(other)
-        at = code.take(other)
-        at -= end1.take(other)
-        at //= span.take(other) * unit
-        unit = unit.view(np.int32)
-        a, b = self.begin.view(np.int32).take(other, axis=1)
-        of_a, of_b = self.own.view(np.int32).take(other, axis=1)
-        last = self.units.take(other).astype(np.int32)
+        is2, is1 = code < end2, code < end1
+        # the unit of order 0, by a quotient that is under the exact one by less than 1
+        beyond, each = code - end1, span * self.unit
+        at = beyond / each
+        at *= 1 - 2.0**-50
+        at = np.minimum(at, 1 << _TOTAL).astype(np.int64)  # damaged codes may lie beyond
+        beyond -= at.view(np.uint64) * each
+        at += beyond >= each
+        at = at.astype(np.int32)
+        unit, ends = self.unit.view(np.int32), self.end1.view(np.int32)
+        (a, b), (of_a, of_b) = self.begin.view(np.int32), self.own.view(np.int32)
+        last = self.units.astype(np.int32)
         last -= 1
-        at = np.minimum(np.minimum(at, 1 << _TOTAL).astype(np.int32), last - of_a - of_b)  # damaged codes may lie beyond
+        at = np.minimum(at, last - of_a - of_b)
         skip = of_a * (at + of_b * (b < a) >= a)
         skip += of_b * (at + of_a * (a < b) >= b)
         at += skip
-        found = self.slot_flat.take(np.maximum(np.minimum(at, last), 0) + wide)
-        has = self.has_flat.view(np.int32).take(found + wide)
+        hit2, hit1 = _mask(is2, np.uint32), _mask(is1, np.uint32)
+        at &= ~hit1.view(np.int32)  # others than orders 2 and 1 are looked up
+        found = self.slot_flat.take(np.maximum(np.minimum(at, last), 0) + self.wide)
+        has = self.has_flat.take(found + self.wide).view(np.int32)
         begin = has >> 16
         begin -= skip
         begin *= unit
         begin += ends
         has &= 0xFFFF
         has *= unit
-        new = np.flatnonzero(found == self.kinds.take(other))
-        has[new] = (1 << _TOTAL) - begin[new]
-        number[other], first[other], size[other] = found, begin, has
+        begin, has = begin.view(np.uint32), has.view(np.uint32)
+        has = _either(_mask(found == self.kinds, np.uint32), np.uint32(1 << _TOTAL) - begin, has)
+        number = _either(hit2.astype(np.uint16), self.guess[0], _either(hit1.astype(np.uint16), self.guess[1], found))
+        first = _either(hit1, self.end2, begin)
+        first &= ~hit2
+        size = _either(hit2, self.end2, _either(hit1, self.end1 - self.end2, has))
         # new ids of one step are numbered by their parts
         self.fresh = fresh = number >= self.kinds
-        more = np.zeros(self.blocks, dtype=np.int64)
-        for own, part in zip(number.reshape(PARTS, -1), fresh.reshape(PARTS, -1), strict=True):
-            own += more * part
-            more += part
+        number += (_upto(fresh) - fresh) * fresh
         return number, first, size
 
     def update(self, numbers: np.ndarray, fresh: np.ndarray) -> None:
         """Learn what came, and which of it is new."""
         hit = self.guess == numbers
         have = self.have.view(np.int32)
-        move = np.where(hit, _RIGHT[1], _RIGHT[0])
+        move = hit.astype(np.int32)
+        move *= _SURE - _WRONG
+        move += _WRONG
         move -= have
         move >>= 5
         move += have
-        self.right[self.p] = move.view(np.uint32)
-        sure = self.state & 15
-        now = (numbers << 4 | 1).astype(np.uint16)
-        failed = np.where(sure < 2, now, self.state - (sure + 1 >> 1))
-        self.table[self.at] = np.where(hit, self.state + (sure != 15), failed)
-        step = (fresh * np.int32(_NEWEST) - self.new.view(np.int32)) >> 5
-        step *= ~(hit[0] | hit[1])
-        self.new += step.view(np.uint32)
-        more = np.add.reduce(fresh.reshape(PARTS, -1), axis=0, dtype=np.int64)
-        self.kinds.reshape(PARTS, -1)[:] += more
-        self.units.reshape(PARTS, -1)[:] += more
-        self.mixed = self.last * 60493
+        self.right[self.p] = move.astype(np.uint16)
+        more = self.sure + 1
+        failed = _either(_mask(self.sure < 2, np.uint16), numbers << 4 | 1, self.state - (more >> 1))
+        more >>= 4
+        more ^= 1
+        more += self.state
+        self.table[self.at] = _either(_mask(hit, np.uint16), more, failed)
+        step = fresh.astype(np.int32)
+        step *= _NEWEST
+        step -= self.new
+        step >>= 5
+        step &= _mask(~(hit[0] | hit[1]), np.int32)
+        self.new += step
+        all_new = _upto(fresh)[PARTS - 1 :: PARTS, None]
+        self.kinds.reshape(-1, PARTS)[:] += all_new
+        self.units.reshape(-1, PARTS)[:] += all_new
+        self.mixed = self.last * np.uint16(60493)
         self.last = numbers
 
 
@@ -332,18 +369,18 @@ class _Reader:
 
 
 def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of whole blocks of ids, step by step, the first parts of all blocks before the second; which of them are new)."""
+    """(numbers of whole blocks of ids, step by step, the parts of a block side by side; which of them are new)."""
     blocks = len(ids) // BLOCK
     numbers, fresh = np.zeros((blocks, BLOCK), dtype=np.uint16), np.zeros((blocks, BLOCK), dtype=bool)
-    place, every = np.zeros(1 << 16, dtype=np.int64), np.arange(BLOCK)
+    place, every = np.zeros(1 << 16, dtype=np.uint16), np.arange(BLOCK, dtype=np.uint16)
     step = every // PARTS * PARTS
     for block, own in enumerate(ids.reshape(blocks, PARTS, STEPS).transpose(0, 2, 1).reshape(blocks, BLOCK)):
         place[own[::-1]] = every[::-1]  # the first place is written last
-        at = place[own]
+        at = place.take(own)
         new = at >= step
-        at[new] = every[new]
-        numbers[block], fresh[block] = (np.cumsum(new) - 1)[at], new
-    return tuple(x.reshape(blocks, STEPS, PARTS).transpose(1, 2, 0).reshape(STEPS, PARTS * blocks) for x in (numbers, fresh))
+        at = _either(_mask(new, np.uint16), every, at)
+        numbers[block], fresh[block] = (np.cumsum(new, dtype=np.uint16) - np.uint16(1)).take(at), new
+    return tuple(x.reshape(blocks, STEPS, PARTS).transpose(1, 0, 2).reshape(STEPS, PARTS * blocks) for x in (numbers, fresh))
 
 
 def _order(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,9 +390,15 @@ def _order(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-n[order], -np.arange(int(n.max())), side="left")
 
 
+def _groups(blocks: int) -> list[tuple[int, int]]:
+    """(first, after the last) block of each group; groups are of like sizes, since a small one takes almost as many steps."""
+    groups = -(-blocks // GROUP)
+    return [(blocks * k // groups, blocks * (k + 1) // groups) for k in range(groups)]
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The ids in coded blocks of BLOCK, the last one perhaps shorter."""
-    return [b for k in range(0, len(ids), GROUP * BLOCK) for b in _encode(ids[k : k + GROUP * BLOCK])]
+    return [b for lo, hi in _groups(-(-len(ids) // BLOCK)) for b in _encode(ids[lo * BLOCK : hi * BLOCK])]
 
 
 def _encode(ids: np.ndarray) -> list[bytes]:
@@ -368,7 +411,7 @@ def _encode(ids: np.ndarray) -> list[bytes]:
         if step:
             model.refresh(columns, before, step, to)
         coder.room(to - step)
-        for numbers, new in zip(columns[step:to].astype(np.int64), fresh[step:to], strict=True):
+        for numbers, new in zip(columns[step:to], fresh[step:to], strict=True):
             model.predict()
             coder.put(*model.shares(numbers), _TOTAL_BITS)
             model.update(numbers, new)
@@ -376,7 +419,7 @@ def _encode(ids: np.ndarray) -> list[bytes]:
     order, left = _order(fresh)
     coder.order(order)
     # the new ids of each part, in turn
-    each = padded.reshape(blocks, PARTS, STEPS).transpose(1, 0, 2).reshape(-1, STEPS)[fresh.T]
+    each = padded.reshape(-1, STEPS)[fresh.T]
     size = np.count_nonzero(fresh, axis=0)
     first = (np.cumsum(size) - size)[order]
     coder.room(len(left))
@@ -385,7 +428,7 @@ def _encode(ids: np.ndarray) -> list[bytes]:
         begin = _PRIOR.take(now)
         coder.put(begin, _PRIOR.take(now + 1) - begin, _NEW_BITS)
     streams = coder.end()
-    of = np.argsort(order).reshape(PARTS, blocks).T.tolist()
+    of = np.argsort(order).reshape(blocks, PARTS).tolist()
     return [struct.pack(f"<{PARTS}H", *(len(streams[k]) // 4 for k in own)) + b"".join(streams[k] for k in own) for own in of]
 
 
@@ -397,12 +440,12 @@ def _streams(block: bytes) -> list[bytes]:
 
 def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
     """The n ids of some blocks; all are of BLOCK ids but for the last."""
-    groups = [_decode(blocks[k : k + GROUP], min(n - k * BLOCK, GROUP * BLOCK)) for k in range(0, len(blocks), GROUP)]
+    groups = [_decode(blocks[lo:hi], min(n, hi * BLOCK) - lo * BLOCK) for lo, hi in _groups(len(blocks))]
     return np.concatenate([np.zeros(0, dtype=np.int64), *groups])
 
 
 def _decode(blocks: list[bytes], n: int) -> np.ndarray:
-    model, coder, before = _Model(len(blocks), reads=True), _Reader([s for part in zip(*map(_streams, blocks), strict=True) for s in part]), 0
+    model, coder, before = _Model(len(blocks), reads=True), _Reader([s for block in blocks for s in _streams(block)]), 0
     columns, fresh = np.zeros((STEPS, PARTS * len(blocks)), dtype=np.uint16), np.zeros((STEPS, PARTS * len(blocks)), dtype=bool)
     for step, to in zip([0, *_REFRESHES[:-1]], _REFRESHES, strict=True):
         if step:
@@ -425,11 +468,11 @@ def _decode(blocks: list[bytes], n: int) -> np.ndarray:
     ids = np.zeros((STEPS, PARTS * len(blocks)), dtype=np.uint16)
     ids.T[fresh.T] = new[np.arange(len(left)) < np.count_nonzero(fresh, axis=0)[:, None]]
     by_number = np.zeros((len(blocks), BLOCK), dtype=np.uint16)
-    block = np.tile(np.arange(len(blocks)), PARTS)
+    block = np.repeat(np.arange(len(blocks)), PARTS)
     at = np.broadcast_to(block, fresh.shape)
     by_number[at[fresh], columns[fresh]] = ids[fresh]
     ids = by_number.ravel().take(columns + block * BLOCK)
-    ids = ids.reshape(STEPS, PARTS, -1).transpose(2, 1, 0).ravel()
+    ids = ids.T.ravel()
     if (ids[n:] != ids[n - 1]).any():
         raise ValueError("the last block is damaged")
     return ids[:n].astype(np.int64)

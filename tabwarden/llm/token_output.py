@@ -7,6 +7,7 @@ decodes the files, checks every block's checksum and adds the files' sizes up to
 
 A byte-level tokenizer is applied word by word: texts are cut where its own pattern cuts them, found from
 the classes of their characters with numpy, and a word met before, known by a 64-bit hash, is looked up.
+A new word is given to the library's model, with its bytes named as the library's own cutting names them.
 Texts with characters for which the cut might differ or with the name of a special token, and all texts
 where the tokenizer isn't of that kind, are given to it whole.
 
@@ -41,6 +42,8 @@ CACHE = 2_000_000
 LATE = 1 << 15
 #: Bits of a word's hash by which it is looked up first.
 NEAR = 17
+#: Stands between new words; its bytes are in no plain text.
+BETWEEN = "\uffff"
 
 # Fixed value: the pattern by which the byte-level vocabulary cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,7 +113,7 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > range_coder.NONE:
@@ -118,7 +121,12 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         about = json.loads(self.tokenizer.to_str())
         cut = about.get("pre_tokenizer") or {}
-        self.by_words = about["model"]["type"] == "BPE" and not about.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+        self.by_words = about["model"]["type"] == "BPE" and not about.get("truncation") and not about.get("padding") and not about.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+        self.model = self.tokenizer.model
+        # the character by which the library names each byte
+        self.named = np.zeros(256, dtype="<u4")
+        for c in [*map(chr, range(0x250)), BETWEEN]:
+            self.named[list(c.encode())] = [ord(x) for x in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0]]
         self._empty()
 
     def _empty(self) -> None:
@@ -130,8 +138,14 @@ class WordTokenizer:
         # a word of each value of its hash's first bits, to be looked at before the others
         self.near, self.near_row = np.zeros(1 << NEAR, dtype=np.uint64), np.full(1 << NEAR, -1, dtype=np.int64)
 
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word, which is cut already; an encoding of each would take most of the time."""
+        named = [self.named[np.frombuffer(x.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le") for x in (BETWEEN.join(words), BETWEEN)]
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in named[0].split(named[1])]
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = self._word_ids(words)
         ends = self.start[self.rows] + np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
         first, rows = int(self.start[self.rows]), self.rows + len(ids)
         self.start, self.flat = _with_room(self.start, rows + 1), _with_room(self.flat, int(ends[-1]))
@@ -175,7 +189,7 @@ class WordTokenizer:
 
     def _plain(self, texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
-            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            return np.zeros(0, dtype=np.uint16), np.zeros(len(texts), dtype=np.int64)
         joined = "".join(texts)
         lengths = np.array([len(t) for t in texts])
         first = np.cumsum(lengths) - lengths
@@ -188,7 +202,7 @@ class WordTokenizer:
         row = self._rows(hashes, lambda k: joined[begin[k] : end[k]])
         size = self.start[row + 1] - self.start[row]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[row] - (ends - size), size) + np.arange(ends[-1])].astype(np.int64)
+        ids = self.flat[np.repeat(self.start[row] - (ends - size), size) + np.arange(ends[-1])]
         of_words = np.append(0, ends)[np.searchsorted(begin, np.append(first, len(codes)))]
         return ids, np.diff(of_words)
 
@@ -206,7 +220,7 @@ class WordTokenizer:
         if plain.all():
             return ids, counts
         own = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else ())
-        parts = [next(own) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int64) for t, p in zip(texts, plain, strict=True)]
+        parts = [next(own) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint16) for t, p in zip(texts, plain, strict=True)]
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
@@ -253,7 +267,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "do
                 some = texts.slice(lo, hi - lo).to_pylist()
                 ids, sizes = tokenizer.encode(some)
                 ends = np.cumsum(sizes)
-                whole = np.insert(ids, ends, end_id).astype(np.uint16)
+                whole = np.insert(ids, ends, end_id)
                 docs_in.append((doc_ids[lo:hi], null[lo:hi], sizes + 1, whole))
                 held += len(whole)
                 if held >= FILE_IDS:
