@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 4096
-#: Parts of a block that are coded beside each other, a multiple of 8, and the ids of each.
+#: Parts of a block that are coded beside each other (8, as their flags are summed in a 64-bit word), and the ids of each.
 PARTS = 8
 STEPS = BLOCK // PARTS
 #: Blocks that advance together, at most.
-GROUP = 512
+GROUP = 1024
 #: Ids are under this; the value itself stands for none.
 NONE = 65535
 MAGIC = b"TWID3\0"
@@ -49,7 +49,7 @@ _SURE, _NEWEST = 53000, 61440
 _START = np.append(64, 8192 + 2900 * np.arange(1, 16)).astype(np.uint16)
 _WRONG = 64
 #: A multiple by this has in byte k the sum of bytes 0 to k.
-_SUMS = np.uint64(0x0101010101010101)
+_WORD, _SUMS = np.dtype("<u8"), np.uint64(0x0101010101010101)
 
 
 def _prior() -> np.ndarray:
@@ -90,10 +90,7 @@ def _either(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _upto(flags: np.ndarray) -> np.ndarray:
     """How many flags each block has up to each of its PARTS lanes, its own included."""
-    sums = (flags.view("<u8") * _SUMS).reshape(-1, PARTS // 8)
-    for k in range(1, PARTS // 8):
-        sums[:, k] += (sums[:, k - 1] >> 56) * _SUMS
-    return sums.astype("<u8", copy=False).view(np.uint8).ravel()
+    return (flags.view(_WORD) * _SUMS).astype(_WORD, copy=False).view(np.uint8)
 
 
 class _Model:
@@ -109,7 +106,7 @@ class _Model:
         self.reads = reads
         self.blocks = blocks
         self.kinds = np.zeros(n, dtype=np.uint16)  # numbers given so far, for each part of a block the same
-        self.units = np.ones(n)  # of order 0, and one
+        self.taken = np.ones(n, dtype=np.int32)  # units of order 0, and one, besides one for each number given
         self.count = np.zeros((blocks, _WIDE), dtype=np.uint16)
         # a number's first unit of order 0, shifted by 16, and how many it has; and the number that has each unit
         self.has, self.slot = np.zeros((blocks, _WIDE), dtype=np.uint32), np.zeros((blocks if reads else 0, _WIDE), dtype=np.uint16)
@@ -140,8 +137,13 @@ class _Model:
         count = self.count[:, :kinds].astype(np.uint32)
         self.has[:, :kinds] = (np.cumsum(count, axis=1, dtype=np.uint32) - count) << np.uint32(16) | count
         if self.reads:
-            self.slot[:, :ids] = np.repeat(np.tile(np.arange(kinds, dtype=np.uint16), self.blocks), count.ravel()).reshape(self.blocks, ids)
-        self.units[:] = ids + 1
+            # each number in its first unit, and then in those up to the next one's
+            slot = np.zeros((self.blocks, ids), dtype=np.uint16)
+            given = np.arange(kinds) < self.kinds[::PARTS, None]
+            row, number = np.nonzero(given)
+            slot.ravel()[row * ids + (self.has[:, :kinds][given] >> 16)] = number
+            np.maximum.accumulate(slot, axis=1, out=self.slot[:, :ids])
+        self.taken[:] = ids + 1 - self.kinds.astype(np.int32)
         self._fill(ids, PARTS * to)
 
     def predict(self) -> None:
@@ -167,8 +169,9 @@ class _Model:
         rest >>= 8
         rest *= 65536 - self.new.view(np.uint32)
         rest >>= 8
+        self.units = units = self.kinds + self.taken
         # exact: both are far under 2 ** 53
-        self.unit = unit = (rest / self.units).astype(np.int32).view(np.uint32)
+        self.unit = unit = (rest / units).astype(np.int32).view(np.uint32)
         has = self.has_flat.take(np.add(guess, self.wide, out=self.room))
         self.begin = has >> 16
         has &= 0xFFFF
@@ -197,7 +200,8 @@ class _Model:
         at += self.end1
         has *= self.unit
         has = _either(_mask(numbers >= self.kinds, np.uint32), np.uint32(1 << _TOTAL) - at, has)
-        hit2, hit1 = _mask(self.guess == numbers, np.uint32)
+        self.hit = self.guess == numbers
+        hit2, hit1 = _mask(self.hit, np.uint32)
         at = _either(hit1, self.end2, at)
         at &= ~hit2
         return at, _either(hit2, self.end2, _either(hit1, self.end1 - self.end2, has))
@@ -216,8 +220,7 @@ class _Model:
         at = at.astype(np.int32)
         unit, ends = self.unit.view(np.int32), self.end1.view(np.int32)
         (a, b), (of_a, of_b) = self.begin.view(np.int32), self.own.view(np.int32)
-        last = self.units.astype(np.int32)
-        last -= 1
+        last = self.units - np.int32(1)
         at = np.minimum(at, last - of_a - of_b)
         skip = of_a * (at + of_b * (b < a) >= a)
         skip += of_b * (at + of_a * (a < b) >= b)
@@ -241,11 +244,12 @@ class _Model:
         # new ids of one step are numbered by their parts
         self.fresh = fresh = number >= self.kinds
         number += (_upto(fresh) - fresh) * fresh
+        self.hit = self.guess == number
         return number, first, size
 
     def update(self, numbers: np.ndarray, fresh: np.ndarray) -> None:
         """Learn what came, and which of it is new."""
-        hit = self.guess == numbers
+        hit = self.hit
         have = self.have.view(np.int32)
         move = hit.astype(np.int32)
         move *= _SURE - _WRONG
@@ -266,9 +270,7 @@ class _Model:
         step >>= 5
         step &= _mask(~(hit[0] | hit[1]), np.int32)
         self.new += step
-        all_new = _upto(fresh)[PARTS - 1 :: PARTS, None]
-        self.kinds.reshape(-1, PARTS)[:] += all_new
-        self.units.reshape(-1, PARTS)[:] += all_new
+        self.kinds.reshape(-1, PARTS)[:] += _upto(fresh)[PARTS - 1 :: PARTS, None]
         self.mixed = self.last * np.uint16(60493)
         self.last = numbers
 
@@ -441,7 +443,7 @@ def _streams(block: bytes) -> list[bytes]:
 def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
     """The n ids of some blocks; all are of BLOCK ids but for the last."""
     groups = [_decode(blocks[lo:hi], min(n, hi * BLOCK) - lo * BLOCK) for lo, hi in _groups(len(blocks))]
-    return np.concatenate([np.zeros(0, dtype=np.int64), *groups])
+    return np.concatenate([np.zeros(0, dtype=np.uint16), *groups])
 
 
 def _decode(blocks: list[bytes], n: int) -> np.ndarray:
@@ -467,15 +469,14 @@ def _decode(blocks: list[bytes], n: int) -> np.ndarray:
         coder.take(first, _PRIOR.take(found + np.int64(1)) - first)
     ids = np.zeros((STEPS, PARTS * len(blocks)), dtype=np.uint16)
     ids.T[fresh.T] = new[np.arange(len(left)) < np.count_nonzero(fresh, axis=0)[:, None]]
-    by_number = np.zeros((len(blocks), BLOCK), dtype=np.uint16)
-    block = np.repeat(np.arange(len(blocks)), PARTS)
-    at = np.broadcast_to(block, fresh.shape)
-    by_number[at[fresh], columns[fresh]] = ids[fresh]
-    ids = by_number.ravel().take(columns + block * BLOCK)
+    by_number = np.zeros(len(blocks) * BLOCK, dtype=np.uint16)
+    place = columns + np.repeat(np.arange(len(blocks)) * BLOCK, PARTS)
+    by_number[place[fresh]] = ids[fresh]
+    ids = by_number.take(place)
     ids = ids.T.ravel()
     if (ids[n:] != ids[n - 1]).any():
         raise ValueError("the last block is damaged")
-    return ids[:n].astype(np.int64)
+    return ids[:n]
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:
@@ -490,7 +491,7 @@ def _unpacked(data: bytes, at: int, kind: str) -> tuple[np.ndarray, int]:
 
 def checksum(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids.astype("<u4"))
 
 
 def encode_file(doc_ids: np.ndarray, null: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:

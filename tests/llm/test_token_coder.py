@@ -63,6 +63,34 @@ def test_carries_and_room():
         reader.take(first[order], size)
 
 
+def test_groups_are_of_like_sizes():
+    """A small last group takes almost as many steps as a full one."""
+    full = range_coder.GROUP
+    for blocks in (1, full, full + 1, 3 * full - 7):
+        groups = range_coder._groups(blocks)
+        sizes = [hi - lo for lo, hi in groups]
+        assert [lo for lo, _ in groups] == [0, *(hi for _, hi in groups[:-1])] and groups[-1][1] == blocks
+        assert max(sizes) <= full and max(sizes) - min(sizes) <= 1
+    assert range_coder._groups(0) == []
+
+
+def test_flags_of_parts_are_summed():
+    flags = np.random.default_rng(2).random(40 * range_coder.PARTS) < 0.6
+    assert (range_coder._upto(flags).reshape(40, -1) == np.cumsum(flags.reshape(40, -1), axis=1)).all()
+
+
+def test_new_words_go_to_the_model():
+    """Without an encoding of each; with every character of plain texts."""
+    tokenizer = token_output.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    library = tokenizer.tokenizer
+    plain = [c for c in map(chr, range(0x250)) if token_output._PLAIN[ord(c)]]
+    texts = ["".join(plain), " ".join(plain), "a".join(plain), "ß it's\n\n  ünd 12ab"]
+    tokenizer.tokenizer = None
+    ids, sizes = tokenizer.encode(texts)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(x) for x in expected] and ids.tolist() == [k for x in expected for k in x]
+
+
 def test_words_are_learned_beside_the_large_table(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = token_output.WordTokenizer(path)
