@@ -23,8 +23,10 @@ def flush_tables(spark: SparkSession, sf_dir: str) -> str:
     """The customers' batches as messages through assembly and what follows it; the folder of the tables."""
     folder = f"{shared_folder(spark)}/flushes-{uuid.uuid4().hex}"
     rows = matching.batches(spark, sf_dir)
-    body = rows.select(F.to_json(F.struct("dataset", "batch_id", "payload")).alias("value"))
-    ends = rows.select("dataset", "batch_id").distinct().select(F.to_json(F.struct("dataset", "batch_id", F.lit("end_batch").alias("type"))).alias("value"))
+    # rows go in the order of their keys, so that a batch's first examples are the same however its files are cut
+    body = rows.select(F.to_json(F.struct("dataset", "batch_id", "payload", F.col("row_no").alias("seq"))).alias("value"))
+    last = rows.groupBy("dataset", "batch_id").agg(F.greatest(F.max("row_no"), F.lit(0)).alias("seq"))
+    ends = last.select(F.to_json(F.struct("dataset", "batch_id", F.lit("end_batch").alias("type"), "seq")).alias("value"))
     body.unionByName(ends).write.mode("append").text(f"{folder}/messages")
     facts = matching._facts(spark, sf_dir)
     baseline = matching._baseline(spark, sf_dir, facts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabwarden.operators.events import payload_type
 from tabwarden.operators.text import run_plan
 
-MESSAGE = "dataset string, batch_id string, type string, payload map<string,string>"
+MESSAGE = "dataset string, batch_id string, type string, payload map<string,string>, seq long"
 
 
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
