@@ -7,6 +7,8 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tabwarden.llm import bm25
 
 
@@ -73,3 +75,26 @@ def test_batches_find_the_best_and_skip_blocks(monkeypatch, frequent, repeated):
         expected = sorted(((-round(s, 9), i) for i, s in best.items() if s > 0))[:10]
         assert [(-round(s, 9), i) for i, s in zip(found[e - m : e].tolist(), scores[e - m : e].tolist(), strict=True)] == expected
     assert index.skipped > (len(asked) * index.blocks // 4 if frequent == 512 else 0)  # the other language's
+
+
+def test_queries_are_copied_to_no_more_shards_at_once_than_the_postings_allow(spark, monkeypatch):
+    """Rounds of shards give what one round does, and none holds more terms of queries than the corpus has postings."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)]
+    made = [(i, " ".join(rng.choice(words, 25))) for i in range(400)]
+    docs = spark.createDataFrame([*made, *[(i + 1000, t) for i, t in made[:40]]], "doc_id long, text string")
+    search = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in bm25.search(docs, F.col("doc_id") % 4 == 0, k=3).collect())
+    once = search()
+    held, copied, ran = sum(len(set(t.split())) for _, t in made[:40] + made), [], bm25._search
+
+    def spied(rows, *more):
+        copied.append(rows.where("is_query").agg(F.sum(F.size("terms"))).first()[0])
+        return ran(rows, *more)
+
+    monkeypatch.setattr(bm25, "SHARDS", 2)
+    monkeypatch.setattr(bm25, "SHARD", 600)
+    monkeypatch.setattr(bm25, "_search", spied)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert search() == once and len(once) == 330
+    assert max(copied) <= held
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
