@@ -207,3 +207,18 @@ def test_languages_carried_and_joined_are_those_of_naive_bayes(spark, monkeypatc
     monkeypatch.undo()
     monkeypatch.setattr(text, "WORDS", 3)
     assert sorted((str(r["id"]), r["lang"]) for r in text.detect_language(docs, "id", "text", profile).collect()) == want
+
+
+def test_words_are_looked_up_without_going_through_all_starters_for_each_row(spark, docs, model, monkeypatch):
+    """No row is joined with whole lists; marks of any kind within a word cut nothing; a lookup in several blocks is that in one."""
+    said = [(1, "One\x01word is here. \x0b\x0b He left at 5 p.m. \t on Monday.  They met Dr.\n Hall (\"why?\") Then... they left."), (2, None), (3, " \n "), (4, '"""'), (5, "Is it so?! Yes… No. 7. They"), (6, "x" * 20000 + "." * 20000 + " End")]
+    own = spark.createDataFrame(said, "doc_id long, text string")
+    short, starters = ({r["type"] for r in t.collect()} for t in (model.abbreviations, model.starters))
+    found = sentences.split(own, "text", model)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r["sentences"] for r in found.collect()}
+    assert got[1][0] == "One\x01word is here."
+    for i in (2, 3, 4, 5, 6):
+        assert got[i] == plain_split(dict(said)[i], short, starters)
+    monkeypatch.setattr(sentences, "BLOCK", 5)
+    assert {r["doc_id"]: r["sentences"] for r in sentences.split(own, "text", model).collect()} == got
