@@ -222,3 +222,20 @@ def test_words_are_looked_up_without_going_through_all_starters_for_each_row(spa
         assert got[i] == plain_split(dict(said)[i], short, starters)
     monkeypatch.setattr(sentences, "BLOCK", 5)
     assert {r["doc_id"]: r["sentences"] for r in sentences.split(own, "text", model).collect()} == got
+
+
+def test_chain_learns_its_dictionary_once(spark):
+    """Steps read the words from a table of them; the texts that they came from are not counted again for each."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        counted.add(1)
+        yield from batches
+
+    words_ = [(w, 50) for w in "the river runs through town and people walk along it".split()]
+    known = spark.createDataFrame(words_, "word string, n long").coalesce(1).mapInArrow(seen, "word string, n long")
+    whole = spark.createDataFrame([("the river runs through the town and people walk along it. They are glad.", "en")], "text string, lang string")
+    df = spark.createDataFrame([(1, "The rivre runs thruogh the town and people walk along it.")], "id long, text string")
+    out = text.run_chain(df, "text", known, text.language_profile(whole, "text", "lang"), sentences.learn(whole, "text")).collect()
+    assert out[0]["clean_text"] == "The river runs through the town and people walk along it."
+    assert counted.value == 1
